@@ -7,12 +7,17 @@ Every set joins the scheme of its own band and that of the band below; bands are
 
 Each set emits the hash of every non-empty segment subset. A segment empty in both sets says nothing and
 is not indexed; such sets also emit the one-deletion neighbourhood (the subset less one shingle) of the
-first ``r`` segments. If no non-empty segment agrees and ``e`` segments are empty in both, the remaining
+first ``r`` segments (small sets only, see below). If no non-empty segment agrees and ``e`` segments are empty in both, the remaining
 differences leave, among any ``r >= e_x + e_y`` segments, one that is filled in both and differs by one
 shingle at most, so the pair meets there. Sets with more than ``r / 2`` empty segments are rare; they meet
 their partners at the empty segments themselves. ``r`` is allocated per band by cost: deletions emitted
 against pairs expected at empty segments, from the counts of all documents in the band.
 
+Large sets have so many segments that a similar pair agrees on many. There the cost is cut by leaving out
+subsets of fewer than ``q`` shingles, which shared passages make common: ``q`` is the largest number with which
+a pair just at the threshold would be missed with a chance of at most ``MISS`` = 1e-12, the order of a collision
+of the 64-bit hashes in use; no neighbourhoods are needed then. Small sets keep the strict guarantee.
+
 Candidates are stars: the smallest id of a bucket against the others, so a group of many copies gives as
 many rows as it has members. Only where a bucket still spans several components after that are its other
 pairs, across components, checked too. Sets are 64-bit shingle hashes; checks compare whole sets.
@@ -37,6 +42,10 @@ from quern.llm.wordhash import U, mix, pieces, shingle_sets
 #: Signatures in one shuffle partition, about.
 PER_TASK = 1_500_000
 FULL, LESS, FEW, NONE = 0, 1, 2, 3
+#: Bits of the table that says which texts to fetch for checks (512 kB, whatever the data).
+ID_BITS = 1 << 22
+#: Chance, over the hash that deals shingles to segments, of missing a pair just at the threshold; less for closer ones.
+MISS = 1e-12
 
 
 class Schemes:
@@ -55,7 +64,25 @@ class Schemes:
         self.high = np.array(highs)
         self.m = np.array([math.floor(u * (1 - threshold) / threshold) + 1 for u in highs])
         here = [(counts or {}).get(k, 0) for k in range(len(highs))]
-        self.r = np.array([self._allocate(lo, int(m), n + more) for lo, m, n, more in zip(lows, self.m, here, [*here[1:], 0], strict=True)])
+        self.q = np.array([self._least(lo, hi, int(m)) for lo, hi, m in zip(lows, highs, self.m, strict=True)])
+        self.r = np.array([0 if q else self._allocate(lo, int(m), n + more) for lo, m, q, n, more in zip(lows, self.m, self.q, here, [*here[1:], 0], strict=True)])
+
+    def _least(self, low: int, high: int, m: int) -> int:
+        """The largest ``q`` such that a pair at the threshold agrees on a segment of ``q`` shingles or more, but for a
+        chance of ``MISS``; 0 if even q = 1 is less certain than that."""
+        ratio, q = float(self.t / (1 - self.t)), 0
+        while True:
+            worst = -math.inf
+            for size in (low, high):
+                apart = size / ratio / m  # differing shingles in a segment
+                tail, term = 0.0, math.exp(-ratio * apart)
+                for k in range(q + 1):
+                    tail += term
+                    term *= ratio * apart / (k + 1)
+                worst = max(worst, m * math.log1p(-math.exp(-apart) * max(0.0, 1 - tail)))
+            if worst > math.log(MISS):
+                return q
+            q += 1
 
     @staticmethod
     def _allocate(low: int, m: int, n: int) -> int:
@@ -98,8 +125,11 @@ def _segments(sets: list[np.ndarray], docs: np.ndarray, scheme: np.ndarray, s: S
         owner = np.repeat(np.arange(len(sets)), m)
         salt = mix((scheme[owner].astype(U) << U(32)) + (np.arange(base[-1]) - base[owner]).astype(U), 0x14057B7EF767814F)
         filled = count > 0
-        yield mix(total[filled] ^ salt[filled]), FULL, docs[owner[filled]]
-        empty = m - np.bincount(owner[filled], minlength=len(sets))
+        used = count >= np.maximum(s.q[scheme], 1)[owner]
+        yield mix(total[used] ^ salt[used]), FULL, docs[owner[used]]
+        exact = s.q[scheme] == 0
+        empty = np.where(exact, m - np.bincount(owner[filled], minlength=len(sets)), 0)
+        filled |= ~exact[owner]
         if empty.any():
             near = (empty[which] > 0) & (seg < r[which]) & (count[at] > 1)
             yield mix((total[at[near]] - g[near]) ^ salt[at[near]]), LESS, docs[which[near]]
@@ -111,9 +141,9 @@ def _profile(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                rows = [(len(x), *_print(x)) for x in shingle_sets(part.column("text"), n)]
-                size, one, two = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(one), pa.array(two)], ["doc_id", "n_shingles", "f1", "f2"])
+                rows = [(len(x), *_print(x), _sketch(x)) for x in shingle_sets(part.column("text"), n)]
+                size, one, two, sketch = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in (size, one, two)), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sketch"])
 
     return run
 
@@ -125,6 +155,49 @@ def _print(x: np.ndarray) -> tuple[np.int64, np.int64]:
     return a.astype(np.int64), b.astype(np.int64)
 
 
+def _sketch(x: np.ndarray) -> bytes:
+    """Parities of the shingles in each of a power of two of cells, about as many cells as shingles.
+
+    Two sets differ in at least as many shingles as their parities do.
+    """
+    cells = 1 << min(13, max(6, (len(x) - 1).bit_length()))
+    odd = np.bincount((x & U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Shingles in which two sets differ, at least; the longer sketch is folded to the shorter."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _may_link(t: Fraction):
+    up, down = t.numerator, t.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, a, b = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b"))
+            keep = [up * max(m, n) <= down * min(m, n) and (down + up) * _apart(x, y) <= (down - up) * (m + n) for m, n, x, y in zip(n_a, n_b, a, b, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _near(ids):
+    """Documents whose id may be among those of a fixed-size bit table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ids.value
+        for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            low = batch.column("doc_id").to_numpy() & (ID_BITS - 1)
+            yield batch.filter(pa.array((table[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return run
+
+
 def _sign(n: int, s: Schemes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,10 +280,24 @@ def _check(n: int, t: Fraction):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets reach ``t``. Joins are plain equi-joins: hot ids are split at run time."""
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def _verified(pairs: DataFrame, sized: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets reach ``t``.
+
+    Sizes and parity sketches first drop pairs that differ too much for certain; whole texts are fetched for the
+    rest only. All joins are plain equi-joins, so hot ids are split at run time.
+    """
+    spark = pairs.sparkSession
+    for end in ("a", "b"):
+        pairs = pairs.join(sized.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")).distinct(), end)
+    left = scratch.table(pairs.mapInArrow(_may_link(t), "a long, b long").distinct(), "left")
+    cell = F.col("id").bitwiseAND(F.lit(ID_BITS - 1))
+    cells = left.select(F.explode(F.array("a", "b")).alias("id")).groupBy((cell / 32).cast("int").alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, cast((id & {ID_BITS - 1}) % 32 as int)))").alias("bits"))
+    table = np.zeros(ID_BITS // 32, "<u4")
+    for r in cells.collect():  # at most ID_BITS / 32 rows
+        table[r.cell] = r.bits & 0xFFFFFFFF
+    near = texts.mapInArrow(_near(spark.sparkContext.broadcast(table.view(np.uint8))), "doc_id long, text string")
+    with_b = left.join(near.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(near.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_check(n, t), "a long, b long").distinct()
 
 
@@ -226,7 +313,7 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: Fraction | str =
     spark, t = docs.sparkSession, Fraction(threshold)
     scratch.bound_batches(spark)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    sized = scratch.table(docs.mapInArrow(_profile(words), "doc_id long, n_shingles long, f1 long, f2 long"), "sizes")
+    sized = scratch.table(docs.mapInArrow(_profile(words), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"), "sizes")
 
     known = sized.where("n_shingles > 0 and doc_id is not null")
     top = known.agg(F.max("n_shingles")).first()[0]
@@ -244,7 +331,10 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: Fraction | str =
         signed = docs.mapInArrow(_sign(words, s), "key long, kind byte, doc long")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PER_TASK)
         sorted_ = signed.repartition(parts, "key").sortWithinPartitions("key", "kind", "doc")
+        del signed
         met = scratch.table(sorted_.mapInArrow(_stars, "key long, first_kind byte, first long, kind byte, doc long"), "met")
+        del sorted_
+        scratch.release(spark)
 
         def of_copies(pairs: DataFrame) -> DataFrame:
             for end in ("a", "b"):
@@ -253,13 +343,15 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: Fraction | str =
 
         pairs = scratch.table(of_copies(met.select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()), "pairs")
         equal = copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))
-        links = scratch.table(_verified(pairs, docs, words, t).unionByName(equal), "links")
+        links = scratch.table(_verified(pairs, sized, docs, words, t).unionByName(equal), "links")
+        scratch.release(spark)
         label = components(links)
 
         full = met.where("key is not null")
         members = full.select("key", F.col("first_kind").alias("kind"), F.col("first").alias("doc")).unionByName(full.select("key", "kind", "doc")).distinct()
         members = members.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         members = scratch.table(members, "members")
+        scratch.drop(met)
         mixed = members.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
         members = members.join(mixed, "key")
         x, y = members.alias("x"), members.alias("y")
@@ -268,7 +360,7 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: Fraction | str =
         rest = of_copies(rest.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()).join(pairs, ["a", "b"], "left_anti")
         rest = scratch.table(rest, "rest")
         if not rest.isEmpty():
-            late = scratch.table(_verified(rest, docs, words, t), "late")
+            late = scratch.table(_verified(rest, sized, docs, words, t), "late")
             if not late.isEmpty():
                 label = components(links.unionByName(late))
     out = sized.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")

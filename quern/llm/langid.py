@@ -44,61 +44,84 @@ class Model:
                     if (row := tables[size].get(g)) is None:
                         row = tables[size][g] = np.zeros(len(self.langs))
                     row[at[lang]] += n
-        self.tables = [self._logs(t) for t in tables]
-
-    @staticmethod
-    def _logs(table: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
-        """Add-half smoothing over the entries of a table."""
-        if not table:
-            return {}, np.zeros((0, 0), np.float32)
-        rows = np.stack(list(table.values())) + 0.5
-        return {g: i for i, g in enumerate(table)}, np.log(rows / rows.sum(axis=0)).astype(np.float32)
-
-    def word(self, word: str) -> np.ndarray:
-        """Log scores of a word: its own if known, else the mean over its known n-grams of the longest size that has any."""
-        known, logs = self.tables[0]
-        if (i := known.get(word)) is not None:
-            return logs[i]
+        self.rows, self.logs = self._logs(tables)
+
+    def _logs(self, tables: list[dict[str, np.ndarray]]) -> tuple[list[dict[str, int]], np.ndarray]:
+        """Place of every entry of each table (words, then n-grams by n), and all logs, smoothed by a half per table."""
+        places, logs, n = [], [np.zeros((0, len(self.langs)), np.float32)], 0
+        for table in tables:
+            places.append({g: n + i for i, g in enumerate(table)})
+            if table:
+                rows = np.stack(list(table.values())) + 0.5
+                logs.append(np.log(rows / rows.sum(axis=0)).astype(np.float32))
+            n += len(table)
+        return places, np.concatenate(logs)
+
+    def places(self, word: str) -> list[int]:
+        """Rows whose mean scores a word: its own if known, else its known n-grams of the longest size that has any."""
+        if (i := self.rows[0].get(word)) is not None:
+            return [i]
         for n in range(_LONGEST, 0, -1):
-            known, logs = self.tables[n]
+            known = self.rows[n]
             if found := [known[g] for g in grams(word, n) if g in known]:
-                return logs[found].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return found
+        return []
 
 
 class Scorer:
     """Scores texts; remembers what a bounded number of white-space pieces contribute."""
 
-    def __init__(self, model: Model, memory: int = 120_000):
-        self.model, self.memory = model, memory
+    def __init__(self, model: Model, memory: int = 250_000):
+        self.model, self.memory, self.known = model, memory, len(model.logs)
+        self.rows = np.concatenate([model.logs, np.zeros((memory + 1, len(model.langs)), np.float32)])
+        self.words = np.concatenate([np.ones(self.known), np.zeros(memory + 1)])
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((self.memory + 1, len(self.model.langs) + 1), np.float32)
-
-    def _learn(self, piece: str) -> int:
-        i = self.at[piece] = len(self.at)
-        words = tokens(piece)
-        for w in words:
-            self.rows[i, :-1] += self.model.word(w)
-        self.rows[i, -1] = len(words)
-        return i
+        self.used = self.known
+
+    def _learn(self, new: list[str]) -> None:
+        """Pieces that are one known word share its row; all others get rows of their own, filled together."""
+        own, flat, share, starts, words, single = [], [], [], [], [], self.model.rows[0]
+        for piece in new:
+            found = tokens(piece)
+            if len(found) == 1 and (i := single.get(found[0])) is not None:
+                self.at[piece] = i
+                continue
+            own.append(piece)
+            starts.append(len(flat))
+            words.append(len(found))
+            for w in found:
+                rows = self.model.places(w)
+                flat += rows
+                share += [1 / len(rows)] * len(rows)
+            flat.append(0)
+            share.append(0.0)
+        if own:
+            a, b = self.used, self.used + len(own)
+            self.rows[a:b] = np.add.reduceat(self.model.logs[flat] * np.array(share, np.float32)[:, None], starts, axis=0)
+            self.words[a:b] = words
+            self.at.update(zip(own, range(a, b), strict=True))
+            self.used = b
 
     def total(self, text: str) -> np.ndarray:
         """Summed log scores of all words, and the number of words last."""
-        sums, counts = np.zeros(self.rows.shape[1]), list(Counter(text.split()).items())
+        pieces_, sums = Counter(text.split()), np.zeros(len(self.model.langs) + 1)
+        counts = list(pieces_.items())
         for lo in range(0, len(counts), 20_000):
             some = counts[lo : lo + 20_000]
             if len(self.at) + len(some) > self.memory:
                 self._clear()
-            get, learn = self.at.get, self._learn
-            rows = [i if (i := get(p)) is not None else learn(p) for p, _ in some]
-            sums += np.array([n for _, n in some], float) @ self.rows[rows].astype(float)
+            if new := [p for p, _ in some if p not in self.at]:
+                self._learn(new)
+            rows, n = np.array([self.at[p] for p, _ in some]), np.array([n for _, n in some], float)
+            sums[:-1] += n @ self.rows[rows]
+            sums[-1] += n @ self.words[rows]
         return sums
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        sums = self.total(text) if text and self.model.langs else np.zeros(1)
+        sums = self.total(text) if text and len(self.model.logs) else np.zeros(1)
         if not sums[-1]:
             return UNKNOWN, 0.0
         best = int(np.argmax(sums[:-1]))

@@ -6,6 +6,7 @@ Only where that is unset (tests, a laptop) a temporary folder of this machine st
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,7 +31,24 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that nothing reads any more, and lets Spark remove the shuffle files of finished steps."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._quern_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Spark's cleaner removes shuffle files once their plans are collected; long steps needn't wait for that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def bound_batches(spark: SparkSession) -> None:
