@@ -11,6 +11,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.warc import roundtrip
+
+    return roundtrip(_table(spark, sf_dir, "pages")).drop("url")
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.simple8b import roundtrip
+
+    return roundtrip(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.tokencount import count
+
+    return count(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.mixing import plan
 
@@ -48,10 +72,28 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix, op7_shard, op8_decontaminate, op9_jaccard_join, op10_language, pipeline)}
-
-
-ORACLES: dict[str, str] = {}
+    return {f.__name__: f for f in (op1_warc, op3_token_ids, op4_token_counts, op2_mix, op7_shard, op8_decontaminate, op9_jaccard_join, op10_language, pipeline)}
+
+
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), g AS (
+  SELECT html, max(page_id) AS first, count(*) AS n FROM p GROUP BY html
+), h AS (
+  SELECT p.page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, sha1(p.html) AS hex,
+         CASE WHEN g.n > 1 AND (p.page_id IS NULL OR p.page_id <> g.first) THEN g.first END AS refers_to
+  FROM p JOIN g ON p.html = g.html
+), d AS (
+  SELECT *, list_transform(range(0, 8), lambda k: ('0x' || hex[k * 5 + 1 : k * 5 + 5])::BIGINT) AS five FROM h
+)
+SELECT page_id, payload_bytes, refers_to,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       list_aggregate(list_transform(five, lambda v: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(v >> 15)::INT + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> 10) & 31)::INT + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> 5) & 31)::INT + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(v & 31)::INT + 1]), 'string_agg', '') AS payload_digest
+FROM d
+""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
