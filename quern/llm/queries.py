@@ -35,6 +35,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.linetemplates import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.pcatiles import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.mixing import plan
 
@@ -72,10 +84,43 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_token_ids, op4_token_counts, op2_mix, op7_shard, op8_decontaminate, op9_jaccard_join, op10_language, pipeline)}
+    return {f.__name__: f for f in (op1_warc, op3_token_ids, op4_token_counts, op5_line_templates, op6_near_vectors, op2_mix, op7_shard, op8_decontaminate, op9_jaccard_join, op10_language, pipeline)}
 
 
 ORACLES: dict[str, str] = {
+    "op6_near_vectors": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), r(x, y) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), c AS (
+  SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x
+), n AS (
+  SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY x
+)
+SELECT c.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n ON c.vec_id = n.vec_id
+""",
+    "op9_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+  FROM d, unnest(range(1, greatest(len(w) - 1, 2))) AS u(i) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)
+), r(x, y) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
+""",
     "op1_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html FROM pages
