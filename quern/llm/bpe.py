@@ -65,3 +65,13 @@ class Pieces(dict):
         except Irregular:
             return self.of(text)
         return sum(parts) if self.counts else b"".join(parts)
+
+
+_compiled: dict[tuple[str, bool], Pieces] = {}
+
+
+def compiled(path: str, counts: bool = False) -> Pieces:
+    """This process's pieces of a vocabulary; they outlive a task."""
+    if (path, counts) not in _compiled:
+        _compiled[path, counts] = Pieces(path, counts=counts)
+    return _compiled[path, counts]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import scratch
-from quern.llm.bpe import Pieces
+from quern.llm.bpe import compiled
 from quern.llm.wordhash import pieces
 
 U = np.uint64
@@ -125,7 +125,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, per_file
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, part, seq = Pieces(vocabulary), TaskContext.get().partitionId(), 0
+        t, part, seq = compiled(vocabulary), TaskContext.get().partitionId(), 0
         end = np.array([end_id], t.type).tobytes()
         names, lengths, raw, held = [], [], [], 0
 

@@ -16,19 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import scratch
-from quern.llm.bpe import Pieces
+from quern.llm.bpe import Pieces, compiled
 from quern.llm.wordhash import pieces
 
 CHUNK = 1 << 20
 _CUT = re.compile(r"(?<=\S)[ \n]")
-_pieces: dict[str, Pieces] = {}
-
-
-def compiled(path: str) -> Pieces:
-    """This process's transducer for a vocabulary."""
-    if path not in _pieces:
-        _pieces[path] = Pieces(path, counts=True)
-    return _pieces[path]
 
 
 def chunk_map(t: Pieces, text: str) -> tuple[bool, str, int, str]:
@@ -78,7 +70,7 @@ def count(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK) ->
     rows = rows.withColumn("parts", parts).select("row", "doc_id", "n_bytes", "parts", F.posexplode(cut).alias("part", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = compiled(path)
+        t = compiled(path, counts=True)
         for batch in batches:
             for some in pieces(batch, "text"):
                 found = [(False, "", t.encode(x), "") if k == 1 else chunk_map(t, x) for k, x in zip(some.column("parts").to_pylist(), some.column("text").to_pylist(), strict=True)]
@@ -87,7 +79,7 @@ def count(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK) ->
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(closed), pa.array(head, pa.string()), pa.array(n_, pa.int64()), pa.array(tail, pa.string())], names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = compiled(path)
+        t = compiled(path, counts=True)
         for batch in batches:
             sums = [total(t, [(m["closed"], m["head"], m["n"], m["tail"]) for m in maps]) for maps in batch.column("maps").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(sums, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
