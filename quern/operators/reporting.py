@@ -17,7 +17,7 @@ def mean_sd(df: DataFrame, by: list[str], values: dict[str, Column], scale: floa
 
 def mean_sd_text(mean: Column, sd: Column) -> Column:
     """Presentation only: "mean ± sd" with two decimals, "—" without values, "nan" for a single one."""
-    return F.when(mean.isNull(), F.lit("—")).otherwise(F.concat(F.format_string("%.2f", mean), F.lit(" ± "), F.coalesce(F.format_string("%.2f", sd), F.lit("nan"))))
+    return F.when(mean.isNull(), F.lit("—")).otherwise(F.concat(F.format_string("%.2f", mean), F.lit(" ± "), F.when(sd.isNull(), F.lit("nan")).otherwise(F.format_string("%.2f", sd))))
 
 
 def long_metrics(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
