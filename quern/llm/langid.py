@@ -93,9 +93,9 @@ class Scorer:
             starts.append(len(flat))
             words.append(len(found))
             for w in found:
-                rows = self.model.places(w)
-                flat += rows
-                share += [1 / len(rows)] * len(rows)
+                if rows := self.model.places(w):
+                    flat += rows
+                    share += [1 / len(rows)] * len(rows)
             flat.append(0)
             share.append(0.0)
         if own:
