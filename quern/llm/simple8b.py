@@ -29,17 +29,21 @@ MAGIC, HEAD = b"S8BK", "<4sIIIQII"
 PER_FILE = 8_000_000
 
 
+#: Bits that a rank takes, at least one.
+_BITS = np.ceil(np.log2(np.maximum(np.arange(RANKS), 1) + 1.0)).astype(np.int8)
+
+
 def pack(ranks: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Words for one block. ``ranks`` below 0 are escaped with their ``raw`` id."""
     n = len(ranks)
-    bits = np.where(ranks < 0, 99, np.ceil(np.log2(np.maximum(ranks, 1) + 1.0))).astype(np.int8)
-    best, at = np.full(n, ESCAPE, np.int8), np.arange(n)
+    bits = np.append(_BITS, np.int8(99))[ranks]  # the last entry serves -1
+    best, at = np.full(n, ESCAPE, np.int8), np.arange(n, dtype=np.int32)
     top = int(bits.max(initial=1, where=bits < 99))
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, width = SELECTORS[s]
         if s and SELECTORS[s - 1][1] >= top:
             continue  # a selector with more values holds all that this one does
-        over = np.where(bits > width, at, n + 64)
+        over = np.where(bits > width, at, np.int32(n + 64))
         free = np.minimum.accumulate(over[::-1])[::-1] - at
         best[free >= count] = s
     starts, i, steps = [], 0, np.where(best == ESCAPE, 1, np.array([c for c, _ in SELECTORS] + [1, 1])[best]).tolist()
@@ -78,7 +82,14 @@ def unpack(words: np.ndarray, n: int, ids: np.ndarray) -> np.ndarray:
 
 def write_file(part: int, seq: int, doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     """A file of documents, less its closing newline."""
-    known, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() < 1 << 20:  # a table of counts instead of a sort
+        every = np.bincount(ids)
+        known = np.flatnonzero(every)
+        count, place = every[known], np.zeros(len(every), np.int32)
+        place[known] = np.arange(len(known), dtype=np.int32)
+        inverse = place[ids]
+    else:
+        known, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-count, kind="stable")[:RANKS]
     rank = np.full(len(known), -1, np.int64)
     rank[order] = np.arange(len(order))
