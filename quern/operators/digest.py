@@ -37,11 +37,11 @@ def subsections(headers: DataFrame, blocks: DataFrame) -> DataFrame:
     top = blocks.agg(F.max("page_index").alias("_top"))
     span = span.join(F.broadcast(top)).where(F.col("page_index") <= F.col("_top")).drop("_top")
     b = blocks.select(F.col("page_index").alias("_p"), "block_no", F.col("text").alias("_t"))
-    owned = F.broadcast(span).join(b, (F.col("_p") >= F.col("page_index")) & (F.col("_p") < F.col("_to")))
+    owned = span.join(b, (F.col("_p") >= F.col("page_index")) & (F.col("_p") < F.col("_to")))
     body = owned.groupBy("header_id").agg(ordered_join([F.col("_p"), F.col("block_no")], F.col("_t"), "\n").alias("raw"))
     out = headers.join(span.select("header_id"), "header_id", "left_semi").join(body, "header_id", "left")
     passage = text.normalize_passage(F.coalesce("raw", F.lit("")))
-    return out.drop("raw").select(*headers.columns, text.subsection_key(F.col("header_id"), F.col("title")).alias("subsection_key"), passage.alias("passage")).withColumns({"char_count": F.char_length("passage"), "image_marker_count": F.regexp_count("passage", F.lit(text.IMAGE_MARKER)), "table_marker_count": F.regexp_count("passage", F.lit("<t\\s+\\d+>"))})
+    return out.select(*headers.columns, text.subsection_key(F.col("header_id"), F.col("title")).alias("subsection_key"), passage.alias("passage")).withColumns({"char_count": F.char_length("passage"), "image_marker_count": F.regexp_count("passage", F.lit(text.IMAGE_MARKER)), "table_marker_count": F.regexp_count("passage", F.lit("<t\\s+\\d+>"))})
 
 
 def first_containing(points: DataFrame, boxes: DataFrame, on: str, x: Column, y: Column, margin: float = 1.0) -> DataFrame:
