@@ -1,15 +1,17 @@
 """Line deduplication by a fixed-depth tree of log templates.
 
-A line goes down the tree by its number of tokens and its leading tokens, fields with digits read as ``<*>``.
-In a leaf, tokens that recur at their place are constants and all others are fields; lines with the same
-constants share a template, if constants make up enough of it. Lines whose template recurs in several
-documents are dropped.
+A line goes down the tree by its number of tokens and its leading tokens, tokens with digits read as fields. In
+a leaf, tokens that recur at their place are constants and all others are fields; lines with the same constants
+share a template, if constants make up enough of it. Lines whose template recurs in several documents are dropped.
+
+Tokens are 64-bit hashes throughout, made for all texts of a batch at once. A leaf with one line needs no
+tokens at all: its line is its template. Tokens travel only for leaves where different lines meet.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,116 +19,162 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import scratch
-from quern.llm.wordhash import pieces
-
-FIELD, LEAF_BITS = "<*>", 1 << 22
-
-
-def _hash(*parts: object) -> int:
-    return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def mask(line: str) -> list[str]:
-    """Tokens of a line; those with a digit are fields from the start."""
-    return [FIELD if any(c.isdigit() for c in w) else w for w in line.split()]
-
-
-def leaf(tokens: list[str], depth: int) -> int:
-    """The tree's leaf: number of tokens, then leading tokens."""
-    return _hash(len(tokens), *tokens[:depth])
-
-
-def _leaves(depth: int, least: int):
-    """Distinct leaves of every text, with the text's own hash."""
+from quern.llm.wordhash import U, buffers, hashes, mix, pieces, spans
+
+#: What a token with a digit counts as.
+FIELD = 0x3C2A3E
+#: Bits of the fixed-size filter (2 MB) that lets most lines stop at the scan.
+BITS = 1 << 24
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+
+
+class Lines(NamedTuple):
+    """Lines with enough tokens, in order; ``tokens`` of line i are ``first[i]`` to ``first[i] + count[i]``."""
+
+    text: np.ndarray
+    at: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    leaf: np.ndarray
+    line: np.ndarray
+    own: np.ndarray
+    shaped: np.ndarray
+    tokens: np.ndarray
+
+
+def lines_of(texts: pa.Array, depth: int, least: int, similarity: float = 0.0) -> Lines:
+    """Lines of ``least`` tokens or more. ``at`` is a line's number in its text, ``own`` stands for the text's words,
+    ``shaped`` says whether tokens without digits make up ``similarity`` of the line."""
+    data, offsets = buffers(texts)
+    starts, ends = spans(data, offsets)
+    none = np.zeros(0, np.int64)
+    if not len(starts):
+        return Lines(none, none, none, none, none.view(U), none.view(U), none.view(U), none.astype(bool), none.view(U))
+    h = hashes(data, starts, ends, cased=True)
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
+    field = digits[ends] > digits[starts]
+    tokens = np.where(field, U(FIELD), h)
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    at = breaks[starts] - breaks[offsets[text]]
+
+    opens = np.concatenate([[True], text[1:] != text[:-1]])
+    first = np.flatnonzero(opens | np.concatenate([[True], at[1:] != at[:-1]]))
+    count = np.diff(np.append(first, len(starts)))
+    begins = np.flatnonzero(opens)
+    sizes = np.diff(np.append(begins, len(starts)))
+    with np.errstate(over="ignore"):
+        own = np.add.reduceat(mix(h ^ mix((np.arange(len(h)) - np.repeat(begins, sizes)).astype(U))), begins)
+        line = mix(np.add.reduceat(mix(tokens ^ mix((np.arange(len(h)) - np.repeat(first, count)).astype(U), 7)), first) ^ count.astype(U))
+        leaf = mix(count.astype(U))
+        for j in range(depth):
+            leaf = mix(leaf * U(0xD6E8FEB86659FD93) + np.where(count > j, tokens[np.minimum(first + j, len(h) - 1)], U(0)))
+    own = own[np.cumsum(opens)[first] - 1]
+    constant = count - np.add.reduceat(field.astype(np.int64), first)
+    use = count >= least
+    first, count = first[use], count[use]
+    return Lines(text[first], at[first], first, count, leaf[use], line[use], own[use], constant[use] >= similarity * count, tokens)
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == U else x.astype(np.int64))
+
+
+def _met(depth: int, least: int, similarity: float):
+    """(leaf, line, own, shaped) of every line, once a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                rows = []
-                for text in part.column("text").to_pylist():
-                    found = {leaf(t, depth) for x in (text or "").split("\n") if len(t := mask(x)) >= least}
-                    if found:
-                        own = _hash(text)
-                        rows += [(k, own) for k in found]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["leaf", "own"])
+                x = lines_of(part.column("text"), depth, least, similarity)
+                _, one = np.unique(mix(x.line ^ mix(x.own)), return_index=True)
+                yield pa.RecordBatch.from_arrays([_long(x.leaf[one]), _long(x.line[one]), _long(x.own[one]), pa.array(x.shaped[one])], ["leaf", "line", "own", "shaped"])
 
     return run
 
 
-def _lines(depth: int, least: int, table):
-    """Distinct masked lines of every text in leaves that may recur."""
+def _tokens(depth: int, least: int, table):
+    """(line, tokens) of lines whose leaf may be in a bit table, once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for batch in batches:
             for part in pieces(batch, "text"):
-                rows = []
-                for text in part.column("text").to_pylist():
-                    own, seen = None, set()
-                    for x in (text or "").split("\n"):
-                        if len(t := mask(x)) >= least:
-                            k = leaf(t, depth)
-                            low = k & (LEAF_BITS - 1)
-                            if bits[low >> 3] >> (low & 7) & 1 and (line := _hash(*t)) not in seen:
-                                seen.add(line)
-                                own = own if own is not None else _hash(text)
-                                rows.append((k, line, own, t))
-                if rows:
-                    a, b, c, d = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.list_(pa.string()))], ["leaf", "line", "own", "tokens"])
+                x = lines_of(part.column("text"), depth, least)
+                _, one = np.unique(x.line, return_index=True)
+                one = one[_among(bits, x.leaf[one])]
+                rows = [x.tokens[a : a + n].view(np.int64) for a, n in zip(x.first[one].tolist(), x.count[one].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([_long(x.line[one]), pa.array(rows, pa.list_(pa.int64()))], ["line", "tokens"])
 
     return run
 
 
+def _among(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    low = (x & U(BITS - 1)).astype(np.int64)
+    return (bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter(keys: DataFrame, column: str):
+    """A broadcast bit table of fixed size; a full one only lets more rows through to the joins."""
+    low = f"({column} & {BITS - 1})"
+    table = np.zeros(BITS // 32, "<u4")
+    for r in keys.groupBy(F.expr(f"cast({low} div 32 as int)").alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, cast({low} % 32 as int)))").alias("bits")).collect():
+        table[r.cell] = r.bits & 0xFFFFFFFF  # at most BITS / 32 rows
+    return keys.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+
+
 def recurring(docs: DataFrame, min_documents: int = 3, depth: int = 3, min_tokens: int = 4, similarity: float = 0.75) -> DataFrame:
     """(line, template, support) of every masked line that belongs to a recurring template.
 
-    Support counts distinct texts, so exact copies of a document make nothing recur. All counts are sums that
-    combine before they are shuffled, and cover all documents.
+    Tokens are runs of bytes other than white space (20, 09-0D), a line ends at 0A. Support counts texts with
+    different words, so exact copies of a document make nothing recur, nor does one text with many lines of a
+    template. Counts combine before they are shuffled and cover all documents.
     """
-    spark = docs.sparkSession
-    scratch.bound_batches(spark)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    met = texts.mapInArrow(_leaves(depth, min_tokens), "leaf long, own long").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
-    met = scratch.table(met.select("leaf"), "leaves")
-    low = f"(leaf & {LEAF_BITS - 1})"
-    table = np.zeros(LEAF_BITS // 32, "<u4")
-    for r in met.groupBy(F.expr(f"cast({low} div 32 as int)").alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, cast({low} % 32 as int)))").alias("bits")).collect():
-        table[r.cell] = r.bits & 0xFFFFFFFF  # at most LEAF_BITS / 32 rows
-    lines = texts.mapInArrow(_lines(depth, min_tokens, spark.sparkContext.broadcast(table.view(np.uint8))), "leaf long, line long, own long, tokens array<string>")
-    lines = lines.groupBy("leaf", "line", "own").agg(F.any_value("tokens").alias("tokens")).groupBy("leaf", "line").agg(F.count("*").alias("n"), F.any_value("tokens").alias("tokens"))
-    lines = scratch.table(lines.join(met, "leaf", "left_semi"), "lines")
-
+    scratch.bound_batches(docs.sparkSession)
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    met = scratch.table(texts.mapInArrow(_met(depth, min_tokens, similarity), "leaf long, line long, own long, shaped boolean").distinct(), "met")
+    counted = met.groupBy("leaf", "line", "shaped").agg(F.count("*").alias("n"))
+    leaves = scratch.table(counted.groupBy("leaf").agg(F.sum("n").alias("met"), F.count("*").alias("lines"), F.min("line").alias("line"), F.max("shaped").alias("shaped")).where(F.col("met") >= min_documents), "leaves")
+    alone = leaves.where("lines = 1 and shaped").select("line", F.xxhash64("leaf", "line").alias("template"), F.col("met").alias("support"))
+
+    several = leaves.where("lines > 1").select("leaf")
+    tokens = texts.mapInArrow(_tokens(depth, min_tokens, _filter(several, "leaf")), "line long, tokens array<long>").groupBy("line").agg(F.any_value("tokens").alias("tokens"))
+    lines = scratch.table(counted.join(several, "leaf", "left_semi").select("leaf", "line", "n").join(tokens, "line"), "lines")
     places = lines.select("leaf", "line", "n", F.posexplode("tokens").alias("at", "token"))
     constant = places.where(F.col("token") != FIELD).groupBy("leaf", "at", "token").agg(F.sum("n").alias("times")).where(F.col("times") >= min_documents).select("leaf", "at", "token")
-    fixed = places.join(constant.withColumn("fixed", F.lit(True)), ["leaf", "at", "token"], "left")
-    shaped = fixed.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD)).alias("token")))).alias("t"), F.first("n").alias("n"))
-    shaped = shaped.select("leaf", "line", "n", F.transform("t", lambda x: x["token"]).alias("t"))
-    shaped = shaped.where(F.size(F.filter("t", lambda x: x != FIELD)) >= similarity * F.size("t"))
-    shaped = scratch.table(shaped.select("line", "n", F.xxhash64("leaf", "t").alias("template")), "shaped")
-    support = shaped.groupBy("template").agg(F.sum("n").alias("support")).where(F.col("support") >= min_documents)
-    return shaped.join(support, "template").select("line", "template", "support")
+    fixed = places.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("constants"), F.bit_xor(F.xxhash64("at", "token")).alias("sum"))
+    shaped = fixed.join(lines.select("line", F.size("tokens").alias("size")), "line").where(F.col("constants") >= similarity * F.col("size"))
+    shaped = scratch.table(shaped.select("line", F.xxhash64("leaf", "constants", "sum").alias("template")), "shaped")
+    support = met.select("line", "own").join(shaped, "line").select("template", "own").distinct().groupBy("template").agg(F.count("*").alias("support"))
+    shared = shaped.join(support.where(F.col("support") >= min_documents), "template").select("line", "template", "support")
+    return alone.unionByName(shared)
+
 
+def _split(depth: int, least: int, table):
+    """(row, at, line) of lines that may be in a bit table."""
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch, "text"):
-            rows, n = [], []
-            for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
-                rows += [(row, i, _hash(*mask(x))) for i, x in enumerate((text or "").split("\n"))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["row", "at", "line"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                x = lines_of(part.column("text"), depth, least)
+                use = _among(bits, x.line)
+                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(x.text[use])), _long(x.at[use]), _long(x.line[use])], ["row", "at", "line"])
+
+    return run
 
 
-def drop_lines(docs: DataFrame, **options) -> DataFrame:
+def drop_lines(docs: DataFrame, min_documents: int = 3, depth: int = 3, min_tokens: int = 4, similarity: float = 0.75) -> DataFrame:
     """All rows and columns of ``docs``, texts without the lines of recurring templates, with n_lines and n_dropped.
 
     See ``recurring`` for the options. A null text stays null with no lines; a text of which nothing is left is
     empty. Rows equal in id and text get equal results. Columns named n_lines or n_dropped are replaced.
     """
-    bad = recurring(docs, **options).select("line").distinct()
+    bad = scratch.table(recurring(docs, min_documents, depth, min_tokens, similarity).select("line").distinct(), "bad")
     keyed = docs.drop("n_lines", "n_dropped").withColumn("row", F.xxhash64("doc_id", "text"))
-    where = keyed.select("row", F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(_split, "row long, at long, line long")
+    texts = keyed.select("row", F.col("text").cast("string").alias("text")).where("text is not null")
+    where = texts.mapInArrow(_split(depth, min_tokens, _filter(bad, "line")), "row long, at long, line long")
     gone = where.join(bad, "line").groupBy("row").agg(F.collect_set("at").alias("gone"))
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i.cast("long")), x)), lambda x: x.isNotNull())

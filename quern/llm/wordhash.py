@@ -18,6 +18,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BYTE[65:91] = _BYTE[97:123]
+_CASED = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _P, _Q = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -62,9 +63,15 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and where each text's words begin (one more entry than texts)."""
     data, offsets = buffers(texts)
+    starts, ends = spans(data, offsets)
+    return hashes(data, starts, ends), np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all texts start and end."""
     n = len(data)
     if not n:
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     solid = ~_SPACE[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
@@ -75,7 +82,12 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after = np.empty(n, bool)
     after[-1] = True
     np.logical_not(solid[1:], out=after[:-1])
-    ends = np.flatnonzero(solid & (after | cut[1:])) + 1
+    return starts, np.flatnonzero(solid & (after | cut[1:])) + 1
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cased: bool = False) -> np.ndarray:
+    """Hashes of the words at ``starts`` to ``ends``; ``cased``: A-Z differ from a-z."""
+    table = _CASED if cased else _BYTE
     out = np.empty(len(starts), U)
     lo = 0
     while lo < len(starts):
@@ -85,11 +97,11 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             run = np.empty(to - at + 1, U)
             run[0] = 0
-            np.cumsum(_BYTE[data[at:to]] * up[: to - at], out=run[1:])
+            np.cumsum(table[data[at:to]] * up[: to - at], out=run[1:])
             s, e = starts[lo:hi] - at, ends[lo:hi] - at
             out[lo:hi] = mix((run[e] - run[s]) * down[s] + (e - s).astype(U))
         lo = hi
-    return out, np.searchsorted(starts, offsets).astype(np.int64)
+    return out
 
 
 def fold(h: np.ndarray, n: int) -> np.ndarray:
