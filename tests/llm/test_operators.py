@@ -226,6 +226,41 @@ def test_line_templates(spark):
     assert out[21].n_dropped == 1 and out[30].text is None and out[31].text == ""
 
 
+def test_line_templates_equal_brute_force(spark):
+    rng = random.Random(9)
+
+    def line():
+        kind = rng.randrange(5)
+        if kind == 0:
+            return f"order {rng.randrange(99)} was sent to {rng.choice('abcdefgh')} on day {rng.randrange(9)} of the week"
+        if kind == 1:
+            return " ".join(rng.choice("pqr") for _ in range(rng.randrange(3, 7)))
+        if kind == 2:
+            return rng.choice(["", "  ", "one two three", "the\tsame line  again\r", "The same line again"])
+        return words(rng, rng.randrange(3, 9), 40).replace("w", rng.choice("xy"))
+
+    texts = ["\n".join(line() for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    texts += texts[:8] + ["\n".join(f"alone {k} has many such lines" for k in range(9)), None, "", "\n\n", "x " * 30000]
+    split = lambda x: re.findall(r"[^\x20\x09-\x0D]+", x)
+    mask = lambda x: tuple("<*>" if re.search("[0-9]", w) else w for w in split(x))
+    met = {(t, tuple(split(x))) for x in texts if x for y in x.split("\n") if len(t := mask(y)) >= 4}
+    times, seen, owners = {}, {}, {}
+    for t, _ in met:
+        seen[len(t), t[:3]] = seen.get((len(t), t[:3]), 0) + 1
+        for k in enumerate(t):
+            times[len(t), t[:3], k] = times.get((len(t), t[:3], k), 0) + 1
+    shape = lambda t: (len(t), t[:3], tuple(k for k in enumerate(t) if k[1] != "<*>" and times[len(t), t[:3], k] >= 3))
+    for t, own in met:
+        if seen[len(t), t[:3]] >= 3 and len(shape(t)[2]) >= 0.75 * len(t):
+            owners.setdefault(shape(t), set()).add(own)
+    bad = {t for t, _ in met if len(owners.get(shape(t), ())) >= 3}
+    want = [x if not x else "\n".join(y for y in x.split("\n") if mask(y) not in bad) for x in texts]
+    out = linetemplates.drop_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert bad and [r.text for r in out] == want
+    empty_ = spark.createDataFrame([], "doc_id long, text string")
+    assert linetemplates.drop_lines(empty_).count() == 0
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = docs.join(langid.predictions(docs), "doc_id").where("held_out").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok"), "score")
