@@ -19,8 +19,12 @@ a pair just at the threshold would be missed with a chance of at most ``MISS`` =
 of the 64-bit hashes in use; no neighbourhoods are needed then. Small sets keep the strict guarantee.
 
 Candidates are stars: the smallest id of a bucket against the others, so a group of many copies gives as
-many rows as it has members. Only where a bucket still spans several components after that are its other
-pairs, across components, checked too. Sets are 64-bit shingle hashes; checks compare whole sets.
+many rows as it has members. Where a bucket still spans several components after that, its other pairs
+across components matter too. Passages that many documents share fill such buckets, so the pairs aren't
+listed as they meet: of each such set the shingles rarest among these sets, one more than it may lack in a
+partner, are joined instead. Every similar pair shares one of them, early enough in both orders. The order is
+by counts over all these sets in a table of fixed size; collisions there cost time, never a pair. Sets are
+64-bit shingle hashes; checks compare whole sets.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ PER_TASK = 1_500_000
 FULL, LESS, FEW, NONE = 0, 1, 2, 3
 #: Bits of the table that says which texts to fetch for checks (512 kB, whatever the data).
 ID_BITS = 1 << 22
+#: Cells of the table of shingle counts that ranks shingles by rarity (8 MB, whatever the data).
+CELLS = 1 << 20
 #: Chance, over the hash that deals shingles to segments, of missing a pair just at the threshold; less for closer ones.
 MISS = 1e-12
 
@@ -185,6 +191,16 @@ def _may_link(t: Fraction):
     return run
 
 
+def _bits(ids: DataFrame):
+    """A broadcast bit table of fixed size in which the bits of all ``ids`` (id) are set."""
+    cell = F.col("id").bitwiseAND(F.lit(ID_BITS - 1))
+    cells = ids.groupBy((cell / 32).cast("int").alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, cast((id & {ID_BITS - 1}) % 32 as int)))").alias("bits"))
+    table = np.zeros(ID_BITS // 32, "<u4")
+    for r in cells.collect():  # at most ID_BITS / 32 rows
+        table[r.cell] = r.bits & 0xFFFFFFFF
+    return ids.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+
+
 def _near(ids):
     """Documents whose id may be among those of a fixed-size bit table."""
 
@@ -198,6 +214,71 @@ def _near(ids):
     return run
 
 
+def _cell(x: np.ndarray) -> np.ndarray:
+    return (mix(x, 0x3C6EF372FE94F82B) & U(CELLS - 1)).astype(np.int64)
+
+
+def _cell_counts(n: int):
+    """How many sets have a shingle in each cell, summed over a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                for x in shingle_sets(part.column("text"), n):
+                    np.add.at(total, _cell(x), 1)
+        used = np.flatnonzero(total)
+        for k in range(0, len(used), 200_000):
+            some = used[k : k + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
+
+    return run
+
+
+def _rarest(n: int, t: Fraction, counts):
+    """The shingles of each set, rarest first, that a partner can't all lack, with their places in that order."""
+    up, down = t.numerator, t.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                ids, out = part.column("doc_id").to_numpy(), []
+                for doc, x in zip(ids, shingle_sets(part.column("text"), n), strict=True):
+                    if len(x):
+                        most = len(x) - -(-up * len(x) // down) + 1
+                        first = x[np.lexsort((x, table[_cell(x)]))[:most]]
+                        out.append((first, np.arange(len(first), dtype=np.int32), np.full(len(first), len(x), np.int64), np.full(len(first), doc, np.int64)))
+                if out:
+                    shingle, place, size, doc = (np.concatenate(c) for c in zip(*out, strict=True))
+                    for k in range(0, len(doc), 200_000):
+                        j = slice(k, k + 200_000)
+                        yield pa.RecordBatch.from_arrays([pa.array(shingle[j].view(np.int64)), pa.array(place[j]), pa.array(size[j]), pa.array(doc[j])], ["shingle", "place", "size", "doc"])
+
+    return run
+
+
+def _across(nodes: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (doc, label) with different labels that may reach ``t``."""
+    spark = nodes.sparkSession
+    near = texts.mapInArrow(_near(_bits(nodes.select(F.col("doc").alias("id")))), "doc_id long, text string")
+    near = near.join(nodes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    near = scratch.table(near.select("doc_id", "text"), "near")
+    cells = near.mapInArrow(_cell_counts(n), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    rare = near.mapInArrow(_rarest(n, t, spark.sparkContext.broadcast(counts)), "shingle long, place int, size long, doc long")
+    rare = scratch.table(rare.join(nodes, "doc"), "rare")
+    shared = rare.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("shingle")
+    rare = rare.join(shared, "shingle")
+    x, y = rare.alias("x"), rare.alias("y")
+    up, down = t.numerator, t.denominator
+    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))  # bounds what the two share
+    fits = (F.col("x.label") < F.col("y.label")) & (left * (up + down) >= (F.col("x.size") + F.col("y.size")) * up)
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & fits)
+    return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+
+
 def _sign(n: int, s: Schemes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,16 +367,10 @@ def _verified(pairs: DataFrame, sized: DataFrame, texts: DataFrame, n: int, t: F
     Sizes and parity sketches first drop pairs that differ too much for certain; whole texts are fetched for the
     rest only. All joins are plain equi-joins, so hot ids are split at run time.
     """
-    spark = pairs.sparkSession
     for end in ("a", "b"):
         pairs = pairs.join(sized.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")).distinct(), end)
     left = scratch.table(pairs.mapInArrow(_may_link(t), "a long, b long").distinct(), "left")
-    cell = F.col("id").bitwiseAND(F.lit(ID_BITS - 1))
-    cells = left.select(F.explode(F.array("a", "b")).alias("id")).groupBy((cell / 32).cast("int").alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, cast((id & {ID_BITS - 1}) % 32 as int)))").alias("bits"))
-    table = np.zeros(ID_BITS // 32, "<u4")
-    for r in cells.collect():  # at most ID_BITS / 32 rows
-        table[r.cell] = r.bits & 0xFFFFFFFF
-    near = texts.mapInArrow(_near(spark.sparkContext.broadcast(table.view(np.uint8))), "doc_id long, text string")
+    near = texts.mapInArrow(_near(_bits(left.select(F.explode(F.array("a", "b")).alias("id")))), "doc_id long, text string")
     with_b = left.join(near.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(near.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_check(n, t), "a long, b long").distinct()
@@ -353,11 +428,9 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: Fraction | str =
         members = scratch.table(members, "members")
         scratch.drop(met)
         mixed = members.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-        members = members.join(mixed, "key")
-        x, y = members.alias("x"), members.alias("y")
-        meet = (F.col("x.kind") == FULL) & F.col("y.kind").isin(FULL, LESS) | (F.col("x.kind") == LESS) & (F.col("y.kind") == FULL) | (F.col("x.kind") == FEW) | (F.col("y.kind") == FEW)
-        rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & meet)
-        rest = of_copies(rest.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()).join(pairs, ["a", "b"], "left_anti")
+        crossing = members.join(mixed, "key").select("doc", "label").distinct()
+        crossing = crossing.join(copies.withColumnRenamed("id", "doc"), "doc", "left").select(F.coalesce("rep", "doc").alias("doc"), "label").distinct()
+        rest = _across(scratch.table(crossing, "crossing"), docs, words, t).join(pairs, ["a", "b"], "left_anti")
         rest = scratch.table(rest, "rest")
         if not rest.isEmpty():
             late = scratch.table(_verified(rest, sized, docs, words, t), "late")

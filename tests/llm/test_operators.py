@@ -77,6 +77,23 @@ def test_jaccard_equals_all_pairs(spark, docs, n, t):
     assert jaccard.similar_groups(empty(spark), n, t).count() == 0
 
 
+def test_pairs_across_components_hold_every_link(spark):
+    """Sets that share a passage but don't link give few pairs; those that link are all there."""
+    rng = random.Random(9)
+    passage = words(rng, 30)
+    rows = [passage + " " + words(rng, 20) for _ in range(60)]
+    for k in range(0, 20, 2):  # a near copy of some
+        rows[k + 1] = rows[k] + " x"
+    sets = [shingles(x, 3) for x in rows]
+    linked = {(i, j) for j in range(60) for i in range(j) if 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j])}
+    texts = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    nodes = texts.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("label"))
+    got = {(r.a, r.b) for r in jaccard._across(nodes, texts, 3, Fraction("0.9")).collect()}
+    assert len(linked) == 10 and linked <= got and len(got) < 100
+    assert jaccard._across(nodes.withColumn("label", F.lit(0)), texts, 3, Fraction("0.9")).count() == 0
+    assert jaccard._across(nodes.where("false"), texts, 3, Fraction("0.9")).count() == 0
+
+
 def test_parities_bound_differences():
     rng = np.random.default_rng(1)
     for _ in range(200):
