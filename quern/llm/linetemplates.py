@@ -168,7 +168,8 @@ def _split(depth: int, least: int, table):
 def drop_lines(docs: DataFrame, min_documents: int = 3, depth: int = 3, min_tokens: int = 4, similarity: float = 0.75) -> DataFrame:
     """All rows and columns of ``docs``, texts without the lines of recurring templates, with n_lines and n_dropped.
 
-    See ``recurring`` for the options. A null text stays null with no lines; a text of which nothing is left is
+    See ``recurring`` for the options; lines of fewer than ``min_tokens`` tokens are kept however often they recur.
+    A null text stays null with no lines; a text of which nothing is left is
     empty. Rows equal in id and text get equal results. Columns named n_lines or n_dropped are replaced.
     """
     bad = scratch.table(recurring(docs, min_documents, depth, min_tokens, similarity).select("line").distinct(), "bad")
@@ -186,6 +187,6 @@ def drop_lines(docs: DataFrame, min_documents: int = 3, depth: int = 3, min_toke
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_chars, kept_md5) for every document."""
+    """(doc_id, n_lines, n_dropped, kept_chars, kept_md5) for every document. ``min_tokens=1`` leaves out no line."""
     out = drop_lines(docs.select("doc_id", "text"), **options)
     return out.select("doc_id", "n_lines", "n_dropped", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long")).alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))

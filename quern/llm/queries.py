@@ -38,7 +38,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.linetemplates import report
 
-    return report(_table(spark, sf_dir, "documents"))
+    return report(_table(spark, sf_dir, "documents"), min_tokens=1)
 
 
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,6 +278,18 @@ def test_line_templates_equal_brute_force(spark):
     assert linetemplates.drop_lines(empty_).count() == 0
 
 
+def test_short_lines_recur(spark, tmp_path):
+    """The registered query drops lines of any number of tokens; those without a constant or in too few texts stay."""
+    from quern.llm import queries
+
+    rng = random.Random(10)
+    rows = [(i, "\n".join([words(rng, 9), "All rights reserved.", "Menu", "And  so", str(i), "", words(rng, 9)] + ["Rare one"] * (i < 2))) for i in range(6)] + [(7, "Menu"), (8, "Menu\n\nall"), (9, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op5_line_templates(spark, str(tmp_path)).collect()}
+    assert [(r.n_lines, r.n_dropped) for _, r in sorted(got.items())] == [(8, 3)] * 2 + [(7, 3)] * 4 + [(1, 1), (3, 1), (0, 0)]
+    assert got[7].kept_chars == 0 and got[8].kept_chars == len("\nall")
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = docs.join(langid.predictions(docs), "doc_id").where("held_out").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok"), "score")
