@@ -2,7 +2,9 @@
 
 A line goes down the tree by its number of tokens and its leading tokens, tokens with digits read as fields. In
 a leaf, tokens that recur at their place are constants and all others are fields; lines with the same constants
-share a template, if constants make up enough of it. Lines whose template recurs in several documents are dropped.
+share a template, if constants make up enough of it. A line that recurs by itself, fields aside, is a template
+whatever its share of fields, but for lines of fields alone. Lines whose template recurs in several documents are
+dropped.
 
 Tokens are 64-bit hashes throughout, made for all texts of a batch at once. A leaf with one line needs no
 tokens at all: its line is its template. Tokens travel only for leaves where different lines meet.
@@ -43,9 +45,9 @@ class Lines(NamedTuple):
     tokens: np.ndarray
 
 
-def lines_of(texts: pa.Array, depth: int, least: int, similarity: float = 0.0) -> Lines:
+def lines_of(texts: pa.Array, depth: int, least: int) -> Lines:
     """Lines of ``least`` tokens or more. ``at`` is a line's number in its text, ``own`` stands for the text's words,
-    ``shaped`` says whether tokens without digits make up ``similarity`` of the line."""
+    ``shaped`` says whether the line has a token without digits."""
     data, offsets = buffers(texts)
     starts, ends = spans(data, offsets)
     none = np.zeros(0, np.int64)
@@ -74,20 +76,20 @@ def lines_of(texts: pa.Array, depth: int, least: int, similarity: float = 0.0) -
     constant = count - np.add.reduceat(field.astype(np.int64), first)
     use = count >= least
     first, count = first[use], count[use]
-    return Lines(text[first], at[first], first, count, leaf[use], line[use], own[use], constant[use] >= similarity * count, tokens)
+    return Lines(text[first], at[first], first, count, leaf[use], line[use], own[use], constant[use] > 0, tokens)
 
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U else x.astype(np.int64))
 
 
-def _met(depth: int, least: int, similarity: float):
+def _met(depth: int, least: int):
     """(leaf, line, own, shaped) of every line, once a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                x = lines_of(part.column("text"), depth, least, similarity)
+                x = lines_of(part.column("text"), depth, least)
                 _, one = np.unique(mix(x.line ^ mix(x.own)), return_index=True)
                 yield pa.RecordBatch.from_arrays([_long(x.leaf[one]), _long(x.line[one]), _long(x.own[one]), pa.array(x.shaped[one])], ["leaf", "line", "own", "shaped"])
 
@@ -127,28 +129,31 @@ def _filter(keys: DataFrame, column: str):
 def recurring(docs: DataFrame, min_documents: int = 3, depth: int = 3, min_tokens: int = 4, similarity: float = 0.75) -> DataFrame:
     """(line, template, support) of every masked line that belongs to a recurring template.
 
+    A masked line in ``min_documents`` texts is a template by itself if any of its tokens is constant; ``similarity``
+    is the share of constants that different lines of a leaf need to count as one template.
     Tokens are runs of bytes other than white space (20, 09-0D), a line ends at 0A. Support counts texts with
     different words, so exact copies of a document make nothing recur, nor does one text with many lines of a
     template. Counts combine before they are shuffled and cover all documents.
     """
     scratch.bound_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    met = scratch.table(texts.mapInArrow(_met(depth, min_tokens, similarity), "leaf long, line long, own long, shaped boolean").distinct(), "met")
+    met = scratch.table(texts.mapInArrow(_met(depth, min_tokens), "leaf long, line long, own long, shaped boolean").distinct(), "met")
     counted = met.groupBy("leaf", "line", "shaped").agg(F.count("*").alias("n"))
     leaves = scratch.table(counted.groupBy("leaf").agg(F.sum("n").alias("met"), F.count("*").alias("lines"), F.min("line").alias("line"), F.max("shaped").alias("shaped")).where(F.col("met") >= min_documents), "leaves")
     alone = leaves.where("lines = 1 and shaped").select("line", F.xxhash64("leaf", "line").alias("template"), F.col("met").alias("support"))
 
     several = leaves.where("lines > 1").select("leaf")
     tokens = texts.mapInArrow(_tokens(depth, min_tokens, _filter(several, "leaf")), "line long, tokens array<long>").groupBy("line").agg(F.any_value("tokens").alias("tokens"))
-    lines = scratch.table(counted.join(several, "leaf", "left_semi").select("leaf", "line", "n").join(tokens, "line"), "lines")
+    lines = scratch.table(counted.join(several, "leaf", "left_semi").select("leaf", "line", "shaped", "n").join(tokens, "line"), "lines")
     places = lines.select("leaf", "line", "n", F.posexplode("tokens").alias("at", "token"))
     constant = places.where(F.col("token") != FIELD).groupBy("leaf", "at", "token").agg(F.sum("n").alias("times")).where(F.col("times") >= min_documents).select("leaf", "at", "token")
     fixed = places.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("constants"), F.bit_xor(F.xxhash64("at", "token")).alias("sum"))
+    itself = lines.where(F.col("shaped") & (F.col("n") >= min_documents)).select("line", F.xxhash64("leaf", "line").alias("template"), F.col("n").alias("support"))
     shaped = fixed.join(lines.select("line", F.size("tokens").alias("size")), "line").where(F.col("constants") >= similarity * F.col("size"))
     shaped = scratch.table(shaped.select("line", F.xxhash64("leaf", "constants", "sum").alias("template")), "shaped")
     support = met.select("line", "own").join(shaped, "line").select("template", "own").distinct().groupBy("template").agg(F.count("*").alias("support"))
     shared = shaped.join(support.where(F.col("support") >= min_documents), "template").select("line", "template", "support")
-    return alone.unionByName(shared)
+    return alone.unionByName(shared).unionByName(itself.join(shared, "line", "left_anti"))
 
 
 def _split(depth: int, least: int, table):

@@ -290,6 +290,18 @@ def test_short_lines_recur(spark, tmp_path):
     assert got[7].kept_chars == 0 and got[8].kept_chars == len("\nall")
 
 
+def test_lines_with_many_fields_recur(spark):
+    """Lines that recur but for their fields go, alone in a leaf or not; lines of fields only and rare ones stay."""
+    rng = random.Random(11)
+    head = lambda i: [f"Page {i} of 10", f"Posted on {i} May {2000 + i}", f"Tel 020 {i}946 0000", f"{i} {i} {i} 7"]
+    rows = [(i, "\n".join([*head(i), words(rng, 9)])) for i in range(5)]
+    rows += [(10, "Tel 020 7946 0000\nTel 020 7946 home\nPage 3 of chapter"), (11, "Fax 020 7946 0000"), (12, "Fax 020 7946 0001")]
+    out = {r.doc_id: r for r in linetemplates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(5):
+        assert (out[i].text.split("\n"), out[i].n_dropped) == (rows[i][1].split("\n")[3:], 3)
+    assert [out[k].n_dropped for k in (10, 11, 12)] == [1, 0, 0]
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = docs.join(langid.predictions(docs), "doc_id").where("held_out").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok"), "score")
