@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,30 +31,51 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies per language of known words and of the character n-grams they are made of."""
+    """Log frequencies per language of known words and of character n-grams.
 
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        self.langs = sorted({lang for lang, _, _ in counts})
+    An entry holds only the languages it was seen in; in all others its log is that of its table's zero count.
+    """
+
+    def __init__(self, words: list[tuple[str, str, int]], counts: list[tuple[str, str, int, int]] | None = None):
+        """``words``: (lang, word, n). ``counts``: (lang, n-gram, its size, n), by default of these words."""
+        if counts is None:
+            counts = [(lang, g, size, n) for lang, word, n in words for size in range(1, _LONGEST + 1) for g in grams(word, size)]
+        self.langs = sorted({x[0] for x in words} | {x[0] for x in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        tables: list[dict[str, np.ndarray]] = [{} for _ in range(_LONGEST + 1)]
-        for lang, word, n in counts:
-            for size in range(_LONGEST + 1):
-                for g in grams(word, size) if size else [word]:
-                    if (row := tables[size].get(g)) is None:
-                        row = tables[size][g] = np.zeros(len(self.langs))
-                    row[at[lang]] += n
-        self.rows, self.logs = self._logs(tables)
-
-    def _logs(self, tables: list[dict[str, np.ndarray]]) -> tuple[list[dict[str, int]], np.ndarray]:
-        """Place of every entry of each table (words, then n-grams by n), and all logs, smoothed by a half per table."""
-        places, logs, n = [], [np.zeros((0, len(self.langs)), np.float32)], 0
-        for table in tables:
-            places.append({g: n + i for i, g in enumerate(table)})
-            if table:
-                rows = np.stack(list(table.values())) + 0.5
-                logs.append(np.log(rows / rows.sum(axis=0)).astype(np.float32))
-            n += len(table)
-        return places, np.concatenate(logs)
+        #: Place of every entry of each table: words, then n-grams by n.
+        self.rows: list[dict[str, int]] = [{} for _ in range(_LONGEST + 1)]
+        entry, lang_, n_ = [], [], []
+        first = 0
+        for size in range(_LONGEST + 1):
+            table = self.rows[size]
+            for lang, g, n in words if size == 0 else ((a, g, n) for a, g, k, n in counts if k == size):
+                entry.append(table.setdefault(g, first + len(table)))
+                lang_.append(at[lang])
+                n_.append(n)
+            first += len(table)
+        self._fill(np.array(entry, np.int64), np.array(lang_, np.int64), np.array(n_, float))
+
+    def _fill(self, entry: np.ndarray, lang: np.ndarray, n: np.ndarray) -> None:
+        """Smoothed by a half per table: ``base`` has the logs of zero counts, ``more`` what seen entries add to them."""
+        wide, sizes = max(1, len(self.langs)), np.array([len(x) for x in self.rows])
+        self.table = np.repeat(np.arange(len(sizes), dtype=np.int8), sizes)
+        cell, at = np.unique(entry * wide + lang, return_inverse=True)
+        n = np.bincount(at, n, len(cell))
+        entry, self.lang = cell // wide, (cell % wide).astype(np.int32)
+        table = self.table[entry].astype(np.int64)
+        totals = np.bincount(table * wide + self.lang, n, len(sizes) * wide).reshape(len(sizes), wide) + 0.5 * np.maximum(sizes, 1)[:, None]
+        self.base = np.log(0.5 / totals)
+        self.more = np.log((n + 0.5) / 0.5).astype(np.float32)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(entry, minlength=len(self.table)))])
+
+    def sums(self, entries: np.ndarray, shares: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+        """For each of ``n`` owners the logs per language of its entries, by their shares."""
+        wide = len(self.langs)
+        tables = np.bincount(owners * len(self.rows) + self.table[entries], shares, n * len(self.rows)).reshape(n, -1)
+        count = self.start[entries + 1] - self.start[entries]
+        at = np.repeat(self.start[entries] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        own = np.bincount(np.repeat(owners, count) * wide + self.lang[at], self.more[at] * np.repeat(shares, count), n * wide)
+        return tables @ self.base + own.reshape(n, wide)
 
     def places(self, word: str) -> list[int]:
         """Rows whose mean scores a word: its own if known, else its known n-grams of the longest size that has any."""
@@ -72,45 +92,44 @@ class Scorer:
     """Scores texts; remembers what a bounded number of white-space pieces contribute."""
 
     def __init__(self, model: Model, memory: int = 250_000):
-        self.model, self.memory, self.known = model, memory, len(model.logs)
-        self.rows = np.concatenate([model.logs, np.zeros((memory + 1, len(model.langs)), np.float32)])
-        self.words = np.concatenate([np.ones(self.known), np.zeros(memory + 1)])
+        # 64 MB of rows, however many languages there are
+        self.model, self.memory = model, max(1, min(memory, (16 << 20) // max(1, len(model.langs))))
+        self.chunk = min(20_000, self.memory)
+        self.rows = np.zeros((self.memory + 1, len(model.langs)), np.float32)
+        self.words = np.zeros(self.memory + 1)
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.used = self.known
 
     def _learn(self, new: list[str]) -> None:
-        """Pieces that are one known word share its row; all others get rows of their own, filled together."""
-        own, flat, share, starts, words, single = [], [], [], [], [], self.model.rows[0]
-        for piece in new:
-            found = tokens(piece)
-            if len(found) == 1 and (i := single.get(found[0])) is not None:
-                self.at[piece] = i
+        """Fills the rows of new pieces together."""
+        flat, share, owner, words, single = [], [], [], [], self.model.rows[0]
+        for k, piece in enumerate(new):
+            if (i := single.get(piece)) is not None:
+                words.append(1)
+                flat.append(i)
+                share.append(1.0)
+                owner.append(k)
                 continue
-            own.append(piece)
-            starts.append(len(flat))
+            found = tokens(piece)
             words.append(len(found))
             for w in found:
                 if rows := self.model.places(w):
                     flat += rows
                     share += [1 / len(rows)] * len(rows)
-            flat.append(0)
-            share.append(0.0)
-        if own:
-            a, b = self.used, self.used + len(own)
-            self.rows[a:b] = np.add.reduceat(self.model.logs[flat] * np.array(share, np.float32)[:, None], starts, axis=0)
-            self.words[a:b] = words
-            self.at.update(zip(own, range(a, b), strict=True))
-            self.used = b
+                    owner += [k] * len(rows)
+        a, b = len(self.at), len(self.at) + len(new)
+        self.rows[a:b] = self.model.sums(np.array(flat, np.int64), np.array(share, float), np.array(owner, np.int64), len(new))
+        self.words[a:b] = words
+        self.at.update(zip(new, range(a, b), strict=True))
 
     def total(self, text: str) -> np.ndarray:
         """Summed log scores of all words, and the number of words last."""
         pieces_, sums = Counter(text.split()), np.zeros(len(self.model.langs) + 1)
         counts = list(pieces_.items())
-        for lo in range(0, len(counts), 20_000):
-            some = counts[lo : lo + 20_000]
+        for lo in range(0, len(counts), self.chunk):
+            some = counts[lo : lo + self.chunk]
             if len(self.at) + len(some) > self.memory:
                 self._clear()
             if new := [p for p, _ in some if p not in self.at]:
@@ -121,7 +140,7 @@ class Scorer:
         return sums
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        sums = self.total(text) if text and len(self.model.logs) else np.zeros(1)
+        sums = self.total(text) if text and self.model.langs else np.zeros(1)
         if not sums[-1]:
             return UNKNOWN, 0.0
         best = int(np.argmax(sums[:-1]))
@@ -149,22 +168,41 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def train(docs: DataFrame, docs_per_language: int = 2_000, max_words: int = 60_000, max_languages: int = 200) -> Model:
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        lang, gram, size = zip(*seen, strict=True) if seen else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(size, pa.int32()), pa.array(seen.values(), pa.int64())], ["lang", "gram", "size", "n"])
+
+    for batch in batches:
+        for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            for size in range(1, _LONGEST + 1):
+                for g in grams(word, size):
+                    seen[lang, g, size] += n
+            if len(seen) > 200_000:
+                yield rows()
+                seen.clear()
+    yield rows()
+
+
+def _rows(df: DataFrame) -> list[tuple]:
+    return list(zip(*(c.to_pylist() for c in df.toArrow().columns), strict=True))
+
+
+def train(docs: DataFrame, docs_per_language: int = 2_000) -> Model:
     """Fits on rows with text and lang that aren't held out.
 
-    Bounds: about ``docs_per_language`` rows of each of the ``max_languages`` most frequent languages, chosen
-    by a hash of the id, and their ``max_words`` most frequent (language, word) pairs seen twice or more.
+    A sample of about ``docs_per_language`` rows of each language, chosen by a hash of the id. All languages
+    and all words of the sample count: those seen twice or more in a language are known words, and all make up
+    its n-grams.
     """
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    part = {r.lang: min(1_000_000, math.ceil(1_000_000 * docs_per_language / r["count"])) for r in sizes}
-    if not part:
-        return Model([])
-    share = F.element_at(F.create_map(*[F.lit(x) for kv in part.items() for x in kv]), F.col("lang"))
-    some = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) < share).select("lang", "text")
-    words = some.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    kept = words.where("n > 1").orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
-    return Model([(r.lang, r.word, r.n) for r in kept])
+    part = rows.groupBy("lang").agg(F.least(F.lit(1_000_000), F.ceil(1_000_000 * docs_per_language / F.count("*"))).alias("part"))
+    some = rows.join(F.broadcast(part), "lang").where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) < F.col("part")).select("lang", "text")
+    words = scratch.table(some.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    counts = words.mapInArrow(_grams, "lang string, gram string, size int, n long").groupBy("lang", "gram", "size").agg(F.sum("n").alias("n"))
+    return Model(_rows(words.where("n > 1")), _rows(counts))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

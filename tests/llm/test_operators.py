@@ -313,6 +313,47 @@ def test_language(spark):
     assert [x.lang_pred for x in langid.identify(odd, langid.Model([])).collect()] == ["und"] * 4
 
 
+def test_every_language_is_learned(spark):
+    """Neither a language with very many words nor many languages push another one out, nor words seen once."""
+
+    def word(k, alphabet):
+        return word(k // len(alphabet), alphabet) + alphabet[k % len(alphabet)] if k else ""
+
+    ids = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 3 != 1)
+    large = " ".join(word(k, "abcdefghijklm") for k in range(10**5, 165_000))
+    small, once = "nopq rsnu tvwn onsr " * 2, " ".join(word(k, "αβγδε") for k in range(700, 720))
+    rows = [(next(ids), large, "aa") for _ in range(3)] + [(next(ids), small, "zz"), (next(ids), once, "yy")]
+    rows += [(next(ids), f"{chr(0x4E00 + k)}{chr(0x4E00 + k)} " * 2, f"l{k:03}") for k in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r.lang, r.lang_pred) for r in docs.join(langid.predictions(docs), "doc_id").collect()]
+    assert len(got) == len(rows) and all(a == b for a, b in got)
+    model = langid.train(docs)
+    assert len(model.langs) == 253 and len(model.rows[0]) == 65_000 + 4 + 250
+
+
+def test_scores_equal_plain_sums():
+    rng = random.Random(12)
+    counts = [(lang, "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))), rng.randrange(1, 9)) for lang in "xyz" for _ in range(30)]
+    model, tables = langid.Model(counts), [{} for _ in range(6)]
+    for lang, w, n in counts:
+        for size in range(6):
+            for g in langid.grams(w, size) if size else [w]:
+                tables[size].setdefault(g, dict.fromkeys("xyz", 0))[lang] += n
+    log = [{g: [np.log((row[x] + 0.5) / sum(r[x] + 0.5 for r in t.values())) for x in "xyz"] for g, row in t.items()} for t in tables]
+
+    def score(w):
+        if w in log[0]:
+            return np.array(log[0][w])
+        for n in range(5, 0, -1):
+            if found := [log[n][g] for g in langid.grams(w, n) if g in log[n]]:
+                return np.mean(found, axis=0)
+        return np.zeros(3)
+
+    found = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    assert langid.Scorer(model).total(" ".join(found)) == pytest.approx([*sum(map(score, found)), 200], rel=1e-4)
+    assert langid.Scorer(model, 7).total(" ".join(found)) == pytest.approx([*sum(map(score, found)), 200], rel=1e-4)
+
+
 def test_lookup_table(spark, docs):
     a, b = sharding.lookup(tuple("abcdefgh")), sharding.lookup(tuple("abcdefg"))
     assert np.ptp(np.bincount(a)) <= 1 and len(a) == 65537
