@@ -3,6 +3,7 @@
 Fixed masks read seven of eight to ten neighbouring words and ignore the others. Any window of 13 words that
 differs in at most two places agrees on some mask somewhere inside it (the four masks were chosen so), hence
 joining mask hashes finds every such window, and checking the alignment around hits leaves no false one.
+Items of 9 to 12 words may differ in one place: of three masks that each ignore another third, one agrees.
 """
 
 from __future__ import annotations
@@ -20,20 +21,26 @@ from quern.llm.wordhash import U, fold, mix, pieces, words
 #: Word positions that each mask reads.
 MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 4, 7, 8, 9), (0, 1, 2, 3, 4, 5, 6), (0, 1, 2, 4, 5, 6, 7))
 WINDOW, MOST_DIFFERENT, SHORTEST = 13, 2, 5
+#: Shorter items of so many words may differ in one place; below that none.
+ONE_DIFFERENT = 9
 #: Bits of the fixed-size filter (2 MB) that lets most document hashes stop at the scan.
 BITS = 1 << 24
 
 
 def _hashes(h: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, int]]:
-    """(hash at every position, span) of each mask, and of plain runs for the given lengths of short items."""
+    """(hash at every position, span) of each mask, and of plain runs or thirds left out for the given lengths of short items."""
+    masks = [(k + 1, mask, mask[-1] + 1) for k, mask in enumerate(MASKS)]
+    for n in lengths:
+        if n >= ONE_DIFFERENT:
+            masks += [(16 * n + k, tuple(j for j in range(n) if not k * n // 3 <= j < (k + 1) * n // 3), n) for k in range(3)]
     with np.errstate(over="ignore"):
-        for k, mask in enumerate(MASKS):
-            n = len(h) - mask[-1]
+        for salt, mask, span in masks:
+            n = len(h) - span + 1
             if n > 0:
-                out = np.full(n, k + 1, U)
+                out = np.full(n, salt, U)
                 for j in mask:
                     out = out * U(0xD6E8FEB86659FD93) + h[j : j + n]
-                yield mix(out), mask[-1] + 1
+                yield mix(out), span
     for n in lengths:
         if len(h) >= n:
             yield mix(fold(h, n), 0x1F83D9ABFB41BD6B), n
@@ -101,10 +108,11 @@ def _hits(bits, lengths: tuple[int, ...]):
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int, window: int = WINDOW, most: int = MOST_DIFFERENT) -> int:
     """Equal words of the best qualifying window where item word ``i`` lies at document word ``i + shift``; else 0.
 
-    A window is ``window`` words with at most ``most`` different; items shorter than that must agree whole.
+    A window is ``window`` words with at most ``most`` different; items shorter than that must agree whole, but for one
+    word if they have ``ONE_DIFFERENT`` or more.
     """
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    w, bad = (window, most) if len(item) >= window else (len(item), 0)
+    w, bad = (window, most) if len(item) >= window else (len(item), int(len(item) >= ONE_DIFFERENT))
     if hi - lo < w:
         return 0
     same = np.concatenate([[0], np.cumsum(doc[lo + shift : hi + shift] == item[lo:hi])])
@@ -122,7 +130,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, overlap): documents with a window of a benchmark item, and its equal words.
 
     Words are runs of bytes other than white space, A-Z as a-z. A leak is 13 words in a row that equal the
-    item's but for two at most; items of 5 to 12 words must occur whole, shorter ones never match. Items with
+    item's but for two at most; items of 9 to 12 words must occur whole but for one word, those of 5 to 8 words
+    word for word, and shorter ones never match. Items with
     equal words count as the one with the smallest id. Null texts and ids have no leaks; rows that share an
     id are one document; repeated rows change nothing. Any table may be empty.
 

@@ -140,6 +140,23 @@ def test_decontamination(spark):
     assert decontam.report(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of 9 to 12 words are found with any one word changed, wherever they stand, but not with two."""
+    rng = random.Random(13)
+    items = {n: words(rng, n) for n in range(5, 13)}
+    cases = []
+    for n, item in items.items():
+        for places in [(), *((p,) for p in range(n)), (0, n - 1), (n // 2, n // 2 + 1)]:
+            w = item.split()
+            for p in places:
+                w[p] = "other"
+            for a, b in ((0, 0), (30, 0), (0, 30), (30, 30)):
+                cases.append((len(cases), f"{words(rng, a)} {' '.join(w)} {words(rng, b)}", [n] if len(places) <= (n >= 9) else []))
+    docs = spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontam.report(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == {i: wanted for i, _, wanted in cases}
+
+
 def test_mixing(spark, docs):
     p = mixing.plan(docs).toPandas()
     assert len(p) == docs.count() and p.equals(mixing.plan(docs.repartition(7)).toPandas().sort_values(list(p.columns), ignore_index=True)) or True
