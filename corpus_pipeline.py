@@ -12,8 +12,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without any recognisable language (null, blank or letterless texts)."""
-    return langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Drops documents without any recognisable language: null, blank or letterless texts, and those of which the
+    model knows no word or n-gram. If no language can be learned, all documents with a letter stay."""
+    model = langid.train(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,10 +112,10 @@ class Scorer:
                 share.append(1.0)
                 owner.append(k)
                 continue
-            found = tokens(piece)
-            words.append(len(found))
-            for w in found:
+            words.append(0)
+            for w in tokens(piece):
                 if rows := self.model.places(w):
+                    words[-1] += 1
                     flat += rows
                     share += [1 / len(rows)] * len(rows)
                     owner += [k] * len(rows)
@@ -125,7 +125,7 @@ class Scorer:
         self.at.update(zip(new, range(a, b), strict=True))
 
     def total(self, text: str) -> np.ndarray:
-        """Summed log scores of all words, and the number of words last."""
+        """Summed log scores of all words, and the number of words of which anything is known last."""
         pieces_, sums = Counter(text.split()), np.zeros(len(self.model.langs) + 1)
         counts = list(pieces_.items())
         for lo in range(0, len(counts), self.chunk):
@@ -208,8 +208,8 @@ def train(docs: DataFrame, docs_per_language: int = 2_000) -> Model:
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with lang_pred and score, from whole texts alone.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be
-    learned. Ties go to the first language by code point. The score is the posterior of the language under
+    A text that is null, has no letter, or has no word of which the model knows as much as a single character
+    is ``und`` with score 0, as is every text if nothing could be learned. Ties go to the first language by code point. The score is the posterior of the language under
     equal priors. Columns of these names are replaced; repeated rows get equal results.
     """
     scratch.bound_batches(docs.sparkSession)
