@@ -75,12 +75,17 @@ class Schemes:
 
     def _least(self, low: int, high: int, m: int) -> int:
         """The largest ``q`` such that a pair at the threshold agrees on a segment of ``q`` shingles or more, but for a
-        chance of ``MISS``; 0 if even q = 1 is less certain than that."""
-        ratio, q = float(self.t / (1 - self.t)), 0
+        chance of ``MISS``; 0 if even q = 1 is less certain than that.
+
+        At the threshold a pair shares ``ratio`` times what it differs in. It differs least in two sets of ``low``
+        shingles, most where a set of ``high`` is a subset; the chance is greatest at one of these ends.
+        """
+        t = float(self.t)
+        ratio, q = t / (1 - t), 0
         while True:
             worst = -math.inf
-            for size in (low, high):
-                apart = size / ratio / m  # differing shingles in a segment
+            for differing in (2 * low * (1 - t) / (1 + t), high / ratio):
+                apart = differing / m  # differing shingles in a segment
                 tail, term = 0.0, math.exp(-ratio * apart)
                 for k in range(q + 1):
                     tail += term

@@ -94,6 +94,24 @@ def test_pairs_across_components_hold_every_link(spark):
     assert jaccard._across(nodes.where("false"), texts, 3, Fraction("0.9")).count() == 0
 
 
+@pytest.mark.parametrize("t", ["0.9", "0.8"])
+def test_chance_of_a_miss_for_partners_of_any_size(t):
+    """At the threshold, segments of q shingles or more miss a pair with the promised chance at most, whatever its two sizes."""
+    from math import exp, log1p
+
+    s, f, low, bands = jaccard.Schemes(Fraction(t), 200_000), float(Fraction(t)), 1, 0
+    for high, m, q in zip(s.high.tolist(), s.m.tolist(), s.q.tolist(), strict=True):
+        for size in (np.linspace(low, high, 5) if q else ()):
+            for partner in np.linspace(size, size / f, 5):
+                differ = (size + partner) * (1 - f) / (1 + f) / m
+                less, term = 0.0, exp(-differ * f / (1 - f))
+                for k in range(q):
+                    less, term = less + term, term * differ * f / (1 - f) / (k + 1)
+                assert m * log1p(-exp(-differ) * (1 - less)) <= np.log(jaccard.MISS) + 1e-6
+        low, bands = high + 1, bands + bool(q)
+    assert bands > 10
+
+
 def test_parities_bound_differences():
     rng = np.random.default_rng(1)
     for _ in range(200):
