@@ -42,22 +42,25 @@ class Model:
             counts = [(lang, g, size, n) for lang, word, n in words for size in range(1, _LONGEST + 1) for g in grams(word, size)]
         self.langs = sorted({x[0] for x in words} | {x[0] for x in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        #: Place of every entry of each table: words, then n-grams by n.
-        self.rows: list[dict[str, int]] = [{} for _ in range(_LONGEST + 1)]
-        entry, lang_, n_ = [], [], []
-        first = 0
-        for size in range(_LONGEST + 1):
-            table = self.rows[size]
-            for lang, g, n in words if size == 0 else ((a, g, n) for a, g, k, n in counts if k == size):
-                entry.append(table.setdefault(g, first + len(table)))
-                lang_.append(at[lang])
-                n_.append(n)
+        #: Known words and their places; sorted n-grams by n, whose places follow on from those of the words.
+        self.known: dict[str, int] = {}
+        entry = [self.known.setdefault(w, len(self.known)) for _, w, _ in words]
+        self.grams, self.first = [np.zeros(0, "U1")], [0]
+        parts, langs, ns, first = [np.array(entry, np.int64)], [at[x[0]] for x in words], [x[2] for x in words], len(self.known)
+        for size in range(1, _LONGEST + 1):
+            some = [x for x in counts if x[2] == size]
+            table, place = np.unique(np.array([x[1] for x in some], f"U{size}"), return_inverse=True)
+            self.grams.append(table)
+            self.first.append(first)
+            parts.append(place + first)
+            langs += [at[x[0]] for x in some]
+            ns += [x[3] for x in some]
             first += len(table)
-        self._fill(np.array(entry, np.int64), np.array(lang_, np.int64), np.array(n_, float))
+        self._fill(np.concatenate(parts), np.array(langs, np.int64), np.array(ns, float))
 
     def _fill(self, entry: np.ndarray, lang: np.ndarray, n: np.ndarray) -> None:
         """Smoothed by a half per table: ``base`` has the logs of zero counts, ``more`` what seen entries add to them."""
-        wide, sizes = max(1, len(self.langs)), np.array([len(x) for x in self.rows])
+        wide, sizes = max(1, len(self.langs)), np.array([len(self.known), *map(len, self.grams[1:])])
         self.table = np.repeat(np.arange(len(sizes), dtype=np.int8), sizes)
         cell, at = np.unique(entry * wide + lang, return_inverse=True)
         n = np.bincount(at, n, len(cell))
@@ -71,21 +74,33 @@ class Model:
     def sums(self, entries: np.ndarray, shares: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
         """For each of ``n`` owners the logs per language of its entries, by their shares."""
         wide = len(self.langs)
-        tables = np.bincount(owners * len(self.rows) + self.table[entries], shares, n * len(self.rows)).reshape(n, -1)
+        tables = np.bincount(owners * len(self.base) + self.table[entries], shares, n * len(self.base)).reshape(n, -1)
         count = self.start[entries + 1] - self.start[entries]
         at = np.repeat(self.start[entries] - np.cumsum(count) + count, count) + np.arange(count.sum())
         own = np.bincount(np.repeat(owners, count) * wide + self.lang[at], self.more[at] * np.repeat(shares, count), n * wide)
         return tables @ self.base + own.reshape(n, wide)
 
-    def places(self, word: str) -> list[int]:
-        """Rows whose mean scores a word: its own if known, else its known n-grams of the longest size that has any."""
-        if (i := self.rows[0].get(word)) is not None:
-            return [i]
+    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, owners): what each word's score is the mean of, its own entry if known, else its known n-grams of
+        the longest size that has any. Owners are places in ``words``; those without entries are unknown altogether."""
+        own = [(i, k) for k, w in enumerate(words) if (i := self.known.get(w)) is not None]
+        out = [np.array(own, np.int64).reshape(-1, 2)]
+        left = [k for k, w in enumerate(words) if w not in self.known]
         for n in range(_LONGEST, 0, -1):
-            known = self.rows[n]
-            if found := [known[g] for g in grams(word, n) if g in known]:
-                return found
-        return []
+            table = self.grams[n]
+            if not left or not len(table):
+                continue
+            found = [(g, k) for k in left for g in grams(words[k], n)]
+            if not found:
+                continue
+            names, owner = np.array([g for g, _ in found], f"U{n}"), np.array([k for _, k in found])
+            at = np.minimum(np.searchsorted(table, names), len(table) - 1)
+            hit = table[at] == names
+            out.append(np.stack([at[hit] + self.first[n], owner[hit]], axis=1))
+            done = set(owner[hit].tolist())
+            left = [k for k in left if k not in done]
+        entries, owners = np.concatenate(out).T
+        return entries, owners
 
 
 class Scorer:
@@ -104,24 +119,12 @@ class Scorer:
 
     def _learn(self, new: list[str]) -> None:
         """Fills the rows of new pieces together."""
-        flat, share, owner, words, single = [], [], [], [], self.model.rows[0]
-        for k, piece in enumerate(new):
-            if (i := single.get(piece)) is not None:
-                words.append(1)
-                flat.append(i)
-                share.append(1.0)
-                owner.append(k)
-                continue
-            words.append(0)
-            for w in tokens(piece):
-                if rows := self.model.places(w):
-                    words[-1] += 1
-                    flat += rows
-                    share += [1 / len(rows)] * len(rows)
-                    owner += [k] * len(rows)
+        found = [(w, k) for k, piece in enumerate(new) for w in tokens(piece)]
+        entries, word = self.model.places([w for w, _ in found])
+        piece, n = np.array([k for _, k in found], np.int64), np.bincount(word, minlength=len(found))
         a, b = len(self.at), len(self.at) + len(new)
-        self.rows[a:b] = self.model.sums(np.array(flat, np.int64), np.array(share, float), np.array(owner, np.int64), len(new))
-        self.words[a:b] = words
+        self.rows[a:b] = self.model.sums(entries, 1 / n[word], piece[word], len(new))
+        self.words[a:b] = np.bincount(piece[n > 0], minlength=len(new))
         self.at.update(zip(new, range(a, b), strict=True))
 
     def total(self, text: str) -> np.ndarray:

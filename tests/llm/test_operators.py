@@ -363,7 +363,7 @@ def test_every_language_is_learned(spark):
     got = [(r.lang, r.lang_pred) for r in docs.join(langid.predictions(docs), "doc_id").collect()]
     assert len(got) == len(rows) and all(a == b for a, b in got)
     model = langid.train(docs)
-    assert len(model.langs) == 253 and len(model.rows[0]) == 65_000 + 4 + 250
+    assert len(model.langs) == 253 and len(model.known) == 65_000 + 4 + 250
 
 
 def test_scores_equal_plain_sums():
