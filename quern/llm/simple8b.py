@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import scratch
-from quern.llm.bpe import compiled
+from quern.llm.bpe import words
 from quern.llm.wordhash import pieces
 
 U = np.uint64
@@ -128,7 +128,8 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, per_file
     """Encodes whole texts (null: empty) and writes them under ``path`` in ascending order of doc_id.
 
     Null ids come first; equal ids are ordered by text. Each document gets ``end_id`` at its end. Tasks hold
-    about one file of ``per_file`` ids at a time, or one longer document.
+    about one file of ``per_file`` ids at a time, or one longer document. Other columns are ignored; an empty table
+    leaves no file.
     """
     scratch.bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -136,24 +137,21 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, per_file
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, part, seq = compiled(vocabulary), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], t.type).tobytes()
-        names, lengths, raw, held = [], [], [], 0
+        known, part, seq = words(vocabulary), TaskContext.get().partitionId(), 0
+        names, lengths, held = [], [], []
 
         def file() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([write_file(part, seq, names, lengths, np.frombuffer(b"".join(raw), t.type).astype(np.int64))], pa.binary())], ["blob"])
+            return pa.RecordBatch.from_arrays([pa.array([write_file(part, seq, names, lengths, np.concatenate(held).astype(np.int64))], pa.binary())], ["blob"])
 
         for batch in batches:
             for some in pieces(batch, "text"):
-                for name, x in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
-                    ids = t.encode(x) + end
-                    names.append(name)
-                    lengths.append(len(ids) // t.type.itemsize)
-                    raw.append(ids)
-                    held += lengths[-1]
-                    if held >= per_file:
-                        yield file()
-                        names, lengths, raw, held, seq = [], [], [], 0, seq + 1
+                ids, n = known.encode(some.column("text"))
+                names += some.column("doc_id").to_pylist()
+                lengths += (n + 1).tolist()
+                held.append(np.insert(ids, np.cumsum(n), end_id))
+                if sum(map(len, held)) >= per_file:
+                    yield file()
+                    names, lengths, held, seq = [], [], [], seq + 1
         if names:
             yield file()
 
