@@ -7,10 +7,11 @@ Only where that is unset (tests, a laptop) a temporary folder of this machine st
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: str | None = None
@@ -21,6 +22,8 @@ def folder(spark: SparkSession, name: str) -> str:
     global _own
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _own = _own or "file://" + tempfile.mkdtemp(prefix="quern-")
         top = _own
     return f"{top.rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
@@ -51,6 +54,31 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Left join with ``right``, whose ``keys`` are unique and whose column ``rows`` says how many left rows have them.
+
+    Keys with a thousandth of all these rows or more are joined by broadcast: there are a thousand of them at most.
+    The other keys are shuffled, and none of them is hot.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) * 1000 >= max(1, total)
+    most, rest = right.where(hot), right.where(~hot)
+    known = most.select(*keys, F.lit(True).alias("_hot"))
+    marked = left.join(F.broadcast(known), keys, "left")
+    out = marked.where("_hot is null").drop("_hot").join(rest, keys, "left")
+    return out.unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(most), keys, "left"))
+
+
+def repeat(df: DataFrame, times: Column, index: str, keys: list[str], block: int = 1024) -> DataFrame:
+    """Each row ``times`` times with an index from 0; in blocks dealt by ``keys``, so that very many copies of one row
+    spread over tasks."""
+    zero = F.lit(0).cast("long")
+    few = df.where(times.between(1, block)).withColumn(index, F.explode(F.sequence(zero, times - 1)))
+    many = df.where(times > block).withColumn("_block", F.explode(F.sequence(zero, F.floor((times - 1) / block))))
+    many = many.repartition(*keys, "_block").withColumn(index, F.explode(F.sequence(F.col("_block") * block, F.least((F.col("_block") + 1) * block, times) - 1)))
+    return few.unionByName(many.drop("_block"))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of 16 MB at most, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

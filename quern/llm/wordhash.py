@@ -132,7 +132,7 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield fold(h[a:b], b - a) if b > a else h[:0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 * STEP) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 2 * STEP) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each, at least a row."""
     _, offsets = buffers(batch.column(column))
     at = 0
