@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from quern.llm import scratch
 
 #: Units that meet in one group of the first round, and residuals in one group of later rounds, about.
-GROUP, FAN_IN, DRAWS = 4096, 32, 8
+GROUP, FAN_IN = 4096, 32
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
+KEY = ["_mix_a", "_mix_b"]
 
 
 def n_words(text: Column) -> Column:
@@ -86,80 +87,89 @@ def _draws(uid: np.ndarray, seed: int) -> np.ndarray:
 
 def _round(seed: int, turn: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "uid"], ascending=False, ignore_index=True)
-        uid, p = group["uid"].to_numpy(np.int64), np.stack(group["p"].to_list())
-        open_ = np.zeros(len(group), bool)
-        for k in range(p.shape[1]):
-            draw = _draws(uid, (seed * DRAWS + k) * 64 + turn)
-            p[:, k], held = pivot(p[:, k], draw)
-            if held >= 0 and group["buckets"].iloc[0] <= 1:
-                p[held, k] = float(draw[held] < p[held, k])
-            elif held >= 0:
-                open_[held] = True
-        group["p"], group["open"] = list(p), open_
-        return group[["source", "bucket", "buckets", "uid", "size", "p", "open"]]
+        group = group.sort_values(["size", *KEY], ascending=False, ignore_index=True)
+        draw = _draws(group[KEY[0]].to_numpy(np.int64), seed * 64 + turn)
+        p, held = pivot(group["p"].to_numpy(), draw)
+        group["open"] = False
+        if held >= 0 and group["buckets"].iloc[0] <= 1:
+            p[held] = float(draw[held] < p[held])
+        elif held >= 0:
+            group.loc[held, "open"] = True
+        group["p"] = p
+        return group[["source", "bucket", "buckets", *KEY, "size", "p", "open"]]
 
     return run
 
 
 def decide(units: DataFrame, seed: int = 0) -> DataFrame:
-    """(uid, extra) for units (source, uid, size, p): extra is 1 with probability p, else 0.
+    """(KEY, extra) for units (source, KEY, size, p): extra is 1 with probability p, else 0.
 
     Units of a source are dealt by hash into groups of about ``GROUP``; each group rounds its own from the
-    largest down, so partners are alike and the words taken hardly move. One residual at most leaves a group
-    in a draw; residuals climb a tree of ``FAN_IN`` groups a node until one is left in each source, which is
-    decided alone. ``DRAWS`` roundings run side by side; each source uses the one whose words come nearest to
-    their expectation. A source of any size loads no task with more than a group, and equal inputs give
-    equal results.
+    largest down, so partners are alike and the words taken hardly move. One residual at most leaves a group;
+    residuals climb a tree of ``FAN_IN`` groups a node until one is left in each source, which is decided alone.
+    A source of any size loads no task with more than a group, and equal inputs give equal results.
     """
-    schema = "source string, bucket long, buckets long, uid long, size long, p array<double>, open boolean"
-    n = units.groupBy("source").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("buckets"), F.sum(F.col("p") * F.col("size")).alias("expected"))
-    n = scratch.table(n.withColumnRenamed("source", "its"), "sources")
-    same = F.col("source").eqNullSafe(F.col("its"))
-    level = units.join(n.drop("expected"), same).drop("its").withColumn("bucket", F.pmod("uid", "buckets")).withColumn("p", F.array_repeat("p", DRAWS))
+    schema = f"source string, bucket long, buckets long, {KEY[0]} long, {KEY[1]} long, size long, p double, open boolean"
+    n = units.groupBy(F.col("source").alias("its")).agg(F.ceil(F.count("*") / GROUP).cast("long").alias("buckets"))
+    n = scratch.table(n, "sources")
+    level = units.join(n, F.col("source").eqNullSafe(F.col("its"))).drop("its").withColumn("bucket", F.pmod(KEY[0], "buckets"))
     deepest, done = n.agg(F.max("buckets")).first()[0] or 0, None
     for turn in range(64):
         rounded = scratch.table(level.groupBy("source", "bucket").applyInPandas(_round(seed, turn), schema), "rounded")
-        part = rounded.where("not open").select("source", "uid", "size", "p")
+        part = rounded.where("not open").select(*KEY, F.col("p").cast("long").alias("extra"))
         done = part if done is None else done.unionByName(part)
         if deepest <= 1:
-            break
+            return done
         deepest = math.ceil(deepest / FAN_IN)
         level = rounded.where("open").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN)).withColumn("buckets", F.ceil(F.col("buckets") / FAN_IN)).drop("open")
-    words = done.groupBy("source").agg(*[F.sum(F.col("p")[k] * F.col("size")).alias(f"w{k}") for k in range(DRAWS)])
-    off = F.array(*[F.abs(F.col(f"w{k}") - F.col("expected")) for k in range(DRAWS)])
-    best = words.join(n, same).select("its", (F.array_position(off, F.array_min(off)) - 1).cast("int").alias("draw"))
-    return done.join(best, same).select("uid", F.col("p")[F.col("draw")].cast("long").alias("extra"))
+    return done
 
 
-def _units(docs: DataFrame) -> DataFrame:
-    """doc columns with size and uid: rows equal in id, source and text are one unit."""
-    docs = docs.withColumn("size", n_words(F.col("text")))
-    return docs.withColumn("uid", F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("source"), F.col("source").isNull(), F.col("text"), F.col("text").isNull()))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with 128 bits that stand for a whole row; complex values count as their JSON."""
+    cells = []
+    for f in docs.schema.fields:
+        c = F.col(f"`{f.name.replace('`', '``')}`")
+        c = F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}) if f.dataType.typeName() in ("array", "map", "struct", "variant") else c
+        cells += [c, c.isNull()]
+    return docs.withColumns({k: F.xxhash64(F.lit(i), *cells) for i, k in enumerate(KEY)})
+
+
+def _classes(docs: DataFrame, seed: int, weights: tuple[float, ...], most: int) -> DataFrame:
+    """(KEY, doc_id, source, size, n, source_size, target, total) for classes of equal rows: how often they're taken.
+
+    A class of n equal rows counts n times ``ratio``: the whole part is taken, the fraction meets other classes.
+    """
+    rows = _keyed(docs).select(*KEY, "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
+    classes = rows.groupBy(*KEY).agg(F.any_value("doc_id").alias("doc_id"), F.any_value("source").alias("source"), F.any_value("size").alias("size"), F.count("*").alias("n"))
+    classes = scratch.table(classes, "classes")
+    sources = targets(classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("units")), weights, most)
+    sources = scratch.table(sources.drop("units").withColumnRenamed("source", "its"), "sources")
+    classes = classes.join(sources, F.col("source").eqNullSafe(F.col("its"))).drop("its").withColumn("share", F.col("n") * F.col("ratio"))
+    extra = decide(classes.select("source", *KEY, "size", (F.col("share") - F.floor("share")).alias("p")), seed)
+    return classes.join(extra, KEY).select(*KEY, "doc_id", "source", "size", "n", "source_size", "target", (F.floor("share") + F.col("extra")).alias("total"))
 
 
 def plan(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(doc_id, source, size, uid, source_size, target, copies, taken) for every row.
+    """(doc_id, source, size, source_size, target, copies, taken) for every row.
 
     Size is the number of words, 0 for null or empty texts. A document is taken ``floor(target / source size)``
-    times and once more by pivotal rounding of the fraction, so never more than ``most`` times. Rows equal in
-    id, source and text share one decision. A null source is a source. Empty tables and sources without words
-    take nothing. Reruns with the same ``seed`` agree, however rows are partitioned.
+    times and once more by pivotal rounding of the fraction, so never more than ``most`` times. Of n equal rows some
+    are taken once more than others, so that together they come to n times their share, rounded. Rows with equal ids
+    that differ in anything else are rows of their own. A null source is a source. Empty tables and sources without
+    words take nothing. Reruns with the same ``seed`` agree, however rows are partitioned. Of other columns only the
+    fact that rows differ in them counts.
+    """
+    rows = scratch.repeat(_classes(docs, seed, weights, most), F.col("n"), "_mix_k", KEY)
+    copies = F.floor(F.col("total") / F.col("n")) + (F.col("_mix_k") < F.pmod("total", "n")).cast("long")
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """``docs`` mixed: each row as often as ``plan`` takes it, with its own columns, whatever their names.
+
+    Equal rows collapse before they are shuffled and are spelled out again in blocks.
     """
-    rows = scratch.table(_units(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")).drop("text"), "sized")
-    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("units")), weights, most)
-    sources = scratch.table(sources.withColumnRenamed("source", "its"), "sources")
-    rows = rows.join(sources.drop("units"), F.col("source").eqNullSafe(F.col("its"))).drop("its")
-    fraction = F.col("ratio") - F.floor("ratio")
-    units = rows.groupBy("source", "uid").agg(F.first("size").alias("size"), F.first(fraction).alias("p"))
-    extra = decide(units, seed)
-    rows = rows.join(extra.groupBy("uid").agg(F.max("extra").alias("extra")), "uid", "left")
-    rows = rows.withColumn("copies", F.floor("ratio") + F.coalesce("extra", F.lit(0)))
-    return rows.select("doc_id", "source", "size", "uid", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """``docs`` mixed: each row as often as ``plan`` takes it, with its own columns."""
-    taken = plan(docs, seed).where("copies > 0").groupBy("uid").agg(F.max("copies").alias("mix_copies"))
-    keyed = _units(docs).drop("size").join(taken, "uid")
-    return keyed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    taken = _classes(docs, seed, weights, most).where("total > 0").select(*KEY, F.col("total").alias("_mix_total"))
+    rows = _keyed(docs).dropDuplicates(KEY).join(taken, KEY)
+    return scratch.repeat(rows, F.col("_mix_total"), "_mix_k", KEY).select(*[f"`{c.replace('`', '``')}`" for c in docs.columns])
