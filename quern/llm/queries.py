@@ -50,7 +50,7 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.mixing import plan
 
-    return plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return plan(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
