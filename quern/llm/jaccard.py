@@ -2,29 +2,26 @@
 
 Shingles are hashed into ``m`` segments. ``m`` depends on the size band ``[l, u]`` of a set: two sets
 with Jaccard at least ``t`` whose smaller one has at most ``u`` shingles differ in at most
-``H = floor(u * (1 - t) / t)`` of them, so with ``m = H + 1`` some segment holds the same subset in both.
-Every set joins the scheme of its own band and that of the band below; bands are as wide as partners reach.
-
-Each set emits the hash of every non-empty segment subset. A segment empty in both sets says nothing and
-is not indexed; such sets also emit the one-deletion neighbourhood (the subset less one shingle) of the
-first ``r`` segments (small sets only, see below). If no non-empty segment agrees and ``e`` segments are empty in both, the remaining
-differences leave, among any ``r >= e_x + e_y`` segments, one that is filled in both and differs by one
-shingle at most, so the pair meets there. Sets with more than ``r / 2`` empty segments are rare; they meet
-their partners at the empty segments themselves. ``r`` is allocated per band by cost: deletions emitted
-against pairs expected at empty segments, from the counts of all documents in the band.
-
-Large sets have so many segments that a similar pair agrees on many. There the cost is cut by leaving out
-subsets of fewer than ``q`` shingles, which shared passages make common: ``q`` is the largest number with which
-a pair just at the threshold would be missed with a chance of at most ``MISS`` = 1e-12, the order of a collision
-of the 64-bit hashes in use; no neighbourhoods are needed then. Small sets keep the strict guarantee.
-
-Candidates are stars: the smallest id of a bucket against the others, so a group of many copies gives as
+``H = floor(u * (1 - t) / t)`` of them, so with ``m = H + 1 + k`` at least ``k + 1`` segments hold the same subset in
+both. Every set joins the scheme of its own band and that of the band below; bands are as wide as partners reach.
+
+Each set emits the hash of every non-empty segment subset. A segment empty in both sets says nothing and is not
+indexed: a set with at most ``k`` empty segments shares a filled one with every partner. Sets with ``e > k`` empty
+segments also emit the one-deletion neighbourhood (the subset less one shingle) of the first ``r`` segments. If all
+segments on which two such sets agree are empty, then among any ``e_x + e_y - k`` segments one is filled in both and
+differs by one shingle, so the pair meets there if ``e <= (k + r) / 2`` in both. Sets with still more empty segments
+meet their partners at the empty segments themselves. No set of any size can miss a partner. ``k`` and ``r`` are
+allocated per band by cost: signatures of ``k`` more segments against deletions against pairs expected at empty
+segments, from the counts of all documents in the band.
+
+A task combines equal keys before they are shuffled: of three sets or more it sends the one with the smallest id, and
+the others as finished links to it. Candidates are stars: the smallest id of a bucket against the others, so a group of many copies gives as
 many rows as it has members. Where a bucket still spans several components after that, its other pairs
 across components matter too. Passages that many documents share fill such buckets, so the pairs aren't
 listed as they meet: of each such set the shingles rarest among these sets, one more than it may lack in a
 partner, are joined instead. Every similar pair shares one of them, early enough in both orders. The order is
-by counts over all these sets in a table of fixed size; collisions there cost time, never a pair. Sets are
-64-bit shingle hashes; checks compare whole sets.
+by the magnitude of counts over all these sets in a table of fixed size; collisions there cost time, never a pair. Sets
+are 64-bit shingle hashes; checks compare whole sets.
 """
 
 from __future__ import annotations
@@ -46,19 +43,16 @@ from quern.llm.wordhash import U, mix, pieces, shingle_sets
 #: Signatures in one shuffle partition, about.
 PER_TASK = 1_500_000
 FULL, LESS, FEW, NONE = 0, 1, 2, 3
-#: Bits of the table that says which texts to fetch for checks (512 kB, whatever the data).
-ID_BITS = 1 << 22
-#: Cells of the table of shingle counts that ranks shingles by rarity (8 MB, whatever the data).
-CELLS = 1 << 20
-#: Chance, over the hash that deals shingles to segments, of missing a pair just at the threshold; less for closer ones.
-MISS = 1e-12
+#: Bits of the table that says which texts to fetch for checks (2 MB, whatever the data).
+ID_BITS = 1 << 24
+#: Cells of the table of magnitudes of counts that ranks shingles by rarity (4 MB, whatever the data).
+CELLS = 1 << 22
 
 
 class Schemes:
     """Bands, segment counts and allocations. ``counts``: sets per band, from all documents."""
 
     def __init__(self, threshold: Fraction, top: int, counts: dict[int, int] | None = None):
-        self.t = threshold
         low, lows, highs = 1, [], []
         while True:
             high = max(low, math.floor(low / threshold))
@@ -67,53 +61,34 @@ class Schemes:
             if high >= top:
                 break
             low = high + 1
-        self.high = np.array(highs)
-        self.m = np.array([math.floor(u * (1 - threshold) / threshold) + 1 for u in highs])
+        self.high, self.least = np.array(highs), [math.floor(u * (1 - threshold) / threshold) + 1 for u in highs]
         here = [(counts or {}).get(k, 0) for k in range(len(highs))]
-        self.q = np.array([self._least(lo, hi, int(m)) for lo, hi, m in zip(lows, highs, self.m, strict=True)])
-        self.r = np.array([0 if q else self._allocate(lo, int(m), n + more) for lo, m, q, n, more in zip(lows, self.m, self.q, here, [*here[1:], 0], strict=True)])
+        found = [self._allocate(lo, least, n + more) for lo, least, n, more in zip(lows, self.least, here, [*here[1:], 0], strict=True)]
+        self.spare, self.r = (np.array(x) for x in zip(*found, strict=True))
+        self.m = np.array(self.least) + self.spare
 
-    def _least(self, low: int, high: int, m: int) -> int:
-        """The largest ``q`` such that a pair at the threshold agrees on a segment of ``q`` shingles or more, but for a
-        chance of ``MISS``; 0 if even q = 1 is less certain than that.
+    @staticmethod
+    def _allocate(low: int, least: int, n: int) -> tuple[int, int]:
+        """(spare segments, segments that get neighbourhoods): the cheapest for ``n`` sets of ``low`` shingles.
 
-        At the threshold a pair shares ``ratio`` times what it differs in. It differs least in two sets of ``low``
-        shingles, most where a set of ``high`` is a subset; the chance is greatest at one of these ends.
+        Empty segments are taken as Poisson; that decides on cost alone.
         """
-        t = float(self.t)
-        ratio, q = t / (1 - t), 0
-        while True:
-            worst = -math.inf
-            for differing in (2 * low * (1 - t) / (1 + t), high / ratio):
-                apart = differing / m  # differing shingles in a segment
-                tail, term = 0.0, math.exp(-ratio * apart)
-                for k in range(q + 1):
-                    tail += term
-                    term *= ratio * apart / (k + 1)
-                worst = max(worst, m * math.log1p(-math.exp(-apart) * max(0.0, 1 - tail)))
-            if worst > math.log(MISS):
-                return q
-            q += 1
-
-    @staticmethod
-    def _allocate(low: int, m: int, n: int) -> int:
-        """Segments that get neighbourhoods: the cheapest number for ``n`` sets of ``low`` shingles in ``m`` segments."""
-        each = low / m
-        mean = m * math.exp(-each)
-        term = below = math.exp(-mean)
-        best, cost, k = 0, math.inf, 0
-        for r in range(0, m + 2, 2):
-            r = min(r, m)
-            while k < r // 2:
-                k += 1
-                term *= mean / k
-                below += term
-            rare = max(0.0, 1 - below)
-            now = n * -math.expm1(-mean) * r * each + n * rare * n * max(math.exp(-each), 1e-12)
-            if now < cost:
-                best, cost = r, now
-            if n and rare * n < 1e-6:
-                break
+        best, cost = (0, 0), math.inf
+        if least == 1 or not n:
+            return best
+        at = np.arange(1, 4097)
+        logs = np.concatenate([[0.0], np.cumsum(np.log(at))])
+        for spare in range(0, least + 1, max(1, least // 64)):
+            m = least + spare
+            each = low / m
+            mean = max(m * math.exp(-each), 1e-12)
+            over = np.maximum(0.0, 1 - np.cumsum(np.exp(np.concatenate([[0.0], at * math.log(mean)]) - logs - mean)))
+            most = lambda e: float(over[min(e, 4096)])
+            for r in (0, *(1 << k for k in range(1, m.bit_length()))):
+                use, rare = most(spare), most(max(spare, (spare + r) // 2))
+                now = m + use * (r * each + mean) + rare * use * n * math.exp(-each)
+                if now < cost:
+                    best, cost = (spare, r), now
         return best
 
     def band(self, sizes: np.ndarray) -> np.ndarray:
@@ -136,16 +111,14 @@ def _segments(sets: list[np.ndarray], docs: np.ndarray, scheme: np.ndarray, s: S
         owner = np.repeat(np.arange(len(sets)), m)
         salt = mix((scheme[owner].astype(U) << U(32)) + (np.arange(base[-1]) - base[owner]).astype(U), 0x14057B7EF767814F)
         filled = count > 0
-        used = count >= np.maximum(s.q[scheme], 1)[owner]
-        yield mix(total[used] ^ salt[used]), FULL, docs[owner[used]]
-        exact = s.q[scheme] == 0
-        empty = np.where(exact, m - np.bincount(owner[filled], minlength=len(sets)), 0)
-        filled |= ~exact[owner]
-        if empty.any():
-            near = (empty[which] > 0) & (seg < r[which]) & (count[at] > 1)
+        yield mix(total[filled] ^ salt[filled]), FULL, docs[owner[filled]]
+        empty = m - np.bincount(owner[filled], minlength=len(sets))
+        more = empty > s.spare[scheme]
+        if more.any():
+            near = more[which] & (seg < r[which]) & (count[at] > 1)
             yield mix((total[at[near]] - g[near]) ^ salt[at[near]]), LESS, docs[which[near]]
-            rare = empty > r // 2
-            yield mix(~salt[~filled], 1), np.where(rare[owner[~filled]], FEW, NONE).astype(np.int8), docs[owner[~filled]]
+            rare, gone = empty > (s.spare[scheme] + r) // 2, ~filled & more[owner]
+            yield mix(~salt[gone], 1), np.where(rare[owner[gone]], FEW, NONE).astype(np.int8), docs[owner[gone]]
 
 
 def _profile(n: int):
@@ -269,8 +242,9 @@ def _across(nodes: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFram
     near = texts.mapInArrow(_near(_bits(nodes.select(F.col("doc").alias("id")))), "doc_id long, text string")
     near = near.join(nodes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
     near = scratch.table(near.select("doc_id", "text"), "near")
-    cells = near.mapInArrow(_cell_counts(n), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
-    counts = np.zeros(CELLS, np.int64)
+    cells = near.mapInArrow(_cell_counts(n), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 3")
+    cells = cells.select("cell", F.floor(F.log2("n")).cast("byte").alias("n")).toArrow()  # at most CELLS rows of 5 bytes
+    counts = np.zeros(CELLS, np.int8)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     rare = near.mapInArrow(_rarest(n, t, spark.sparkContext.broadcast(counts)), "shingle long, place int, size long, doc long")
     rare = scratch.table(rare.join(nodes, "doc"), "rare")
@@ -284,6 +258,27 @@ def _across(nodes: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFram
     return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
+_SIGNED = "deal long, star boolean, key long, kind byte, led boolean, first long, doc long"
+
+
+def _combined(key: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Full signatures of a piece: where three or more sets meet, the smallest id stays and the rest are links to it."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    head, many = np.repeat(first, size), np.repeat(size > 2, size)
+    star = many & (np.arange(len(key)) != head)
+    with np.errstate(over="ignore"):
+        deal = np.where(star, mix(key.view(U) ^ mix(doc.view(U))).view(np.int64), key)
+    yield from _batches(deal, star, key, np.full(len(key), FULL, np.int8), many & ~star, doc[head], doc)
+
+
+def _batches(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(columns[0]), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000]) for c in columns], [x.split(" ")[0] for x in _SIGNED.split(", ")])
+
+
 def _sign(n: int, s: Schemes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,41 +298,54 @@ def _sign(n: int, s: Schemes):
                 for some, scheme in ((range(len(sets)), band), (lower.tolist(), band[lower] - 1)):
                     if len(scheme):
                         for key, kind, doc in _segments([sets[i] for i in some], docs[some], scheme, s):
-                            kinds = np.full(len(key), kind, np.int8) if np.isscalar(kind) else kind
-                            for k in range(0, len(key), 200_000):
-                                j = slice(k, k + 200_000)
-                                yield pa.RecordBatch.from_arrays([pa.array(key[j].view(np.int64)), pa.array(kinds[j]), pa.array(doc[j])], ["key", "kind", "doc"])
+                            key = key.view(np.int64)
+                            if kind is FULL:
+                                yield from _combined(key, doc)
+                            elif len(key):
+                                no = np.zeros(len(key), bool)
+                                yield from _batches(key, no, key, np.broadcast_to(np.asarray(kind, np.int8), len(key)), no, doc, doc)
 
     return run
 
 
+_MET = ["key", "first_kind", "first", "kind", "doc"]
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, kind, doc: (bucket, its first document, each other). Holds one batch and one row.
+    """Rows sorted by star, key, kind, doc: (bucket, its first document, each other). Holds one batch and one row.
 
-    Buckets of two carry no key, since no pair is left to check in them.
+    Finished links pass. Buckets of two that no task has combined carry no key, since no pair is left to check in them.
     """
-    last: tuple[int, int, int] | None = None
+    last: tuple | None = None
     for batch in batches:
+        star = batch.column("star").to_numpy(zero_copy_only=False)
+        if star.any():
+            done = batch.filter(pa.array(star))
+            full = pa.array(np.full(done.num_rows, FULL, np.int8))
+            yield pa.RecordBatch.from_arrays([done.column("key"), full, done.column("first"), full, done.column("doc")], _MET)
+            batch = batch.filter(pa.array(~star))
         if not batch.num_rows:
             continue
-        key, kind, doc = (batch.column(c).to_numpy() for c in ("key", "kind", "doc"))
+        row = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "kind", "led", "doc")]
         if last is not None:
-            key, kind, doc = (np.concatenate([np.array([x], c.dtype), c]) for x, c in zip(last, (key, kind, doc), strict=True))
+            row = [np.concatenate([np.array([x], c.dtype), c]) for x, c in zip(last, row, strict=True)]
+        key, kind, led, doc = row
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
-        open_ = np.zeros(len(first), bool)
+        open_ = np.logical_or.reduceat(led, first)
         open_[[0, -1]] = True
         head = np.repeat(first, size)
-        last = tuple(int(c[first[-1]]) for c in (key, kind, doc))
+        last = (key[first[-1]], kind[first[-1]], led[first[-1]], doc[first[-1]])
         use = (np.isin(kind[head], (FULL, FEW))) & (np.arange(len(key)) != head) & (doc != doc[head])
         more = np.repeat((size > 2) | open_, size)
         pair = np.unique(np.stack([doc[head[use & ~more]], doc[use & ~more]]), axis=1)
         many = use & more
         k = np.concatenate([key[many], np.zeros(pair.shape[1], np.int64)])
         if len(k):
+            none = np.zeros(pair.shape[1], np.int8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k, mask=np.arange(len(k)) >= many.sum()), pa.array(np.concatenate([kind[head[many]], np.zeros(pair.shape[1], np.int8)])), pa.array(np.concatenate([doc[head[many]], pair[0]])), pa.array(np.concatenate([kind[many], np.zeros(pair.shape[1], np.int8)])), pa.array(np.concatenate([doc[many], pair[1]]))],
-                ["key", "first_kind", "first", "kind", "doc"],
+                [pa.array(k, mask=np.arange(len(k)) >= many.sum()), pa.array(np.concatenate([kind[head[many]], none])), pa.array(np.concatenate([doc[head[many]], pair[0]])), pa.array(np.concatenate([kind[many], none])), pa.array(np.concatenate([doc[many], pair[1]]))],
+                _MET,
             )
 
 
@@ -403,14 +411,15 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: Fraction | str =
         band = F.array_position(F.transform(F.array(*[F.lit(int(x)) for x in s.high]), lambda x: x >= F.col("n_shingles")), F.lit(True)) - 1
         counts = {int(r.band): r["count"] for r in known.groupBy(band.alias("band")).count().collect()}
         s = Schemes(t, top, counts)
-        rows = sum(c * int(s.m[k] + s.m[max(0, k - 1)] + 2 * s.r[k]) for k, c in counts.items())
+        rows = sum(c * int(s.m[k] + s.m[max(0, k - 1)]) for k, c in counts.items())
 
-        same = known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last")
-        copies = scratch.table(known.join(same, ["n_shingles", "f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("id"), "rep").distinct(), "copies")
+        same = known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).where("rep <> last").drop("last")
+        copies = scratch.skew_join(known.select("doc_id", "n_shingles", "f1", "f2"), scratch.table(same, "same"), ["n_shingles", "f1", "f2"], "rows")
+        copies = scratch.table(copies.where("doc_id <> rep").select(F.col("doc_id").alias("id"), "rep").distinct(), "copies")
 
-        signed = docs.mapInArrow(_sign(words, s), "key long, kind byte, doc long")
+        signed = docs.mapInArrow(_sign(words, s), _SIGNED)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PER_TASK)
-        sorted_ = signed.repartition(parts, "key").sortWithinPartitions("key", "kind", "doc")
+        sorted_ = signed.repartition(parts, "deal").drop("deal").sortWithinPartitions("star", "key", "kind", "doc")
         del signed
         met = scratch.table(sorted_.mapInArrow(_stars, "key long, first_kind byte, first long, kind byte, doc long"), "met")
         del sorted_
