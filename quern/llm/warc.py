@@ -18,6 +18,8 @@ from quern.llm import scratch
 #: Format: magic numbers of the skippable frames with the dictionary and with the closing newline.
 DICTIONARY, CLOSING = 0x184D2A5D, 0x184D2A50
 PER_FILE, DICTIONARY_SIZE, SAMPLE = 16 << 20, 32 << 10, 1 << 20
+#: Bits of the table that says which payloads may recur (512 kB, whatever the data).
+BITS = 1 << 21
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -47,20 +49,23 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def archive(records: list[bytes], level: int = 3) -> bytes:
-    """A file of records, less its closing newline.
-
-    The dictionary is trained on records spread over the file, ``SAMPLE`` bytes of each and in all at most about
-    that; too few records leave it empty.
-    """
-    step = max(1, sum(map(len, records)) // SAMPLE)
-    some = [r[: 64 << 10] for r in records[::step]]
+def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """Trained on pieces spread over all records, about ``SAMPLE`` bytes in all; where they hold too little to train on,
+    the pieces themselves are the dictionary."""
+    whole = sum(map(len, records))
+    size = min(4096, max(64, whole // 512))
+    some = [r[k : k + size] for r in records for k in range(0, len(r), size)]
+    some = some[:: max(1, whole // SAMPLE)]
     try:
-        trained = zstandard.train_dictionary(DICTIONARY_SIZE, some, k=200, d=8) if len(some) >= 16 else None
+        return zstandard.train_dictionary(DICTIONARY_SIZE, some, k=200, d=8)
     except zstandard.ZstdError:
-        trained = None
-    raw = trained.as_bytes() if trained else b""
-    press = zstandard.ZstdCompressor(level=level, dict_data=trained) if trained else zstandard.ZstdCompressor(level=level)
+        return zstandard.ZstdCompressionDict(b"".join(some)[:DICTIONARY_SIZE], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def archive(records: list[bytes], level: int = 3) -> bytes:
+    """A file of records, less its closing newline: the dictionary in a skippable frame, then a frame for each record."""
+    own = dictionary(records)
+    raw, press = own.as_bytes(), zstandard.ZstdCompressor(level=level, dict_data=own)
     return b"".join([struct.pack("<II", DICTIONARY, len(raw)), raw, *(press.compress(r) for r in records), struct.pack("<II", CLOSING, 1)])
 
 
@@ -69,8 +74,7 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     magic, n = struct.unpack_from("<II", data)
     if magic != DICTIONARY:
         raise ValueError("no dictionary frame")
-    own = zstandard.ZstdCompressionDict(data[8 : 8 + n]) if n else None
-    plain = zstandard.ZstdDecompressor(dict_data=own) if own else zstandard.ZstdDecompressor()
+    plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n]))
     with plain.stream_reader(io.BytesIO(data[8 + n :]), read_across_frames=True) as stream:
         text = io.BufferedReader(stream, 1 << 20)
         while line := text.readline():
@@ -86,20 +90,47 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield fields, block
 
 
+def _referring(pages: DataFrame, at_least: int) -> DataFrame:
+    """(page_id, url, html, refers_to), see ``write``.
+
+    Only digests meet in the grouping. A table of fixed size says which digests may recur; pages with others go
+    straight on. The rest are joined, payloads that very many pages share by broadcast.
+    """
+    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
+    rows = rows.withColumn("same", F.when(F.octet_length("html") >= at_least, F.unhex(F.sha2(F.col("html").cast("binary"), 256))))
+    ids = rows.where("same is not null").groupBy("same", "page_id").agg(F.count("*").alias("n"))
+    groups = ids.groupBy("same").agg(F.max("page_id").alias("first"), F.max_by("n", "page_id").alias("ties"), F.sum("n").alias("n"))
+    groups = scratch.table(groups.where("n > 1 and first is not null"), "groups")
+    low = F.pmod(F.xxhash64("same"), F.lit(BITS))
+    cells = groups.groupBy(F.floor(low / 64).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(same), {BITS}) % 64 as int))")).alias("bits"))  # at most BITS / 64 rows
+    rows = rows.withColumn("low", low).withColumn("cell", F.floor(F.col("low") / 64)).join(F.broadcast(cells), "cell", "left")
+    may = F.col("same").isNotNull() & (F.expr("shiftrightunsigned(coalesce(bits, 0L), cast(low % 64 as int)) & 1") == 1)
+    rows = rows.select("page_id", "url", "html", "same", may.alias("may"))
+    alone = rows.where("not may").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    met = scratch.skew_join(rows.where("may").drop("may"), groups, ["same"], "n")
+    tied = (F.col("page_id") == F.col("first")) & (F.col("ties") > 1)
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
+    plain = met.where(~F.coalesce(tied, F.lit(False))).select("page_id", "url", "html", refers.alias("refers_to"))
+    # rows that share the largest id: one is the response, by the greatest url
+    several = met.where(tied).groupBy("same", "page_id", "url").agg(F.any_value("html").alias("html"), F.count("*").alias("n"))
+    best = several.groupBy(F.col("same").alias("its")).agg(F.max(F.coalesce("url", F.lit(""))).alias("best"), F.max(F.col("url").isNotNull()).alias("has"))
+    several = several.join(best, F.col("same") == F.col("its"))
+    chosen = (F.col("url").isNotNull() == F.col("has")) & (F.coalesce("url", F.lit("")) == F.col("best")) & (F.col("k") == 0)
+    several = scratch.repeat(several, F.col("n"), "k", ["same", "url"]).select("page_id", "url", "html", F.when(~chosen, F.col("page_id")).alias("refers_to"))
+    return alone.unionByName(plain).unionByName(several)
+
+
 def write(pages: DataFrame, path: str, at_least: int = 0, per_file: int = PER_FILE) -> None:
     """One record per row of (page_id, url, html): payload is the html in UTF-8, empty for null.
 
-    Of rows with equal payloads of ``at_least`` bytes or more, those with the largest page_id are responses, all
-    others revisits of it; smaller payloads and groups without any id are responses. Null ids count as smallest.
-    Only digests meet in the grouping; the join is a plain equi-join that is split where one payload is hot.
+    Of rows with equal payloads of ``at_least`` bytes or more, the one with the largest page_id is the response, of
+    several with that id one of them; all others are revisits of it. Smaller payloads and groups without any id are
+    responses. Null ids count as smallest. Repeated rows are records of their own; other columns are ignored; an empty
+    table leaves no archive. Payloads of any size are recorded whole.
     """
     scratch.bound_batches(pages.sparkSession)
-    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
-    rows = rows.withColumn("same", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
-    big = rows.where(F.octet_length("html") >= at_least).select("page_id", "same")
-    groups = big.groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    rows = rows.join(groups, "same", "left").select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
+    rows = _referring(pages, at_least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
