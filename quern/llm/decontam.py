@@ -25,6 +25,8 @@ WINDOW, MOST_DIFFERENT, SHORTEST = 13, 2, 5
 ONE_DIFFERENT = 9
 #: Bits of the fixed-size filter (2 MB) that lets most document hashes stop at the scan.
 BITS = 1 << 24
+#: What stands for a document, by names of its own.
+DOC, _DOC = ["_doc", "_tag"], "_doc long, _tag long"
 
 
 def _hashes(h: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, int]]:
@@ -99,8 +101,8 @@ def _hits(bits, lengths: tuple[int, ...]):
                     a, b = max(at[d], pos[lo] - WINDOW), min(at[d + 1], pos[hi - 1] + 2 * WINDOW)
                     rows.append((int(d), int(a - at[d]), h[a:b].tobytes(), (pos[lo:hi] - a).tolist(), value[lo:hi].view(np.int64).tolist()))
                 d, start, around, place, hashes = zip(*rows, strict=True)
-                ids = part.column("doc_id").take(pa.array(d))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int64()), pa.array(around, pa.binary()), pa.array(place, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "start", "around", "places", "hashes"])
+                ids = [part.column(c).take(pa.array(d)) for c in DOC]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(start, pa.int64()), pa.array(around, pa.binary()), pa.array(place, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], [*DOC, "start", "around", "places", "hashes"])
 
     return run
 
@@ -123,17 +125,24 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, window: int = WINDOW,
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [overlap(np.frombuffer(a, U), np.frombuffer(b, U), s) for a, b, s in zip(*(batch.column(c).to_pylist() for c in ("around", "words", "shift")), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(found, pa.int64())], ["doc_id", "item_id", "overlap"]).filter(pa.array([x > 0 for x in found]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*DOC, "item_id")), pa.array(found, pa.int64())], [*DOC, "item_id", "overlap"]).filter(pa.array([x > 0 for x in found]))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with DOC: its id, or for a null id a hash of its text."""
+    none = F.col("doc_id").isNull()
+    return docs.withColumns({DOC[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), DOC[1]: F.when(none, F.xxhash64("text").bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))})
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, overlap): documents with a window of a benchmark item, and its equal words.
+    """(DOC, item_id, overlap): documents with a window of a benchmark item, and its equal words.
 
     Words are runs of bytes other than white space, A-Z as a-z. A leak is 13 words in a row that equal the
     item's but for two at most; items of 9 to 12 words must occur whole but for one word, those of 5 to 8 words
     word for word, and shorter ones never match. Items with
-    equal words count as the one with the smallest id. Null texts and ids have no leaks; rows that share an
-    id are one document; repeated rows change nothing. Any table may be empty.
+    equal words count as the one with the smallest id. Null texts have no leaks, nor do items without an id; rows that share
+    an id are one document, those without an id one for each text (``DOC``); repeated rows change nothing, texts may be of
+    any length, other columns are ignored. Any table may be empty.
 
     The broadcast filter has a fixed size, whatever the benchmark's; a full filter only sends more rows to the
     join, which is a plain equi-join of hashes.
@@ -154,22 +163,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = tuple(sorted(r.n for r in kept.where(F.col("n") < WINDOW).select("n").distinct().collect()))
     shared = spark.sparkContext.broadcast(filter_.view(np.uint8))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    clusters = scratch.table(rows.mapInArrow(_hits(shared, lengths), "doc_id long, start long, around binary, places array<int>, hashes array<long>").distinct(), "clusters")
-    hits = clusters.select("doc_id", "start", F.explode(F.arrays_zip("places", "hashes")).alias("h")).select("doc_id", "start", F.col("h.places").alias("place"), F.col("h.hashes").alias("hash"))
-    met = hits.join(seeds, "hash").select("doc_id", "start", "item_id", (F.col("place") - F.col("item_pos")).alias("shift")).distinct()
-    both = met.join(clusters.select("doc_id", "start", "around"), ["doc_id", "start"]).join(kept.select("item_id", "words"), "item_id")
-    checked = both.select("doc_id", "item_id", "around", "words", "shift").mapInArrow(_check, "doc_id long, item_id long, overlap long")
-    return checked.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"))
+    rows = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where("text is not null").select(*DOC, "text")
+    clusters = scratch.table(rows.mapInArrow(_hits(shared, lengths), f"{_DOC}, start long, around binary, places array<int>, hashes array<long>").distinct(), "clusters")
+    hits = clusters.select(*DOC, "start", F.explode(F.arrays_zip("places", "hashes")).alias("h")).select(*DOC, "start", F.col("h.places").alias("place"), F.col("h.hashes").alias("hash"))
+    met = hits.join(seeds, "hash").select(*DOC, "start", "item_id", (F.col("place") - F.col("item_pos")).alias("shift")).distinct()
+    both = met.join(clusters.select(*DOC, "start", "around"), [*DOC, "start"]).join(kept.select("item_id", "words"), "item_id")
+    checked = both.select(*DOC, "item_id", "around", "words", "shift").mapInArrow(_check, f"{_DOC}, item_id long, overlap long")
+    return checked.groupBy(*DOC, "item_id").agg(F.max("overlap").alias("overlap"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that leak; rows with a null id or text stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that leak, null ids included; all columns stay, whatever their names. Rows with a
+    null text stay unless another row with their id leaks."""
+    found = leaks(docs, benchmark).select(*DOC).distinct()
+    return _keyed(docs).join(found, DOC, "left_anti").drop(*DOC)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, best_overlap) for every document."""
-    found = leaks(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("overlap").alias("best_overlap"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
+    found = leaks(docs, benchmark).groupBy(*DOC).agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("overlap").alias("best_overlap"))
+    out = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text").join(found, DOC, "left")
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("best_overlap", F.lit(0)).alias("best_overlap"))
