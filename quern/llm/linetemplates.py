@@ -27,6 +27,8 @@ from quern.llm.wordhash import U, buffers, hashes, mix, pieces, spans
 FIELD = 0x3C2A3E
 #: Bits of the fixed-size filter (2 MB) that lets most lines stop at the scan.
 BITS = 1 << 24
+#: 128 bits that stand for a row.
+ROW = ["_row", "_row2"]
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
@@ -157,7 +159,7 @@ def recurring(docs: DataFrame, min_documents: int = 3, depth: int = 3, min_token
 
 
 def _split(depth: int, least: int, table):
-    """(row, at, line) of lines that may be in a bit table."""
+    """(_row, _row2, _at, _line) of lines that may be in a bit table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
@@ -165,7 +167,8 @@ def _split(depth: int, least: int, table):
             for part in pieces(batch, "text"):
                 x = lines_of(part.column("text"), depth, least)
                 use = _among(bits, x.line)
-                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(x.text[use])), _long(x.at[use]), _long(x.line[use])], ["row", "at", "line"])
+                rows = pa.array(x.text[use])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ROW), _long(x.at[use]), _long(x.line[use])], [*ROW, "_at", "_line"])
 
     return run
 
@@ -174,21 +177,23 @@ def drop_lines(docs: DataFrame, min_documents: int = 3, depth: int = 3, min_toke
     """All rows and columns of ``docs``, texts without the lines of recurring templates, with n_lines and n_dropped.
 
     See ``recurring`` for the options; lines of fewer than ``min_tokens`` tokens are kept however often they recur.
-    A null text stays null with no lines; a text of which nothing is left is
-    empty. Rows equal in id and text get equal results. Columns named n_lines or n_dropped are replaced.
+    A null text stays null with no lines; a text of which nothing is left is empty. Rows equal in id and text, null ids
+    included, get equal results. An empty table gives no rows. Columns named n_lines or n_dropped are replaced; those of
+    any other name stay.
     """
-    bad = scratch.table(recurring(docs, min_documents, depth, min_tokens, similarity).select("line").distinct(), "bad")
-    keyed = docs.drop("n_lines", "n_dropped").withColumn("row", F.xxhash64("doc_id", "text"))
-    texts = keyed.select("row", F.col("text").cast("string").alias("text")).where("text is not null")
-    where = texts.mapInArrow(_split(depth, min_tokens, _filter(bad, "line")), "row long, at long, line long")
-    gone = where.join(bad, "line").groupBy("row").agg(F.collect_set("at").alias("gone"))
+    bad = scratch.table(recurring(docs, min_documents, depth, min_tokens, similarity).select(F.col("line").alias("_line")).distinct(), "bad")
+    cells = [c for name in ("doc_id", "text") for c in (F.col(name), F.col(name).isNull())]
+    keyed = docs.drop("n_lines", "n_dropped").withColumns({c: F.xxhash64(F.lit(i), *cells) for i, c in enumerate(ROW)})
+    texts = keyed.select(*ROW, F.col("text").cast("string").alias("text")).where("text is not null")
+    where = texts.mapInArrow(_split(depth, min_tokens, _filter(bad, "_line")), "_row long, _row2 long, _at long, _line long")
+    gone = where.join(bad, "_line").groupBy(*ROW).agg(F.collect_set("_at").alias("_gone"))
     lines = F.split(F.col("text"), "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i.cast("long")), x)), lambda x: x.isNotNull())
-    out = keyed.join(gone, "row", "left")
+    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i.cast("long")), x)), lambda x: x.isNotNull())
+    out = keyed.join(gone, ROW, "left")
     n = F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in keyed.columns if c != "row"]
-    return out.select(*columns, F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n).alias("n_lines"), F.coalesce(F.size("gone").cast("long"), F.lit(0).cast("long")).alias("n_dropped"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    columns = [text.alias("text") if c == "text" else F.col(f"`{c.replace('`', '``')}`") for c in keyed.columns if c not in ROW]
+    return out.select(*columns, F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n).alias("n_lines"), F.coalesce(F.size("_gone").cast("long"), F.lit(0).cast("long")).alias("n_dropped"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
