@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import scratch
@@ -165,7 +165,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             seen.update((lang, w) for w in tokens(text))
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 yield rows()
                 seen.clear()
     yield rows()
@@ -183,7 +183,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for size in range(1, _LONGEST + 1):
                 for g in grams(word, size):
                     seen[lang, g, size] += n
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 yield rows()
                 seen.clear()
     yield rows()
@@ -208,28 +208,33 @@ def train(docs: DataFrame, docs_per_language: int = 2_000) -> Model:
     return Model(_rows(words.where("n > 1")), _rows(counts))
 
 
+def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function of text columns with a struct (lang_pred, score); only texts go through Python, in Arrow batches."""
+    shared = spark.sparkContext.broadcast(model)
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+    @F.arrow_udf("struct<lang_pred string, score double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            yield pa.array([dict(zip(("lang_pred", "score"), scorer.predict(t.as_py()), strict=True)) for t in texts], kind)
+
+    return lambda text: run(text.cast("string"))
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with lang_pred and score, from whole texts alone.
 
     A text that is null, has no letter, or has no word of which the model knows as much as a single character
-    is ``und`` with score 0, as is every text if nothing could be learned. Ties go to the first language by code point. The score is the posterior of the language under
-    equal priors. Columns of these names are replaced; repeated rows get equal results.
+    is ``und`` with score 0, as is every text if nothing could be learned. Ties go to the first language by code point.
+    The score is the posterior of the language under equal priors. Columns of these names are replaced, others stay
+    whatever their names and types; repeated rows and rows with a null id get their results like any other; an empty
+    table gives no rows.
     """
     scratch.bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                found = [scorer.predict(t) for t in part.column("text").to_pylist()]
-                columns = [part.column(c) for c in names] + [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
-
-    docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    predict = predictor(docs.sparkSession, train(docs) if model is None else model)
+    found = docs.drop("lang_pred", "score").withColumn("_language", predict(F.col("text")))
+    return found.withColumns({"lang_pred": F.col("_language")["lang_pred"], "score": F.col("_language")["score"]}).drop("_language")
 
 
 def predictions(docs: DataFrame) -> DataFrame:
