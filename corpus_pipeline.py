@@ -13,32 +13,39 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without any recognisable language: null, blank or letterless texts, and those of which the
-    model knows no word or n-gram. If no language can be learned, all documents with a letter stay."""
+    model knows no word or n-gram. If no language can be learned, all documents with a letter stay. Null ids and repeated
+    rows are documents like any other; extra columns stay, whatever their names; an empty table stays empty."""
     model = langid.train(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    scratch.bound_batches(spark)
+    return docs.where(langid.predictor(spark, model)(F.col("text"))["lang_pred"] != langid.UNKNOWN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the smallest id, of each group linked by Jaccard >= 0.8 over 5-word shingles."""
+    """Keeps one document, the smallest id, of each group linked by Jaccard >= 0.8 over 5-word shingles.
+
+    Rows sharing that id stay, as do rows with a null id and those without any word, which link with nothing; extra columns
+    stay; an empty table stays empty."""
     groups = jaccard.similar_groups(docs, words=5, threshold="0.8")
     gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c.replace('`', '``')}`" for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark, with or without an id; others keep all their columns."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents of each source up to its target weight; repeats are rows of their own."""
+    """Takes documents of each source up to its target weight; repeats are rows of their own. Documents without words have
+    no weight and may go with their source's fraction; equal rows are taken as often as they stand there, rounded."""
     return mixing.mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the shard of every document."""
+    """Adds slot and shard of every document, by its id; rows without one share a shard. Columns of these names are
+    replaced."""
     return sharding.place(docs)
 
 
@@ -58,4 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.table(docs, f"stage{k}")
+            if k:
+                scratch.drop(kept)
+            kept = docs
     return docs
