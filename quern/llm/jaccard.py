@@ -42,7 +42,9 @@ from quern.llm.wordhash import U, mix, pieces, shingle_sets
 
 #: Signatures in one shuffle partition, about.
 PER_TASK = 1_500_000
-FULL, LESS, FEW, NONE = 0, 1, 2, 3
+#: Kinds of signatures, the ones that lead a bucket first: a whole subset (LED: that of others too, which a task has
+#: linked to it), one less a shingle, an empty segment of a set with many, or with some; and a finished link.
+FULL, LED, LESS, FEW, NONE, LINK = range(6)
 #: Bits of the table that says which texts to fetch for checks (2 MB, whatever the data).
 ID_BITS = 1 << 24
 #: Cells of the table of magnitudes of counts that ranks shingles by rarity (4 MB, whatever the data).
@@ -200,7 +202,7 @@ def _cell_counts(n: int):
     """How many sets have a shingle in each cell, summed over a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.int32)
         for batch in batches:
             for part in pieces(batch, "text"):
                 for x in shingle_sets(part.column("text"), n):
@@ -208,7 +210,7 @@ def _cell_counts(n: int):
         used = np.flatnonzero(total)
         for k in range(0, len(used), 200_000):
             some = used[k : k + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], ["cell", "n"])
 
     return run
 
@@ -258,7 +260,7 @@ def _across(nodes: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFram
     return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
-_SIGNED = "deal long, star boolean, key long, kind byte, led boolean, first long, doc long"
+_SIGNED = "key long, kind byte, doc long, first long"
 
 
 def _combined(key: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -268,15 +270,14 @@ def _combined(key: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
     head, many = np.repeat(first, size), np.repeat(size > 2, size)
-    star = many & (np.arange(len(key)) != head)
-    with np.errstate(over="ignore"):
-        deal = np.where(star, mix(key.view(U) ^ mix(doc.view(U))).view(np.int64), key)
-    yield from _batches(deal, star, key, np.full(len(key), FULL, np.int8), many & ~star, doc[head], doc)
+    link = many & (np.arange(len(key)) != head)
+    yield from _batches(key, np.where(link, LINK, np.where(many, LED, FULL)).astype(np.int8), doc, doc[head], link)
 
 
-def _batches(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(columns[0]), 200_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000]) for c in columns], [x.split(" ")[0] for x in _SIGNED.split(", ")])
+def _batches(key: np.ndarray, kind: np.ndarray, doc: np.ndarray, first: np.ndarray, link: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(key), 200_000):
+        j = slice(k, k + 200_000)
+        yield pa.RecordBatch.from_arrays([pa.array(key[j]), pa.array(kind[j]), pa.array(doc[j]), pa.array(first[j], mask=~link[j])], ["key", "kind", "doc", "first"])
 
 
 def _sign(n: int, s: Schemes):
@@ -301,9 +302,8 @@ def _sign(n: int, s: Schemes):
                             key = key.view(np.int64)
                             if kind is FULL:
                                 yield from _combined(key, doc)
-                            elif len(key):
-                                no = np.zeros(len(key), bool)
-                                yield from _batches(key, no, key, np.broadcast_to(np.asarray(kind, np.int8), len(key)), no, doc, doc)
+                            else:
+                                yield from _batches(key, np.broadcast_to(np.asarray(kind, np.int8), len(key)), doc, doc, np.zeros(len(key), bool))
 
     return run
 
@@ -312,31 +312,31 @@ _MET = ["key", "first_kind", "first", "kind", "doc"]
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by star, key, kind, doc: (bucket, its first document, each other). Holds one batch and one row.
+    """Rows sorted by key, kind, doc, links after all: (bucket, its first document, each other). Holds one batch and one row.
 
-    Finished links pass. Buckets of two that no task has combined carry no key, since no pair is left to check in them.
+    Links pass. Buckets of two that no task has combined carry no key, since no pair is left to check in them.
     """
     last: tuple | None = None
     for batch in batches:
-        star = batch.column("star").to_numpy(zero_copy_only=False)
-        if star.any():
-            done = batch.filter(pa.array(star))
+        link = batch.column("kind").to_numpy() == LINK
+        if link.any():
+            done = batch.filter(pa.array(link))
             full = pa.array(np.full(done.num_rows, FULL, np.int8))
             yield pa.RecordBatch.from_arrays([done.column("key"), full, done.column("first"), full, done.column("doc")], _MET)
-            batch = batch.filter(pa.array(~star))
+            batch = batch.filter(pa.array(~link))
         if not batch.num_rows:
             continue
-        row = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "kind", "led", "doc")]
+        row = [batch.column(c).to_numpy() for c in ("key", "kind", "doc")]
         if last is not None:
             row = [np.concatenate([np.array([x], c.dtype), c]) for x, c in zip(last, row, strict=True)]
-        key, kind, led, doc = row
+        key, kind, doc = row
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
-        open_ = np.logical_or.reduceat(led, first)
+        open_ = np.logical_or.reduceat(kind == LED, first)
         open_[[0, -1]] = True
         head = np.repeat(first, size)
-        last = (key[first[-1]], kind[first[-1]], led[first[-1]], doc[first[-1]])
-        use = (np.isin(kind[head], (FULL, FEW))) & (np.arange(len(key)) != head) & (doc != doc[head])
+        last = (key[first[-1]], kind[first[-1]], doc[first[-1]])
+        use = (np.isin(kind[head], (FULL, LED, FEW))) & (np.arange(len(key)) != head) & (doc != doc[head])
         more = np.repeat((size > 2) | open_, size)
         pair = np.unique(np.stack([doc[head[use & ~more]], doc[use & ~more]]), axis=1)
         many = use & more
@@ -419,7 +419,8 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: Fraction | str =
 
         signed = docs.mapInArrow(_sign(words, s), _SIGNED)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PER_TASK)
-        sorted_ = signed.repartition(parts, "deal").drop("deal").sortWithinPartitions("star", "key", "kind", "doc")
+        deal = F.when(F.col("kind") == LINK, F.xxhash64("key", "doc")).otherwise(F.col("key"))
+        sorted_ = signed.repartition(parts, deal).sortWithinPartitions((F.col("kind") == LINK), "key", "kind", "doc")
         del signed
         met = scratch.table(sorted_.mapInArrow(_stars, "key long, first_kind byte, first long, kind byte, doc long"), "met")
         del sorted_
