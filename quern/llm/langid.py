@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quern.llm import scratch
 from quern.llm.wordhash import pieces
@@ -106,7 +107,7 @@ class Model:
 class Scorer:
     """Scores texts; remembers what a bounded number of white-space pieces contribute."""
 
-    def __init__(self, model: Model, memory: int = 250_000):
+    def __init__(self, model: Model, memory: int = 120_000):
         # 64 MB of rows, however many languages there are
         self.model, self.memory = model, max(1, min(memory, (16 << 20) // max(1, len(model.langs))))
         self.chunk = min(20_000, self.memory)
@@ -208,22 +209,8 @@ def train(docs: DataFrame, docs_per_language: int = 2_000) -> Model:
     return Model(_rows(words.where("n > 1")), _rows(counts))
 
 
-def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
-    """A function of text columns with a struct (lang_pred, score); only texts go through Python, in Arrow batches."""
-    shared = spark.sparkContext.broadcast(model)
-    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
-
-    @F.arrow_udf("struct<lang_pred string, score double>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(shared.value)
-        for texts in batches:
-            yield pa.array([dict(zip(("lang_pred", "score"), scorer.predict(t.as_py()), strict=True)) for t in texts], kind)
-
-    return lambda text: run(text.cast("string"))
-
-
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """All rows and columns of ``docs`` with lang_pred and score, from whole texts alone.
+def identify(docs: DataFrame, model: Model | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All rows and columns of ``docs`` with lang_pred and score (under these ``names``), from whole texts alone.
 
     A text that is null, has no letter, or has no word of which the model knows as much as a single character
     is ``und`` with score 0, as is every text if nothing could be learned. Ties go to the first language by code point.
@@ -232,9 +219,21 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     table gives no rows.
     """
     scratch.bound_batches(docs.sparkSession)
-    predict = predictor(docs.sparkSession, train(docs) if model is None else model)
-    found = docs.drop("lang_pred", "score").withColumn("_language", predict(F.col("text")))
-    return found.withColumns({"lang_pred": F.col("_language")["lang_pred"], "score": F.col("_language")["score"]}).drop("_language")
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)
+    docs = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
+    columns = [f"c{k}" for k in range(len(docs.columns) + 2)]
+    text = columns[docs.columns.index("text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            for part in pieces(batch, text):
+                lang, score = zip(*(scorer.predict(t.as_py()) for t in part.column(text)), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], columns)
+
+    plain = docs.toDF(*columns[:-2])
+    schema = StructType([*plain.schema.fields, StructField(columns[-2], StringType()), StructField(columns[-1], DoubleType())])
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, *names)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

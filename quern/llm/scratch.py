@@ -80,8 +80,11 @@ def repeat(df: DataFrame, times: Column, index: str, keys: list[str], block: int
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of 16 MB at most, however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches of 4 MB at most, or one longer row, however long the texts are.
+
+    Spark reads this setting when a plan runs, so it stays set for the session; it changes no result.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def write_files(df: DataFrame, column: str, path: str) -> None:

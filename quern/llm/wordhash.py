@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-STEP = 1 << 20
+STEP = 1 << 19
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _SPACE = np.zeros(256, bool)
@@ -132,7 +132,7 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield fold(h[a:b], b - a) if b > a else h[:0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2 * STEP) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 4 * STEP) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each, at least a row."""
     _, offsets = buffers(batch.column(column))
     at = 0
@@ -141,3 +141,4 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 2 * STEP) -> Iterator
         to = min(to, batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # a worker is kept for other tasks
