@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, graph, jaccard, langid, linetemplates, mixing, pcatiles, sharding, simple8b, tokencount, warc
+from quern.llm import bpe, decontam, graph, jaccard, langid, linetemplates, mixing, pcatiles, sharding, simple8b, tokencount, warc
 
 DOCS = "doc_id long, text string, lang string, source string, component_id string"
 
@@ -95,21 +95,35 @@ def test_pairs_across_components_hold_every_link(spark):
 
 
 @pytest.mark.parametrize("t", ["0.9", "0.8"])
-def test_chance_of_a_miss_for_partners_of_any_size(t):
-    """At the threshold, segments of q shingles or more miss a pair with the promised chance at most, whatever its two sizes."""
-    from math import exp, log1p
-
-    s, f, low, bands = jaccard.Schemes(Fraction(t), 200_000), float(Fraction(t)), 1, 0
-    for high, m, q in zip(s.high.tolist(), s.m.tolist(), s.q.tolist(), strict=True):
-        for size in (np.linspace(low, high, 5) if q else ()):
-            for partner in np.linspace(size, size / f, 5):
-                differ = (size + partner) * (1 - f) / (1 + f) / m
-                less, term = 0.0, exp(-differ * f / (1 - f))
-                for k in range(q):
-                    less, term = less + term, term * differ * f / (1 - f) / (k + 1)
-                assert m * log1p(-exp(-differ) * (1 - less)) <= np.log(jaccard.MISS) + 1e-6
-        low, bands = high + 1, bands + bool(q)
-    assert bands > 10
+def test_no_size_misses_a_partner(t):
+    """Sets at the threshold, whatever their sizes, share a signature; tight tables make every rule do its part."""
+    rng, f = np.random.default_rng(3), Fraction(t)
+    new = lambda n: rng.integers(1, 2**63, n).astype(np.uint64)
+
+    def keys(x, s, scheme):
+        out = {}
+        for key, kind, _ in jaccard._segments([x], np.array([0]), np.array([scheme]), s):
+            for k, what in zip(key.tolist(), np.broadcast_to(kind, len(key)).tolist(), strict=True):
+                out.setdefault(k, set()).add(what)
+        return out
+
+    few = dict.fromkeys(range(200), 1)
+    for counts in (few, dict.fromkeys(range(200), 10**7)):
+        s = jaccard.Schemes(f, 6000, counts)
+        if counts is not few:  # no segments to spare: many sets need neighbourhoods or empty segments
+            s.m, s.spare, s.r = np.array(s.least), 0 * s.spare, np.minimum(s.r + 8, s.least)
+        for _ in range(150):
+            size = int(np.exp(rng.uniform(np.log(2), np.log(4000))))
+            common = new(size)
+            apart = int(size * (1 / f - 1))  # the most that two sets with these in common may differ in
+            one = int(rng.integers(0, apart + 1))
+            x, y = np.concatenate([common, new(one)]), np.concatenate([common, new(apart - one)])
+            small = min(len(x), len(y))
+            scheme = int(s.band(np.array([small]))[0])
+            a, b = keys(x, s, scheme), keys(y, s, scheme)
+            met = [(k, a[k] | b[k]) for k in a.keys() & b.keys()]
+            assert int(s.band(np.array([max(len(x), len(y))]))[0]) <= scheme + 1
+            assert any(kinds & {jaccard.FULL, jaccard.FEW} for _, kinds in met) or any(kinds == {jaccard.LESS} for _, kinds in met)
 
 
 def test_parities_bound_differences():
@@ -177,7 +191,7 @@ def test_decontamination_of_short_items(spark):
 
 def test_mixing(spark, docs):
     p = mixing.plan(docs).toPandas()
-    assert len(p) == docs.count() and p.equals(mixing.plan(docs.repartition(7)).toPandas().sort_values(list(p.columns), ignore_index=True)) or True
+    assert len(p) == docs.count()
     again = mixing.plan(docs.repartition(7)).toPandas()
     key = ["doc_id", "size", "taken"]
     assert sorted(map(str, p[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
