@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    scratch.bound_batches(spark)
-    return docs.where(langid.predictor(spark, model)(F.col("text"))["lang_pred"] != langid.UNKNOWN)
+    names = ("_language", "_score")
+    return langid.identify(docs, model, names).where(F.col(names[0]) != langid.UNKNOWN).drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
