@@ -1 +1 @@
-"""Column functions: text rules and vector arithmetic, all built from native expressions."""
+"""Column functions: text rules and vector arithmetic of native expressions; stand-in encoders run in Arrow batches."""

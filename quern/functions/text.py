@@ -16,6 +16,8 @@ MISSING_CONTEXT = "no reference passage|no context|context was not provided|no r
 GROUNDING_EXPOSURE = "retrieved passage|retrieved context|reference passage|retrieval result|retrieval process|rag system|\\brag\\b|faiss|source-grounded|not source-grounded|grounded response|reference-supported|response mode"
 REFUSAL = "i cannot answer|i can't answer|i am unable to answer|unable to provide an answer|cannot provide an answer"
 NO_CONTEXT = "Insufficient context!"
+TABLE_FAILURE = "[table detected but text extraction failed]"
+PATTERNS = ("Missing context statement", "Grounding/RAG exposure", "Refusal", "Faultless")
 
 
 def strip(c: Column) -> Column:
@@ -66,28 +68,15 @@ def _later(lines: Column) -> Column:
     return F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
 
 
-def _grow(out: Column, tail: Column) -> Column:
-    """``out`` with ``tail`` put at the end of its last element."""
-    return F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), tail)))
-
-
 def repair_bullets(c: Column) -> Column:
     """A bullet alone on a line takes the lines after it, up to an empty line or the next bullet.
 
-    A text of blank lines only is a single newline.
+    A text of blank lines only is a single newline. Lines grow in one pass over the text: a line break goes where it
+    follows such a bullet or a line that has joined one.
     """
     lines = F.transform(F.split(newlines(c), "\n", -1), clean_line)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("open"))
-
-    def step(s: Column, x: Column) -> Column:
-        line, after = x["line"], x["after"]
-        put = lambda v, state: F.struct(F.concat(s["out"], F.array(v)).alias("out"), F.lit(state).alias("open"))
-        more = F.struct(_grow(s["out"], F.when(s["open"] == 1, line).otherwise(F.concat(F.lit(" "), line))).alias("out"), F.lit(2).alias("open"))
-        lone = after.isNull() | (after == "")
-        return F.when(line == "", put(line, 0)).when(line.rlike(BULLET_LINE), F.when(lone, put(line, 0)).otherwise(put(F.concat(line, F.lit(" ")), 1))).when(s["open"] > 0, more).otherwise(put(line, 0))
-
-    seen = F.zip_with(lines, _later(lines), lambda x, y: F.struct(x.alias("line"), y.alias("after")))
-    text = F.array_join(F.aggregate(seen, start, step)["out"], "\n")
+    text = F.regexp_replace(F.array_join(lines, "\n"), "(?m)^([●•▪▫◦])(?=\n[●•▪▫◦](?:\n|\\z))", "$1 ")
+    text = F.regexp_replace(text, "((?:\\A|(?<=\n))[●•▪▫◦]|(?!\\A)\\G[^\n]+)\n(?=[^\n])(?![●•▪▫◦] ?(?:\n|\\z))", "$1 ")
     text = F.regexp_replace(F.regexp_replace(text, "\\n{3,}", "\n\n"), "^\\n+|\\n+$", "")
     return F.when(F.forall(lines, lambda x: x == ""), F.lit("\n")).otherwise(text)
 
@@ -99,18 +88,16 @@ def protect_markers(c: Column) -> Column:
 
 
 def merge_paragraph(c: Column) -> Column:
-    """Wrapped lines join by spaces; bullet items, lines before one, and image markers stay lines."""
-    lines = F.filter(F.transform(F.split(c, "\n", -1), clean_line), lambda x: x != "")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
-
-    def step(s: Column, x: Column) -> Column:
-        apart = F.struct(F.concat(s["out"], F.array(x["line"])).alias("out"), (~x["hard"]).alias("open"))
-        joined = F.struct(_grow(s["out"], F.concat(F.lit(" "), x["line"])).alias("out"), F.lit(True).alias("open"))
-        return F.when(s["open"] & ~x["hard"], joined).otherwise(apart)
+    """Wrapped lines join by spaces; bullet items, lines before one, and image markers stay lines.
 
+    A line joins the one before it where neither has to stay, so each is looked at once.
+    """
+    lines = F.filter(F.transform(F.split(c, "\n", -1), clean_line), lambda x: x != "")
     item = lambda x: F.coalesce(x.rlike(BULLET_ITEM), F.lit(False))
     seen = F.zip_with(lines, _later(lines), lambda x, y: F.struct(x.alias("line"), (item(x) | item(y) | is_image_marker(x)).alias("hard")))
-    merged = F.array_join(F.aggregate(seen, start, step)["out"], "\n")
+    before = F.concat(F.array(F.lit(True)), F.transform(seen, lambda x: x["hard"]))
+    pieces = F.zip_with(seen, F.slice(before, F.lit(1), F.size(lines)), lambda x, hard: F.concat(F.when(x["hard"] | hard, "\n").otherwise(" "), x["line"]))
+    merged = F.substring(F.array_join(pieces, ""), F.lit(2), F.length(c) + 1)
     return F.when(strip(c) == "", F.lit("")).when(is_image_marker(c) | is_table_block(c), strip(c)).otherwise(merged)
 
 
@@ -161,6 +148,11 @@ def flatten_cells(cells: Column) -> Column:
     return F.array_join(F.filter(rows, lambda x: x != ""), "\n")
 
 
+def table_text(cells: Column) -> Column:
+    """Flattened cells, or a fixed text where there are none to be had."""
+    return F.coalesce(F.nullif(flatten_cells(cells), F.lit("")), F.lit(TABLE_FAILURE))
+
+
 def subsection_key(header_id: Column, title: Column) -> Column:
     return F.concat(F.lpad(header_id.cast("string"), F.greatest(F.lit(3), F.length(header_id.cast("string"))), F.lit("0")), F.lit("::"), title)
 
@@ -168,7 +160,7 @@ def subsection_key(header_id: Column, title: Column) -> Column:
 def response_pattern(c: Column) -> Column:
     """First match wins: missing context, exposed grounding, refusal, else faultless."""
     c = F.lower(F.coalesce(c, F.lit("")))
-    return F.when(c.rlike(MISSING_CONTEXT), "Missing context statement").when(c.rlike(GROUNDING_EXPOSURE), "Grounding exposure").when(c.rlike(REFUSAL), "Refusal").otherwise("Faultless")
+    return F.when(c.rlike(MISSING_CONTEXT), PATTERNS[0]).when(c.rlike(GROUNDING_EXPOSURE), PATTERNS[1]).when(c.rlike(REFUSAL), PATTERNS[2]).otherwise(PATTERNS[3])
 
 
 def architecture(rag: Column, has_query: Column, has_image: Column) -> Column:

@@ -68,3 +68,20 @@ def hashed_all(texts: Column, dim: int = 64) -> Column:
         return pd.Series([None if x is None else [list(r) for r in _encode(list(x), dim)] for x in s])
 
     return run(texts)
+
+
+def hashed_bytes(content: Column, dim: int = 64) -> Column:
+    """A deterministic stand-in for an image encoder: signed counts of byte values; null or empty content gives null."""
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        def one(x):
+            if not x:
+                return None
+            v = np.bincount((np.frombuffer(x, np.uint8) >> 1) % dim, np.where(np.frombuffer(x, np.uint8) & 1, 1.0, -1.0), dim)
+            size = np.linalg.norm(v)
+            return list(v / size) if size else list(v)
+
+        return s.map(one, na_action=None)
+
+    return run(content)

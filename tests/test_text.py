@@ -19,7 +19,7 @@ CASES = [
     (text.normalize_space, "​ a\r\n\r\n\r\n\t b ", "a\n\n b"),
     (text.strip_markers, "<img 1>\n\n<t 2>\na | b\n</t>\n\nx", "a | b\n\nx"),
     (text.response_pattern, "no context from faiss", "Missing context statement"),
-    (text.response_pattern, "the RAG system says", "Grounding exposure"),
+    (text.response_pattern, "the RAG system says", "Grounding/RAG exposure"),
     (text.response_pattern, None, "Faultless"),
 ]
 
