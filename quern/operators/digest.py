@@ -14,9 +14,9 @@ def ordered_join(order: list[Column], value: Column, sep: str) -> Column:
     return F.array_join(F.transform(rows, lambda x: x["v"]), sep)
 
 
-def outline(entries: DataFrame) -> DataFrame:
+def outline(entries: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Headers (header_id, hierarchy, title, page_index, page_number) of (pos, level, title, page); pages before the first go."""
-    rows = entries.select(F.col("pos").alias("header_id"), F.col("level").alias("hierarchy"), text.normalize_space(F.col("title")).alias("title"), (F.col("page") - 1).alias("page_index"), F.col("page").alias("page_number"))
+    rows = entries.select(*(by or []), F.col("pos").alias("header_id"), F.col("level").alias("hierarchy"), text.normalize_space(F.col("title")).alias("title"), (F.col("page") - 1).alias("page_index"), F.col("page").alias("page_number"))
     return rows.where("page_index >= 0")
 
 
@@ -30,20 +30,61 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, carry: list
     return out.select(*left.columns, *[F.col("_m")[c].alias(c) for c in carry])
 
 
-def subsections(headers: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Passages by header. A header owns pages up to the next header's; of those on one page only the last does."""
-    nxt = Window.orderBy("page_index", "header_id")
-    span = headers.withColumn("_to", F.coalesce(F.lead("page_index").over(nxt), F.lit(2**31 - 1)))
-    top = blocks.agg(F.max("page_index").alias("_top"))
-    span = span.join(F.broadcast(top)).where(F.col("page_index") <= F.col("_top")).drop("_top")
-    b = blocks.select(F.col("page_index").alias("_p"), "block_no", F.col("text").alias("_t"))
-    owned = span.join(b, (F.col("_p") >= F.col("page_index")) & (F.col("_p") < F.col("_to")))
-    body = owned.groupBy("header_id").agg(ordered_join([F.col("_p"), F.col("block_no")], F.col("_t"), "\n").alias("raw"))
-    out = headers.join(span.select("header_id"), "header_id", "left_semi").join(body, "header_id", "left")
+def subsections(headers: DataFrame, blocks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Passages by header, in each document (``by``). A header owns pages up to the next header's; of those on one page
+    only the last does. Blocks before the first header belong to none; headers after the last page are left out.
+
+    Every block looks up its header as of its page, so no range join is made and documents spread over tasks.
+    """
+    by = by or []
+    owned = as_of(blocks.select(*by, "page_index", "block_no", "text"), headers.select(*by, "page_index", "header_id"), by, "page_index", ["header_id"], ["header_id"])
+    body = owned.where("header_id is not null").groupBy(*by, "header_id").agg(ordered_join([F.col("page_index"), F.col("block_no")], F.col("text"), "\n").alias("raw"))
+    top = blocks.groupBy(*by).agg(F.max("page_index").alias("_top"))
+    seen = headers.join(top, by) if by else headers.join(F.broadcast(top))  # one row
+    out = seen.where(F.col("page_index") <= F.col("_top")).drop("_top").join(body, [*by, "header_id"], "left")
     passage = text.normalize_passage(F.coalesce("raw", F.lit("")))
     return out.select(*headers.columns, text.subsection_key(F.col("header_id"), F.col("title")).alias("subsection_key"), passage.alias("passage")).withColumns({"char_count": F.char_length("passage"), "image_marker_count": F.regexp_count("passage", F.lit(text.IMAGE_MARKER)), "table_marker_count": F.regexp_count("passage", F.lit("<t\\s+\\d+>"))})
 
 
+def table_records(found: DataFrame) -> DataFrame:
+    """(table_id, page_index, bbox, text) of the tables (page_index, table_no, bbox, cells) that a detector has found.
+
+    Ids run over all pages from 1; a table without text, or whose cells couldn't be read (null), has a fixed text.
+    """
+    from quern.operators.retrieval import number
+
+    return number(found, ["page_index", "table_no"], "table_id", start=1).select("table_id", "page_index", "bbox", text.table_text(F.col("cells")).alias("text"))
+
+
+def image_records(images: DataFrame, stem: Column, folder: str) -> DataFrame:
+    """(image_id, page_index, bbox, image_path, error) of image blocks (page_index, block_no, bbox, image, ext).
+
+    Ids run over all pages from 1. An image without bytes has an error and no path, but keeps its id and marker.
+    """
+    from quern.operators.retrieval import number
+    from quern.sources.sinks import image_name
+
+    rows = number(images, ["page_index", "block_no"], "image_id", start=1)
+    good = F.col("image").isNotNull() & (F.octet_length("image") > 0)
+    path = F.concat(F.lit(folder.rstrip("/") + "/"), image_name(stem, F.col("page_index") + 1, F.col("image_id"), F.col("ext")))
+    return rows.select("image_id", "page_index", "bbox", F.when(good, path).alias("image_path"), F.when(~good, F.lit("the image has no bytes")).alias("error"), "image")
+
+
+def page_text(blocks: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """(page_index, block_no, text) of text blocks (page_index, block_no, lines): spans run together within a line, lines
+    are joined, lone bullets repaired; a blank block is a newline. A block within a table (``table_id`` not null) gives the table
+    once a page, at its first block, from ``records``."""
+    raw = F.array_join(F.transform("lines", lambda spans: F.array_join(spans, "")), "\n")
+    body = text.repair_bullets(raw)
+    own = blocks.withColumn("_text", F.when(text.strip(body) == "", F.lit("\n")).otherwise(body))
+    if records is None:
+        return own.select("page_index", "block_no", F.col("_text").alias("text"))
+    first = emit_once(own, ["page_index", "table_id"], ["block_no"], "_first").join(records.select("table_id", F.col("text").alias("_table")), "table_id", "left")
+    markup = F.concat(F.lit("\n\n<t "), F.col("table_id"), F.lit(">\n"), F.col("_table"), F.lit("\n</t>\n\n"))
+    shown = F.when(F.col("_table").isNull(), F.col("_text")).when(F.col("_first"), markup)
+    return first.select("page_index", "block_no", shown.alias("text")).where("text is not null")
+
+
 def first_containing(points: DataFrame, boxes: DataFrame, on: str, x: Column, y: Column, margin: float = 1.0) -> DataFrame:
     """Every point with the lowest box_id of its ``on`` group that holds it, edges widened by ``margin``, else null.
 
@@ -96,19 +137,25 @@ def truncation(audit: DataFrame) -> DataFrame:
     return audit.agg(F.count("*").alias("n"), over.alias("n_over"), F.round(F.coalesce(F.try_divide(over * 100.0, F.count("*")), F.lit(0.0)), 4).alias("percent_over"))
 
 
-def semantic_split(passages_: DataFrame, encode, percentile: float = 0.95, buffer: int = 1) -> DataFrame:
+def semantic_split(passages_: DataFrame, encode_all, percentile: float = 0.95, buffer: int = 1) -> DataFrame:
     """(key, chunk_no, chunk): passages cut after sentences whose meaning moves more than usual.
 
-    Every sentence is encoded with its neighbours; a cut follows where the cosine distance to the next exceeds
-    the given percentile of the passage's distances (linear interpolation). One sentence is one chunk.
+    Every sentence is encoded with its neighbours, all of a passage in one call; a cut follows where the cosine distance
+    to the next exceeds the given percentile of the passage's distances (linear interpolation). One sentence is one chunk.
+    A passage stays in its row throughout, so nothing is shuffled.
     """
     from quern.functions.vectors import cosine
 
-    s = passages_.select("key", F.posexplode(F.filter(F.split(F.regexp_replace("passage", "(?<=[.!?])\\s+", "\u0001"), "\u0001"), lambda x: text.strip(x) != "")).alias("pos", "sentence"))
-    w = Window.partitionBy("key").orderBy("pos")
-    s = s.withColumn("around", F.array_join(F.collect_list("sentence").over(w.rowsBetween(-buffer, buffer)), " "))
-    s = s.withColumn("v", encode(F.col("around"))).withColumn("gap", F.lit(1.0) - cosine(F.col("v"), F.lead("v").over(w)))
-    edge = s.groupBy("key").agg(F.percentile("gap", percentile).alias("edge"))
-    s = s.join(edge, "key").withColumn("cut", F.coalesce((F.col("gap") > F.col("edge")).cast("int"), F.lit(0)))
-    s = s.withColumn("chunk_no", F.coalesce(F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return s.groupBy("key", "chunk_no").agg(ordered_join([F.col("pos")], F.col("sentence"), " ").alias("chunk"))
+    s = passages_.select("key", F.filter(F.split(F.regexp_replace("passage", "(?<=[.!?])\\s+", "\u0001"), "\u0001"), lambda x: text.strip(x) != "").alias("_s")).where(F.size("_s") > 0)
+    around = F.transform("_s", lambda x, i: F.array_join(F.slice("_s", F.greatest(i - buffer, F.lit(0)) + 1, F.least(i, F.lit(buffer)) + 1 + buffer), " "))
+    s = s.withColumn("_v", encode_all(around))
+    later = F.slice("_v", F.lit(2), F.greatest(F.size("_v") - 1, F.lit(0)))
+    s = s.withColumn("_gap", F.slice(F.zip_with("_v", later, lambda a, b: F.lit(1.0) - cosine(a, b)), F.lit(1), F.size("_v") - 1))
+    known = F.array_sort(F.filter("_gap", lambda g: g.isNotNull()))
+    s = s.withColumn("_known", known).withColumn("_at", (F.size("_known") - 1) * F.lit(percentile))
+    low, high = F.get("_known", F.floor("_at").cast("int")), F.get("_known", F.ceil("_at").cast("int"))
+    s = s.withColumn("_edge", low + (F.col("_at") - F.floor("_at")) * (high - low))
+    cuts = F.filter(F.transform("_gap", lambda g, i: F.when(g > F.col("_edge"), i + 1)), lambda x: x.isNotNull())
+    s = s.withColumn("_from", F.concat(F.array(F.lit(0)), cuts)).withColumn("_to", F.concat(cuts, F.array(F.size("_s"))))
+    chunks = F.transform(F.arrays_zip("_from", "_to"), lambda x: F.array_join(F.slice("_s", x["_from"] + 1, x["_to"] - x["_from"]), " "))
+    return s.select("key", F.posexplode(chunks).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))

@@ -7,8 +7,31 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 
-GROUNDED, GENERAL = "source-grounded", "general"
-TEMPLATE = "Date: {date}\nMode: {mode}\nContext:\n{context}\nQuestion:\n{question}"
+# Response modes, the disclaimers that go with them, and the user's turn.
+GROUNDED, GENERAL = "REFERENCE_SUPPORTED", "GENERAL_ENT"
+DISCLAIMERS = {
+    GROUNDED: "This is educational information, not a diagnosis or treatment recommendation. Please consult a qualified healthcare professional for patient-specific advice.",
+    GENERAL: "Important: This answer is general ENT educational information only. It is not a diagnosis, treatment recommendation, prescription, or substitute for professional medical advice. Please consult a qualified healthcare professional for patient-specific guidance.",
+}
+TEMPLATE = """
+    RESPONSE MODE:
+    {response_mode}
+
+    REQUIRED OPENING DISCLAIMER:
+    {safety_disclaimer}
+
+    REFERENCE PASSAGE:
+    {retrieved_passage}
+
+    USER QUESTION:
+    {user_question}
+
+    Begin with the required opening disclaimer exactly once.
+    Then answer the user's question directly.
+    Do not mention the response mode, retrieval process, missing context, or whether reference material was provided.
+    """
+#: A system turn of this library's own; {today_date} is filled in.
+SYSTEM = "Today: {today_date}\nYou explain educational material. Answer from the reference passage if there is one, else in general terms."
 
 
 def fill(template: str, **values: Column) -> Column:
@@ -22,11 +45,23 @@ def fill(template: str, **values: Column) -> Column:
 
 
 def response_mode(context: Column) -> Column:
-    return F.when(F.coalesce(context, F.lit("")).isin("", text.NO_CONTEXT), GENERAL).otherwise(GROUNDED)
+    """General without a context: null, blank or the no-context text."""
+    return F.when(text.strip(F.coalesce(context, F.lit(""))).isin("", text.NO_CONTEXT), GENERAL).otherwise(GROUNDED)
+
+
+def disclaimer(mode: Column) -> Column:
+    return F.when(mode == GROUNDED, DISCLAIMERS[GROUNDED]).otherwise(DISCLAIMERS[GENERAL])
+
+
+def prompt(question: Column, context: Column, template: str = TEMPLATE) -> Column:
+    """The user's turn: mode and disclaimer by the context, then context and question."""
+    mode = response_mode(context)
+    return fill(template, response_mode=mode, safety_disclaimer=disclaimer(mode), retrieved_passage=context, user_question=question)
 
 
-def prompt(question: Column, context: Column, date: Column, template: str = TEMPLATE) -> Column:
-    return fill(template, date=date, mode=response_mode(context), context=context, question=question)
+def system(date: Column, template: str = SYSTEM) -> Column:
+    """The system turn of a day, written as in 01 January 2026."""
+    return fill(template, today_date=F.date_format(date, "dd MMMM yyyy"))
 
 
 def messages(system: Column, history: Column, user: Column) -> Column:

@@ -26,15 +26,31 @@ def long_metrics(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     return tall.groupBy(*by, "metric_label").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("std"), F.count("value").alias("n"))
 
 
-def pivot_counts(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
-    """Counts of each value by row, absent ones 0; rows without a key are dropped."""
-    return df.where(F.col(row).isNotNull()).groupBy(row).pivot(column, values).count().na.fill(0, values)
+def _in_order(df: DataFrame, c: str, values: list, table: DataFrame) -> DataFrame:
+    """``table`` for the given values of ``c`` in their order (place), null where one is absent."""
+    order = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"{c} {df.schema[c].dataType.simpleString()}, place int")
+    return order.join(table, c, "left")
+
+
+def pivot_counts(df: DataFrame, row: str, column: str, values: list[str], rows: list | None = None) -> DataFrame:
+    """Counts of each value by row, absent ones 0; rows without a key are dropped. With ``rows``, these rows in this
+    order (place), and nulls for those that are absent altogether."""
+    out = df.where(F.col(row).isNotNull()).groupBy(row).pivot(column, values).count().na.fill(0, values)
+    return out if rows is None else _in_order(df, row, rows, out)
 
 
 def class_counts(df: DataFrame, c: str, values: list) -> DataFrame:
     """Counts of given classes in their order, null where a class is absent."""
-    order = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"{c} {df.schema[c].dataType.simpleString()}, place int")
-    return order.join(df.groupBy(c).count(), c, "left").withColumnRenamed("count", "n")
+    return _in_order(df, c, values, df.groupBy(c).count()).withColumnRenamed("count", "n")
+
+
+def compare(df: DataFrame, by: list[str], evaluator: str, evaluators: list[str], metrics: list[str]) -> DataFrame:
+    """Means of every metric side by side for each evaluator, null where one has no rows, and the difference of the
+    first two."""
+    out = df.groupBy(*by).pivot(evaluator, evaluators).agg(*[F.round(F.avg(m), 4).alias(m) for m in metrics])
+    names = {(e, m): f"{e}_{m}" if len(metrics) > 1 else e for e in evaluators for m in metrics}
+    shown = [F.col(names[e, m]).alias(f"{m}_{e}") for m in metrics for e in evaluators]
+    return out.select(*by, *shown, *[F.round(F.col(names[evaluators[0], m]) - F.col(names[evaluators[1], m]), 4).alias(f"{m}_difference") for m in metrics])
 
 
 def profile(samples: DataFrame, by: str, ts: str, value: str) -> DataFrame:

@@ -2,41 +2,80 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.vectors import cosine
 
-#: Query vectors scored in one pass over the corpus.
-BLOCK = 4096
+#: Query vectors scored together, corpus vectors scored together, and corpus vectors that a task holds, about.
+QUERIES, STRIP, GROUP = 512, 8192, 65_536
 
 
-def _best(block, k: int):
-    """The best ``k`` corpus rows of every query within a task, by matrix products."""
+def _packed(side: int, size: int, id_column: str):
+    """Blocks of up to ``size`` rows as bytes: ids, and unit vectors in double precision; zero vectors are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = block.value
-        score = np.full((len(qid), k), -np.inf)
-        ids = np.zeros((len(qid), k), np.int64)
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, q.shape[1])
-            own = batch.column("vec_id").to_numpy()
-            with np.errstate(invalid="ignore", divide="ignore"):
-                v = v / np.linalg.norm(v, axis=1, keepdims=True)
-            for at in range(0, len(own), 8192):
-                s = np.concatenate([score, np.nan_to_num(q @ v[at : at + 8192].T, nan=-np.inf)], axis=1)
-                j = np.concatenate([ids, np.broadcast_to(own[at : at + 8192], (len(qid), len(own[at : at + 8192])))], axis=1)
-                order = np.lexsort((j, -s.round(12)), axis=1)[:, :k]
-                score, ids = np.take_along_axis(s, order, 1), np.take_along_axis(j, order, 1)
-        r, c = np.nonzero(np.isfinite(score))
-        yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(ids[r, c]), pa.array(score[r, c])], ["qid", "vec_id", "score"])
+            for at in range(0, batch.num_rows, size):
+                some = batch.slice(at, size)
+                v = some.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(some.num_rows, -1)
+                length = np.linalg.norm(v, axis=1)
+                fine = np.isfinite(length) & (length > 0)
+                ids, v = some.column(id_column).to_numpy()[fine].astype("<i8"), v[fine] / length[fine, None]
+                yield pa.RecordBatch.from_arrays([pa.array([side], pa.int32()), pa.array([part << 24 | seq]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["side", "block", "ids", "v"])
+                seq += 1
+
+    return run
+
+
+_PACKED = "side int, block long, ids binary, v binary"
+
+
+def _best(q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of the best ``k`` of ``v`` for every row of ``q``, ties by id."""
+    s = q @ v.T
+    if s.shape[1] > k:  # all that may tie with the k-th
+        edge = np.partition(s, -k, axis=1)[:, -k]
+        r, c = np.nonzero(s >= edge[:, None] - 2e-12)
+    else:
+        r, c = (x.ravel() for x in np.indices(s.shape))
+    score, ids = s[r, c], own[c]
+    order = np.lexsort((ids, -score.round(12), r))
+    r, ids, score = r[order], ids[order], score[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], ids[keep], score[keep]
+
+
+def _scored(k: int):
+    """Rows by group: blocks of the corpus first, which are held, then blocks of queries, which pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, vectors = None, [], []
+        for batch in batches:
+            for n in range(batch.num_rows):
+                g, side, raw, v = (batch.column(c)[n].as_py() for c in ("group", "side", "ids", "v"))
+                if g != group:
+                    group, ids, vectors = g, [], []
+                own = np.frombuffer(raw, "<i8")
+                v = np.frombuffer(v).reshape(len(own), -1)
+                if side == 0:
+                    ids.append(own)
+                    vectors.append(v)
+                elif ids and len(own):
+                    found = [_best(v, a, b, k) for a, b in zip(ids, vectors, strict=True) if len(a)]
+                    r, i, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                    order = np.lexsort((i, -s.round(12), r))
+                    r, i, s = r[order], i[order], s[order]
+                    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(own[r[keep]]), pa.array(i[keep]), pa.array(s[keep])], ["qid", "vec_id", "score"])
 
     return run
 
@@ -44,27 +83,18 @@ def _best(block, k: int):
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
     """(qid, vec_id, score, rank): the ``k`` nearest by cosine, ties by vec_id.
 
-    Queries (qid, v) go in blocks of ``BLOCK`` against the whole corpus (vec_id, v). Each task keeps k rows a
-    query, so what is shuffled does not depend on the size of the corpus.
+    Queries (qid, v) and corpus (vec_id, v) are packed in blocks. Each block of the corpus goes to one group of about
+    ``GROUP`` vectors, each block of queries to all groups, and a group gives k rows a query at most. Nothing passes
+    through the driver. Null and zero vectors find nothing and are never found.
     """
-    spark = corpus.sparkSession
-    found, held = None, []
-
-    def block() -> DataFrame:
-        q = np.array([r.v for r in held], float)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((np.array([r.qid for r in held], np.int64), q))
-        return corpus.select("vec_id", "v").where("v is not null").mapInArrow(_best(shared, k), "qid long, vec_id long, score double")
-
-    for row in queries.select("qid", "v").where("v is not null").toLocalIterator():
-        held.append(row)
-        if len(held) == BLOCK:
-            found = block() if found is None else found.unionByName(block())
-            held = []
-    if held or found is None:
-        last = block() if held else spark.createDataFrame([], "qid long, vec_id long, score double")
-        found = last if found is None else found.unionByName(last)
+    n = corpus.count()
+    groups = max(1, math.ceil(n / GROUP))
+    c = corpus.where("v is not null").select("vec_id", "v").mapInArrow(_packed(0, STRIP, "vec_id"), _PACKED)
+    c = c.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    q = queries.where("v is not null").select("qid", "v").mapInArrow(_packed(1, QUERIES, "qid"), _PACKED)
+    q = q.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    met = c.unionByName(q).repartition(groups, "group").sortWithinPartitions("group", "side")
+    found = met.select("group", "side", "ids", "v").mapInArrow(_scored(k), "qid long, vec_id long, score double")
     order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -100,12 +130,41 @@ def rekey(images: DataFrame, order: str, vector: str) -> DataFrame:
     return number(kept, [order], "vector_index")
 
 
+def strict_lookup(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with the value of their key; a key that the table lacks is an error, named in its message."""
+    found = rows.join(table.select(key, F.struct(value).alias("_found")), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {value} for {key} "), F.col(key).cast("string")))
+    return found.withColumn(value, F.when(F.col("_found").isNotNull(), F.col("_found")[value]).otherwise(missing)).drop("_found")
+
+
+def _ranged(df: DataFrame, order: list) -> DataFrame:
+    """Sorted by ranges, with the place of each row: partition ``_p`` and number ``_r`` in it. The number of partitions is
+    given, so it stands however the result is used."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    return rows.withColumns({"_p": F.shiftright("_m", 33), "_r": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_m")
+
+
 def number(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """Dense global numbers in order without a one-task window: rows a partition, then offsets."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    ranged = _ranged(df, order)
     counts = ranged.groupBy("_p").count()
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
-    own = Window.partitionBy("_p").orderBy(*order)
-    out = ranged.withColumn("_r", F.row_number().over(own)).join(F.broadcast(offsets), "_p")
-    return out.withColumn(name, F.col("_o") + F.col("_r") - 1 + start).drop("_p", "_r", "_o")
+    offsets = counts.select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))  # a row a partition
+    out = ranged.join(F.broadcast(offsets), "_p")
+    return out.withColumn(name, F.col("_o") + F.col("_r") + start).drop("_p", "_r", "_o")
+
+
+def places(df: DataFrame, by: list[str], order: list[Column], name: str, size: str) -> DataFrame:
+    """Each row's number from 0 within its group, and the size of the group, however few and large the groups are.
+
+    Groups and order together are cut into ranges; what a group has in earlier ranges comes from one row for each group in each range.
+    """
+    ranged = _ranged(df, [*map(F.col, by), *order])
+    runs = ranged.groupBy(*by, "_p").agg(F.count("*").alias("_n"), F.min("_r").alias("_least"))
+    w = Window.partitionBy(*by).orderBy("_p")
+    runs = runs.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_p").alias("_q"), "_least", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias(size))
+    same = F.col("_p") == F.col("_q")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return ranged.join(runs, same).withColumn(name, F.col("_before") + F.col("_r") - F.col("_least")).drop("_p", "_r", "_q", "_least", "_before", *[f"_{c}" for c in by])

@@ -37,20 +37,39 @@ def require_headers(headers: DataFrame) -> DataFrame:
     return headers
 
 
-def require_paths(paths: list[str]) -> None:
-    """Raises once, naming every path that is missing."""
-    if missing := [p for p in paths if not os.path.exists(p)]:
+def require_paths(paths: list[str], spark: SparkSession | None = None) -> None:
+    """Raises once, naming every path that is missing; with a session, paths of any file system that Spark knows."""
+
+    def there(path: str) -> bool:
+        if spark is None:
+            return os.path.exists(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+    if missing := [p for p in paths if not there(p)]:
         raise FileNotFoundError("missing: " + ", ".join(missing))
 
 
+def read_environment(names: dict[str, str | None], path: str | None = None, environment: dict[str, str] | None = None) -> dict[str, str | None]:
+    """Settings by name with their defaults: a settings file first, if there is one, then the environment; blank counts as
+    not set."""
+    found = read_settings(path) if path and os.path.exists(path) else {}
+    given = os.environ if environment is None else environment
+    first = lambda *values: next((v for v in values if v and v.strip()), None)
+    return {n: first(found.get(n), given.get(n), default) for n, default in names.items()}
+
+
 def read_settings(path: str, required: tuple[str, ...] = ()) -> dict[str, str]:
     """KEY=value lines; blank lines and comments skipped, "export " and quotes taken off."""
     if not os.path.exists(path):
         raise FileNotFoundError(path)
     if os.path.isdir(path):
         raise IsADirectoryError(path)
-    with open(path, encoding="utf-8-sig") as file:
-        lines = [x.strip() for x in file]
+    try:
+        with open(path, encoding="utf-8-sig") as file:
+            lines = [x.strip() for x in file]
+    except (OSError, UnicodeDecodeError) as e:
+        raise OSError(f"the settings file can't be read: {e}") from e
     if not any(lines):
         raise ValueError("the settings file is empty")
     out = {}

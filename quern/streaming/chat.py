@@ -11,13 +11,17 @@ OUTPUT = "conv_id long, turn long, prompt string, answer string, n_history int"
 STATE = "roles array<string>, texts array<string>"
 
 
-def sessions(turns: DataFrame, answer: Callable[[str, list[tuple[str, str]]], str]) -> DataFrame:
+def sessions(turns: DataFrame, answer: Callable[[str, list[tuple[str, str]]], str], idle_ms: int | None = None) -> DataFrame:
     """Answers of a stream (conv_id, turn, text), in turn order within a batch.
 
-    History holds the raw prompts and the answers; a text of "/clear" empties it and gives no row.
+    History holds the raw prompts and the answers; a text of "/clear" empties it and gives no row. The history of a
+    session ends with ``/clear`` or, if ``idle_ms`` is given, when it has been idle for so long; then its state is freed.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         roles, texts = (list(x) for x in state.get) if state.exists else ([], [])
         rows = []
         for turn, text in sorted((r.turn, r.text) for b in batches for r in b.itertuples()):
@@ -28,7 +32,12 @@ def sessions(turns: DataFrame, answer: Callable[[str, list[tuple[str, str]]], st
             rows.append((key[0], turn, text, said, len(roles)))
             roles += ["user", "assistant"]
             texts += [text, said]
-        state.update((roles, texts))
+        if roles:
+            state.update((roles, texts))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(rows, columns=["conv_id", "turn", "prompt", "answer", "n_history"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout")
+    return turns.groupBy("conv_id").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
