@@ -17,9 +17,9 @@ def retrieve(questions: DataFrame, corpus: DataFrame, lookup: DataFrame, k: int
 
 
 def ask(questions: DataFrame, corpus: DataFrame, lookup: DataFrame, date: Column, k: int = 3) -> DataFrame:
-    """(qid, question, rag_context, prompt) of (qid, question, v)."""
+    """(qid, question, rag_context, system, prompt) of (qid, question, v)."""
     found = retrieve(questions, corpus, lookup, k)
-    return questions.join(found, "qid").select("qid", "question", "rag_context", prompts.prompt(F.col("question"), F.col("rag_context"), date).alias("prompt"))
+    return questions.join(found, "qid").select("qid", "question", "rag_context", prompts.system(date).alias("system"), prompts.prompt(F.col("question"), F.col("rag_context")).alias("prompt"))
 
 
 def run_pending(todo: DataFrame, path: str, generate: Callable[[DataFrame], DataFrame]) -> DataFrame:

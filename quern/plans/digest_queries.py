@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
@@ -14,10 +13,61 @@ query = registrar(QUERIES)
 _c = F.col
 
 
-@query("SELECT page_id, (pos - 1)::BIGINT AS header_id, title, len(title)::BIGINT AS title_chars FROM (SELECT page_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS title FROM (SELECT page_id, regexp_extract_all(html, '<h1[^>]*>([^<]*)</h1>', 1) AS t FROM pages)) x")
+@query("SELECT page_id, (pos - 1)::BIGINT AS header_id, 1 AS hierarchy, trim(regexp_replace(title, '[ \\t]+', ' ', 'g'), ' ' || chr(10)) AS title, pos - 1 AS page_index, pos AS page_number FROM (SELECT page_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS title FROM (SELECT page_id, regexp_extract_all(html, '<h1[^>]*>([^<]*)</h1>', 1) AS t FROM pages)) x")
 def outline_scan(pages):
     found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<h1[^>]*>([^<]*)</h1>"), F.lit(1))).alias("pos", "title"))
-    return found.select("page_id", _c("pos").cast("long").alias("header_id"), "title", F.char_length("title").cast("long").alias("title_chars"))
+    entries = found.select("page_id", _c("pos").cast("long").alias("pos"), F.lit(1).alias("level"), "title", (_c("pos").cast("long") + 1).alias("page"))
+    return digest.outline(entries, ["page_id"])
+
+
+_MERGED = "array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(regexp_replace(y, '[ \\t]+', ' ', 'g'))), lambda y: y <> ''), ' ')"
+
+
+@query(f"""
+WITH h AS (SELECT conv_id, turn AS header_id, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations WHERE role = 'user'),
+o AS (SELECT h.conv_id, h.header_id, string_agg(c.text, chr(10) ORDER BY c.turn) AS raw FROM h JOIN conversations c ON c.conv_id = h.conv_id AND c.turn >= h.header_id AND (h.next IS NULL OR c.turn < h.next) GROUP BY 1, 2),
+p AS (SELECT conv_id, header_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(raw, '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || chr(10)), lambda x: {_MERGED}), lambda x: x <> ''), chr(10) || chr(10)) AS passage FROM o)
+SELECT conv_id, header_id, CASE WHEN header_id < 1000 THEN lpad(header_id::VARCHAR, 3, '0') ELSE header_id::VARCHAR END || '::turn' AS subsection_key, length(passage) AS char_count, md5(passage) AS passage_md5 FROM p
+""")
+def subsections(conversations):
+    """Every user turn heads a subsection that runs to the next one; a conversation is a document, a turn a page."""
+    headers = conversations.where("role = 'user'").select("conv_id", _c("turn").alias("header_id"), F.lit("turn").alias("title"), _c("turn").alias("page_index"))
+    blocks = conversations.select("conv_id", _c("turn").alias("page_index"), F.lit(0).alias("block_no"), "text")
+    out = digest.subsections(headers, blocks, ["conv_id"])
+    return out.select("conv_id", "header_id", "subsection_key", _c("char_count").cast("long").alias("char_count"), F.md5(_c("passage").cast("binary")).alias("passage_md5"))
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS table_id, p_size AS page_index, CASE WHEN p_size % 3 = 0 THEN '[table detected but text extraction failed]' WHEN p_size % 3 = 1 THEN p_name || ' | ' || p_brand ELSE p_type END AS text FROM part")
+def table_scan(part):
+    """Tables with cells, without readable cells (null) and with blank ones."""
+    one = lambda *c: F.array(*c)
+    none = F.lit(None).cast("string")
+    cells = F.when(_c("p_size") % 6 == 0, F.lit(None)).when(_c("p_size") % 3 == 0, one(one(F.lit(" ")))).when(_c("p_size") % 3 == 1, one(one("p_name", "p_brand"))).otherwise(one(one("p_type"), one(none)))
+    found = part.select("p_partkey", _c("p_size").alias("page_index"), _c("p_partkey").alias("table_no"), _c("p_partkey").alias("bbox"), cells.alias("cells"))
+    return digest.table_records(found).select(_c("bbox").alias("p_partkey"), _c("table_id").cast("long").alias("table_id"), "page_index", "text")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS image_id, CASE WHEN p_size % 4 <> 0 THEN 'img/doc_p' || lpad((p_size + 1)::VARCHAR, 3, '0') || '_img' || CASE WHEN row_number() OVER (ORDER BY p_size, p_partkey) < 10000 THEN lpad(row_number() OVER (ORDER BY p_size, p_partkey)::VARCHAR, 4, '0') ELSE row_number() OVER (ORDER BY p_size, p_partkey)::VARCHAR END || '.png' END AS image_path, CASE WHEN p_size % 4 = 0 THEN 'the image has no bytes' END AS error FROM part")
+def image_scan(part):
+    """Images without bytes keep their number, with an error and no path."""
+    data = F.when(_c("p_size") % 8 == 0, F.lit(b"")).when(_c("p_size") % 4 != 0, _c("p_name").cast("binary"))
+    found = part.select(_c("p_size").alias("page_index"), _c("p_partkey").alias("block_no"), _c("p_partkey").alias("bbox"), data.alias("image"), F.lit(".PNG").alias("ext"))
+    return digest.image_records(found, F.lit("doc"), "img").select(_c("bbox").alias("p_partkey"), _c("image_id").cast("long").alias("image_id"), "image_path", "error")
+
+
+@query("SELECT p_partkey, p_partkey AS figure_id, 'Figure ' || p_partkey || ': ' || p_brand AS caption, p_name AS antecedent, p_type AS subsequent FROM part")
+def image_context(part):
+    """Caption and nearest paragraphs of an image, over another image and its own caption."""
+    marker = F.concat(F.lit("\n\n<img "), _c("p_partkey"), F.lit("> "))
+    passage = F.concat(_c("p_name"), F.lit("\n\nFigure 0: other"), marker, F.lit("Figure "), _c("p_partkey"), F.lit(": "), _c("p_brand"), F.lit("\n\n<img 999999999>\n\n"), _c("p_type"))
+    found = digest.image_contexts(part.select(_c("p_partkey").alias("subsection_key"), passage.alias("passage"))).where("figure_id <> 999999999")
+    return found.select(_c("subsection_key").alias("p_partkey"), _c("figure_id").cast("long").alias("figure_id"), "caption", "antecedent", "subsequent")
+
+
+@query("SELECT p_partkey, p_size % 4 = 0 AS plain FROM part")
+def paragraph_kind(part):
+    shown = F.when(_c("p_size") % 4 == 0, _c("p_name")).when(_c("p_size") % 4 == 1, F.concat(F.lit(" <img "), "p_size", F.lit("> "))).when(_c("p_size") % 4 == 2, F.concat(F.lit("Figure "), "p_size", F.lit("b : "), "p_name")).otherwise(F.lit(" \n"))
+    return part.select("p_partkey", text.plain_paragraph(shown).alias("plain"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<p[ >]'))::BIGINT AS n_paragraphs, len(regexp_extract_all(html, '<li[ >]'))::BIGINT AS n_items FROM pages")
@@ -36,16 +86,20 @@ def protect_markers(part):
     return part.select("p_partkey", text.protect_markers(F.concat("p_name", F.lit(" \n<img "), "p_partkey", F.lit("> "), "p_brand")).alias("protected"))
 
 
-@query("SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: array_to_string(string_split(x, ' '), ' ')), chr(10))) AS block_md5 FROM documents")
+@query("WITH t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), chr(10)) AS t FROM documents) SELECT doc_id, md5(CASE WHEN trim(t, chr(10)) = '' THEN chr(10) ELSE trim(regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)) END) AS block_md5 FROM t")
 def block_text(documents):
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.array_join(F.split(x, " ", -1), " "))
-    return documents.select("doc_id", F.md5(F.array_join(lines, "\n").cast("binary")).alias("block_md5"))
+    """A document as a block of lines, a span for each word and the spaces after it."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.split(x, "(?<= )", -1))
+    blocks = documents.select(_c("doc_id").alias("page_index"), F.lit(0).alias("block_no"), lines.alias("lines"))
+    return digest.page_text(blocks).select(_c("page_index").alias("doc_id"), F.md5(_c("text").cast("binary")).alias("block_md5"))
 
 
 @query("SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY round_even(embedding[2]::DOUBLE, 1), round_even(embedding[1]::DOUBLE, 1), vec_id) AS place FROM embeddings")
 def block_order(embeddings):
-    w = Window.partitionBy("label").orderBy(F.bround(F.get("embedding", F.lit(1)).cast("double"), 1), F.bround(F.get("embedding", F.lit(0)).cast("double"), 1), "vec_id")
-    return embeddings.select("vec_id", "label", F.row_number().over(w).cast("long").alias("place"))
+    order = [F.bround(F.get("embedding", F.lit(k)).cast("double"), 1) for k in (1, 0)]
+    rows = embeddings.select("vec_id", "label", order[0].alias("y"), order[1].alias("x"))
+    placed = retrieval.places(rows, ["label"], [_c("y"), _c("x"), _c("vec_id")], "at", "n")
+    return placed.select("vec_id", "label", (_c("at") + 1).alias("place"))
 
 
 @query("SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS passage_md5, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents) x GROUP BY doc_id")
@@ -186,9 +240,9 @@ def table_flatten(part):
     return part.select("p_partkey", text.flatten_cells(cells).alias("flat"))
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS figure_id FROM part WHERE p_size % 4 = 1")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS figure_id FROM part")
 def figure_counter(part):
-    return retrieval.number(part.where("p_size % 4 = 1").select("p_partkey"), ["p_partkey"], "figure_id", start=1)
+    return retrieval.number(part.select("p_partkey"), ["p_partkey"], "figure_id", start=1)
 
 
 @query("SELECT p_partkey, 'doc_p' || lpad(p_size::VARCHAR, 3, '0') || '_img' || CASE WHEN p_partkey < 10000 THEN lpad(p_partkey::VARCHAR, 4, '0') ELSE p_partkey::VARCHAR END || '.png' AS image_name FROM part")
@@ -213,9 +267,9 @@ def build_manifest(documents, pages, embeddings):
 
 @query(None)
 def semantic_split(documents):
-    from quern.functions.vectors import hashed
+    from quern.functions.vectors import hashed_all
 
-    return digest.semantic_split(documents.select(_c("doc_id").alias("key"), _c("text").alias("passage")), lambda c: hashed(c, 16))
+    return digest.semantic_split(documents.select(_c("doc_id").alias("key"), _c("text").alias("passage")), lambda c: hashed_all(c, 16))
 
 
 @query("SELECT event_id, (props->>'k')::INT AS k, coalesce((props->>'absent')::INT, -1) AS absent FROM events")

@@ -131,16 +131,82 @@ def final_report(orders, lineitem, customer):
     return merged.select("o_orderkey", "o_orderstatus", "n_lines", "revenue", "c_name", evaluation.enum_order(_c("o_orderstatus"), ["O", "F", "P"]).cast("int").alias("status_order"))
 
 
-@query("SELECT role, pattern, count(*) AS n FROM (SELECT role, CASE WHEN regexp_matches(lower(text), 'no reference passage|no context|insufficient context') THEN 'Missing context statement' WHEN regexp_matches(lower(text), 'retrieved passage|retrieved context|response mode') THEN 'Grounding exposure' WHEN regexp_matches(lower(text), 'i cannot answer|unable to provide an answer') THEN 'Refusal' ELSE 'Faultless' END AS pattern FROM conversations) x GROUP BY role, pattern")
+@query(f"SELECT role, pattern, count(*) AS n FROM (SELECT role, CASE WHEN regexp_matches(lower(text), '{text.MISSING_CONTEXT}') THEN 'Missing context statement' WHEN regexp_matches(lower(text), '{text.GROUNDING_EXPOSURE}') THEN 'Grounding/RAG exposure' WHEN regexp_matches(lower(text), '{text.REFUSAL.replace("'", "''")}') THEN 'Refusal' ELSE 'Faultless' END AS pattern FROM conversations) x GROUP BY role, pattern")
 def response_pattern(conversations):
     return conversations.select("role", text.response_pattern(_c("text")).alias("pattern")).groupBy("role", "pattern").agg(F.count("*").alias("n"))
 
 
+@query("SELECT d.item_id, CASE item_id % 4 WHEN 0 THEN 'Missing context statement' WHEN 1 THEN 'Grounding/RAG exposure' WHEN 2 THEN 'Refusal' ELSE 'Faultless' END AS pattern FROM benchmark d")
+def pattern_rules(benchmark):
+    """Answers of each kind, the earlier rule first where two match."""
+    said = F.array(*map(F.lit, ["The Passage Is Missing, says the RAG.", "As the RAG system has it, I cannot answer.", "I can't answer that.", "A plain answer about drag and storage."]))
+    return benchmark.select("item_id", text.response_pattern(F.get(said, (_c("item_id") % 4).cast("int"))).alias("pattern"))
+
+
 @query("SELECT user_id % 10 AS bucket, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in _TYPES) + " FROM events GROUP BY 1")
 def pattern_pivot(events):
     return reporting.pivot_counts(events.select((_c("user_id") % 10).alias("bucket"), "event_type"), "bucket", "event_type", _TYPES)
 
 
+@query(f"SELECT id, model_name, architecture_config, architecture_config <> 'SLM' AS rag_enabled, architecture_config IN ('Text-RAG', 'Image-Text-RAG') AS uses_query, architecture_config IN ('Image-RAG', 'Image-Text-RAG') AS uses_image FROM ({_MATRIX}) m")
+def ui_routing(benchmark):
+    rows = _matrix(benchmark).withColumn("image", F.when(_c("architecture_config").contains("Image"), _c("id")))
+    return rows.select(*evaluation.KEYS, evaluation.route(_c("architecture_config"), _c("image")).alias("r")).select(*evaluation.KEYS, "r.*")
+
+
+@query("SELECT item_id, unnest(range(0, len(string_split(text, ' '))))::INT AS piece_no, unnest(string_split(text, ' ')) AS piece FROM benchmark")
+def generate_pieces(benchmark):
+    """A stub that gives its answer word by word."""
+    return evaluation.generate_pieces(benchmark.select("item_id", _c("text").alias("prompt")), lambda p: iter(p.split(" ")), "item_id")
+
+
+@query("SELECT o.bucket, o.place, " + ", ".join(f"c.{t}" for t in _TYPES) + " FROM (SELECT unnest([12, 3, 1, 11]) AS bucket, unnest(range(0, 4))::INT AS place) o LEFT JOIN (SELECT user_id % 10 AS bucket, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in _TYPES) + " FROM events GROUP BY 1) c ON c.bucket = o.bucket")
+def pattern_pivot_order(events):
+    """Given rows in a given order; those that are absent altogether are null, not 0."""
+    return reporting.pivot_counts(events.select((_c("user_id") % 10).alias("bucket"), "event_type"), "bucket", "event_type", _TYPES, [12, 3, 1, 11])
+
+
+@query("SELECT event_type, round(avg(value) FILTER (user_id % 2 = 0), 4) AS value_even, round(avg(value) FILTER (user_id % 2 = 1), 4) AS value_odd, round(round(avg(value) FILTER (user_id % 2 = 0), 4) - round(avg(value) FILTER (user_id % 2 = 1), 4), 4) AS value_difference FROM events GROUP BY 1")
+def evaluator_pivot(events):
+    rows = events.select("event_type", "value", F.when(_c("user_id") % 2 == 0, "even").otherwise("odd").alias("evaluator"))
+    return reporting.compare(rows, ["event_type"], "evaluator", ["even", "odd"], ["value"])
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT event_id FROM events WHERE event_type = 'signup')) AS missing, (SELECT count(*) FROM labels WHERE doc_id % 2 = 0) AS unexpected, (SELECT count(*) FROM events WHERE event_type = 'error') AS repeated")
+def worker_keys(events, labels):
+    """Expected against observed keys: signups are missing, errors are there twice, keys below 0 aren't expected."""
+    ids = lambda df: df.select("event_id")
+    observed = ids(events.where("event_type <> 'signup'")).unionByName(ids(events.where("event_type = 'error'"))).unionByName(labels.where("doc_id % 2 = 0").select((-1 - _c("doc_id")).alias("event_id")))
+    return evaluation.cover(ids(events), observed, ["event_id"])
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, CASE WHEN bool_or(event_id % 2 = 1) THEN 2 ELSE 1 END AS part FROM events WHERE event_id % 2 = 1 OR (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE event_id % 2 = 1) GROUP BY 1, 2")
+def checkpoint_merge(events):
+    """Two workers' rows: where both have a key, the second's stays, and the last of its own."""
+    last = lambda df, k: evaluation.keep_last(df.select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"]).withColumn("part", F.lit(k))
+    return evaluation.merged([last(events.where("event_id % 2 = 0"), 1), last(events.where("event_id % 2 = 1"), 2)], ["user_id", "event_type"])
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN round(value * 2, 4) END AS score, CASE WHEN event_type = 'error' THEN 'ValueError' END AS error_type, CASE WHEN event_type = 'error' THEN 'no score for ' || event_id END AS error_message FROM events")
+def judge_scores(events):
+    """A stub judge that never scores errors; the others are scored at the first try."""
+
+    def score(row):
+        if row["event_type"] == "error":
+            raise ValueError(f"no score for {row['event_id']}")
+        return {"score": row["value"] * 2}
+
+    judged = evaluation.judge(events.select("event_id", "event_type", "value"), score, ["score"], base_seconds=0)
+    return judged.select("event_id", F.round("score", 4).alias("score"), "error_type", "error_message")
+
+
+@query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN upper(left(text, 5)) END AS response FROM benchmark")
+def generate_stub(benchmark):
+    """A stub generator; null prompts aren't asked."""
+    rows = benchmark.select("item_id", F.when(_c("item_id") % 2 == 0, _c("text")).alias("prompt"))
+    return evaluation.generate(rows, lambda prompts: [p[:5].upper() for p in prompts]).select("item_id", "response")
+
+
 @query("SELECT l_returnflag, l_linestatus, round(avg(l_discount) * 100, 4) AS discount_mean, round(stddev_samp(l_discount) * 100, 4) AS discount_sd, round(avg(l_tax) * 100, 4) AS tax_mean, round(stddev_samp(l_tax) * 100, 4) AS tax_sd, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def mean_sd_summary(lineitem):
     return reporting.mean_sd(lineitem, ["l_returnflag", "l_linestatus"], {"discount": _c("l_discount"), "tax": _c("l_tax")}, 100)
@@ -193,7 +259,7 @@ def row_mean_skipna(documents, labels):
 def semantic_metrics(conversations):
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = conversations.withColumns({"answer": F.lead("text").over(w), "reference": F.lead("text", 2).over(w), "context": F.lag("text").over(w)})
-    out = evaluation.semantic(rows, vectors.hashed, vectors.hashed_all, "text", "answer", "reference", "context")
+    out = evaluation.semantic(rows, vectors.hashed_all, "text", "answer", "reference", "context")
     return out.select("conv_id", "turn", "answer_reference", "context_reference", "question_answer", "question_context", "answer_mean", "context_mean", "semantic_mean")
 
 
@@ -206,5 +272,5 @@ def csv_roundtrip(part):
 
     spark = part.sparkSession
     path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/csv-{uuid.uuid4().hex}"
-    sinks.write_csv(part.select("p_partkey", "p_name", "p_size"), path)
+    sinks.write_csv(part.select("p_partkey", "p_name", "p_size"), path, mark=True)
     return files.read_csv(spark, path, "p_partkey long, p_name string, p_size int")

@@ -26,9 +26,9 @@ def topk_cosine(embeddings):
     return _hits(embeddings).select("qid", "vec_id", _c("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query(f"{_TOP}, d AS (SELECT doc_id AS vec_id, text FROM documents WHERE lang = 'es') SELECT q.vec_id AS qid, md5(coalesce(string_agg(trim(d.text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY t.rank), 'Insufficient context!')) AS context_md5, count(d.text) AS n_passages FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) q LEFT JOIN (SELECT * FROM t WHERE rank <= 3) t ON t.qid = q.vec_id LEFT JOIN d ON d.vec_id = t.vec_id GROUP BY q.vec_id")
+@query(f"{_TOP}, d AS (SELECT doc_id AS vec_id, text FROM documents) SELECT q.vec_id AS qid, md5(coalesce(string_agg(trim(d.text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY t.rank), 'Insufficient context!')) AS context_md5, count(d.text) AS n_passages FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) q LEFT JOIN (SELECT * FROM t WHERE rank <= 3) t ON t.qid = q.vec_id LEFT JOIN d ON d.vec_id = t.vec_id GROUP BY q.vec_id")
 def rag_context(embeddings, documents):
-    lookup = documents.where("lang = 'es'").select(_c("doc_id").alias("vec_id"), text.strip(_c("text")).alias("passage"))
+    lookup = documents.select(_c("doc_id").alias("vec_id"), text.strip(_c("text")).alias("passage"))
     questions = embeddings.where("vec_id % 20 = 0").select(_c("vec_id").alias("qid"))
     out = retrieval.contexts(questions, _hits(embeddings), lookup)
     return out.select("qid", F.md5(_c("rag_context").cast("binary")).alias("context_md5"), _c("n_passages").cast("long").alias("n_passages"))
@@ -38,8 +38,8 @@ def rag_context(embeddings, documents):
 def rag_context_image(embeddings, part):
     both = F.array_join(F.filter(F.array("p_brand", "p_type"), lambda x: text.strip(x) != ""), " ")
     lookup = part.select(_c("p_partkey").alias("vec_id"), both.alias("passage"))
-    hits = _hits(embeddings)
-    return retrieval.contexts(hits.join(lookup, "vec_id", "left_semi").select("qid").distinct(), hits, lookup).select("qid", "rag_context")
+    questions = embeddings.where("vec_id % 20 = 0").select(_c("vec_id").alias("qid"))
+    return retrieval.contexts(questions, _hits(embeddings), lookup).where("n_passages > 0").select("qid", "rag_context")
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS vector_index FROM part WHERE p_size % 3 <> 0")
@@ -55,7 +55,9 @@ def marker_lookup(embeddings, part):
 
 @query("SELECT l_orderkey, l_linenumber, p_name AS image_path FROM lineitem JOIN part ON p_partkey = l_partkey")
 def figure_lookup(lineitem, part):
-    return lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(part.select("p_partkey", _c("p_name").alias("image_path")), _c("p_partkey") == _c("l_partkey")).drop("l_partkey", "p_partkey")
+    """A part that is missing would be an error."""
+    rows = lineitem.select("l_orderkey", "l_linenumber", _c("l_partkey").alias("p_partkey"))
+    return retrieval.strict_lookup(rows, part.select("p_partkey", _c("p_name").alias("image_path")), "p_partkey", "image_path").drop("p_partkey")
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS length_before, 1.0::DOUBLE AS length_after, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM embeddings")
@@ -82,13 +84,24 @@ def chat_history(conversations):
     return h.select("conv_id", "turn", F.size("history").cast("long").alias("n_before"), F.md5(shown.cast("binary")).alias("history_md5"))
 
 
-@query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'source-grounded' ELSE 'general' END AS mode, md5('Date: 01 January 2026' || chr(10) || 'Mode: ' || CASE WHEN item_id % 2 = 0 THEN 'source-grounded' ELSE 'general' END || chr(10) || 'Context:' || chr(10) || CASE WHEN item_id % 2 = 0 THEN 'Passage ' || item_id ELSE 'Insufficient context!' END || chr(10) || 'Question:' || chr(10) || text) AS prompt_md5 FROM benchmark")
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+
+@query(f"WITH c AS (SELECT *, CASE item_id % 3 WHEN 0 THEN 'Passage ' || item_id WHEN 1 THEN ' ' || chr(10) ELSE ' Insufficient context! ' END AS context, CASE item_id % 3 WHEN 0 THEN 'REFERENCE_SUPPORTED' ELSE 'GENERAL_ENT' END AS mode FROM benchmark) SELECT item_id, mode, md5(replace(replace(replace(replace({_quoted(prompts.TEMPLATE)}, '{{response_mode}}', mode), '{{safety_disclaimer}}', CASE WHEN item_id % 3 = 0 THEN {_quoted(prompts.DISCLAIMERS[prompts.GROUNDED])} ELSE {_quoted(prompts.DISCLAIMERS[prompts.GENERAL])} END), '{{retrieved_passage}}', context), '{{user_question}}', text)) AS prompt_md5 FROM c")
 def prompt_assembly(benchmark):
-    context = F.when(_c("item_id") % 2 == 0, F.concat(F.lit("Passage "), "item_id")).otherwise(F.lit(text.NO_CONTEXT))
-    p = prompts.prompt(_c("text"), context, F.lit("01 January 2026"))
+    context = F.when(_c("item_id") % 3 == 0, F.concat(F.lit("Passage "), "item_id")).when(_c("item_id") % 3 == 1, F.lit(" \n")).otherwise(F.lit(f" {text.NO_CONTEXT} "))
+    p = prompts.prompt(_c("text"), context)
     return benchmark.select("item_id", prompts.response_mode(context).alias("mode"), F.md5(p.cast("binary")).alias("prompt_md5"))
 
 
+@query("WITH h AS (SELECT conv_id, turn, role, text, string_agg(role || ':' || text, chr(10)) OVER w AS before, count(*) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT conv_id, turn, n + 2 AS n_messages, md5('system:be brief' || chr(10) || coalesce(before || chr(10), '') || 'user:' || text) AS messages_md5 FROM h WHERE role = 'user'")
+def message_assembly(conversations):
+    """System turn, earlier turns, the user's own."""
+    h = prompts.history(conversations).where("role = 'user'").withColumn("m", prompts.messages(F.lit("be brief"), _c("history"), _c("text")))
+    shown = F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "\n")
+    return h.select("conv_id", "turn", F.size("m").cast("long").alias("n_messages"), F.md5(shown.cast("binary")).alias("messages_md5"))
+
+
 @query("SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN source ELSE 'src0' END AS card FROM documents")
 def model_default(documents):
     return documents.select("doc_id", F.when(_c("source").isin("src0", "src1"), _c("source")).otherwise(F.lit("src0")).alias("card"))
@@ -107,8 +120,16 @@ def embed_distinct(conversations):
     return stripped.join(encoded, "t").select("conv_id", "turn", "embedding")
 
 
-@query("SELECT label, round(max(list_cosine_similarity(e.embedding::DOUBLE[], c.embedding::DOUBLE[])), 5) AS best FROM embeddings e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) c GROUP BY label")
+@query(f"{_TOP} SELECT qid, round(max(score), 5) AS best FROM t WHERE rank <= 4 AND vec_id <> qid GROUP BY qid")
 def max_passage_sim(embeddings):
-    probe = embeddings.where("vec_id = 0").select(F.lit(0).alias("z"), _c("embedding").alias("p"))
-    rows = embeddings.withColumn("z", F.lit(0)).join(F.broadcast(probe), "z")
-    return rows.groupBy("label").agg(F.round(F.max(vectors.cosine(_c("embedding"), _c("p"))), 5).alias("best"))
+    """The largest similarity of each question to its passages, which are its hits but for itself."""
+    hits = _hits(embeddings, 4).where("vec_id <> qid").select("qid", "vec_id")
+    both = hits.join(embeddings.select("vec_id", _c("embedding").alias("p")), "vec_id").join(embeddings.select(_c("vec_id").alias("qid"), _c("embedding").alias("q")), "qid")
+    return both.groupBy("qid").agg(F.round(F.max(vectors.cosine(_c("q"), _c("p"))), 5).alias("best"))
+
+
+@query("SELECT p_partkey, p_size % 3 <> 0 AS encoded FROM part WHERE p_size % 3 <> 0")
+def image_encode(part):
+    """Images without content are skipped."""
+    v = vectors.hashed_bytes(F.when(_c("p_size") % 3 != 0, _c("p_name").cast("binary")))
+    return part.select("p_partkey", v.alias("v")).where("v is not null").select("p_partkey", (F.abs(vectors.norm(_c("v")) - 1) < 1e-9).alias("encoded"))
