@@ -239,7 +239,7 @@ def _rarest(n: int, t: Fraction, counts):
 
 
 def _across(nodes: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (doc, label) with different labels that may reach ``t``."""
+    """A table of pairs (a, b) of ``nodes`` (doc, label) with different labels that may reach ``t``."""
     spark = nodes.sparkSession
     near = texts.mapInArrow(_near(_bits(nodes.select(F.col("doc").alias("id")))), "doc_id long, text string")
     near = near.join(nodes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
@@ -251,13 +251,15 @@ def _across(nodes: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFram
     rare = near.mapInArrow(_rarest(n, t, spark.sparkContext.broadcast(counts)), "shingle long, place int, size long, doc long")
     rare = scratch.table(rare.join(nodes, "doc"), "rare")
     shared = rare.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("shingle")
-    rare = rare.join(shared, "shingle")
-    x, y = rare.alias("x"), rare.alias("y")
+    both = rare.join(shared, "shingle")
+    x, y = both.alias("x"), both.alias("y")
     up, down = t.numerator, t.denominator
     left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))  # bounds what the two share
     fits = (F.col("x.label") < F.col("y.label")) & (left * (up + down) >= (F.col("x.size") + F.col("y.size")) * up)
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & fits)
-    return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+    pairs = scratch.table(met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct(), "across")
+    scratch.drop(near, rare)
+    return pairs
 
 
 _SIGNED = "key long, kind byte, doc long, first long"
@@ -445,8 +447,10 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: Fraction | str =
         mixed = members.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
         crossing = members.join(mixed, "key").select("doc", "label").distinct()
         crossing = crossing.join(copies.withColumnRenamed("id", "doc"), "doc", "left").select(F.coalesce("rep", "doc").alias("doc"), "label").distinct()
-        rest = _across(scratch.table(crossing, "crossing"), docs, words, t).join(pairs, ["a", "b"], "left_anti")
-        rest = scratch.table(rest, "rest")
+        crossing = scratch.table(crossing, "crossing")
+        across = _across(crossing, docs, words, t)
+        rest = scratch.table(across.join(pairs, ["a", "b"], "left_anti"), "rest")
+        scratch.drop(members, crossing, across, pairs)
         if not rest.isEmpty():
             late = scratch.table(_verified(rest, sized, docs, words, t), "late")
             if not late.isEmpty():

@@ -214,9 +214,9 @@ def _of_dimension(vectors: DataFrame, dim: int, t: float) -> DataFrame:
     tiles = scratch.table(placed.select("cid", "n", "v").mapInArrow(_tiles(basis, kind), "part long, seq long, ids binary, n binary, raw binary, low array<double>, high array<double>"), "tiles")
     # partitions of less than a tile go together, so that the number of partitions doesn't make the number of blocks
     parts = tiles.agg(F.max("part")).first()[0] + 1
-    tiles = tiles.withColumn("block", F.floor(F.col("part") / max(1, math.floor(TILE * parts / n))) * (1 << 31) + F.col("seq"))
+    blocks = tiles.withColumn("block", F.floor(F.col("part") / max(1, math.floor(TILE * parts / n))) * (1 << 31) + F.col("seq"))
     lead = min(BOX, dim)
-    boxes = tiles.groupBy("block").agg(*[F.min(F.col("low")[k]).alias(f"l{k}") for k in range(lead)], *[F.max(F.col("high")[k]).alias(f"h{k}") for k in range(lead)])
+    boxes = blocks.groupBy("block").agg(*[F.min(F.col("low")[k]).alias(f"l{k}") for k in range(lead)], *[F.max(F.col("high")[k]).alias(f"h{k}") for k in range(lead)])
     boxes = scratch.table(boxes, "boxes")
     cells = lambda k, more: F.sequence(F.floor((F.col(f"l{k}") - more) / width), F.floor((F.col(f"h{k}") + more) / width))
     x, y = boxes, boxes.select(*[F.col(c).alias(f"{c}_b") for c in boxes.columns])
@@ -225,17 +225,19 @@ def _of_dimension(vectors: DataFrame, dim: int, t: float) -> DataFrame:
         y = y.withColumn(f"k{k}", F.explode(F.sequence(F.floor((F.col(f"l{k}_b") - reach) / width), F.floor((F.col(f"h{k}_b") + reach) / width))))
     gaps = [F.greatest(F.col(f"l{k}") - F.col(f"h{k}_b"), F.col(f"l{k}_b") - F.col(f"h{k}"), F.lit(0.0)) for k in range(lead)]
     near = x.join(y, [f"k{k}" for k in range(min(3, dim))]).where(F.col("block") <= F.col("block_b")).where(sum((g * g for g in gaps), F.lit(0.0)) <= reach * reach)
-    near = scratch.table(near.select(F.col("block").alias("block_a"), "block_b").distinct(), "near")
+    near = pairs = scratch.table(near.select(F.col("block").alias("block_a"), "block_b").distinct(), "near")
     met = near.groupBy("block_a").count().agg(F.sum("count").alias("pairs"), F.max("count").alias("most")).first()
     near = near.withColumn("chunk", F.pmod(F.xxhash64("block_b"), F.lit(math.ceil(met.most / AT_ONCE))))
-    data = tiles.select("block", "part", "ids", "n", "raw")
+    data = blocks.select("block", "part", "ids", "n", "raw")
     first = near.select("block_a", "chunk").distinct().join(data.withColumnRenamed("block", "block_a"), "block_a").select("block_a", "chunk", F.lit(0).alias("side"), F.lit(-1).cast("long").alias("block_b"), "part", "ids", "n", "raw")
     other = near.join(data.withColumnRenamed("block", "block_b"), "block_b")
     # a block against itself is there already: no bytes
     slim = lambda c: F.when(F.col("block_a") != F.col("block_b"), F.col(c)).otherwise(F.lit(b"")).alias(c)
     other = other.select("block_a", "chunk", F.lit(1).alias("side"), "block_b", "part", *map(slim, ("ids", "n", "raw")))
     deal = first.unionByName(other).repartition(max(1, math.ceil(met.pairs / AT_ONCE)), "block_a", "chunk").sortWithinPartitions("block_a", "chunk", "side", "block_b", "part")
-    return deal.mapInArrow(_compare(basis, kind, t), "a long, b long, links long")
+    out = scratch.table(deal.mapInArrow(_compare(basis, kind, t), "a long, b long, links long"), "compared")
+    scratch.drop(tiles, boxes, pairs)
+    return out
 
 
 def near_vectors(table: DataFrame, threshold: float = 0.9, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -259,7 +261,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, id_column: str = "vec
     classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # written once, so the numbers stand
     found = None
     for r in sorted(x.d for x in classes.select(F.size("v").alias("d")).distinct().collect()):
-        part = scratch.table(_of_dimension(classes.where(F.size("v") == r).select("cid", "n", "v"), r, threshold), "compared")
+        part = _of_dimension(classes.where(F.size("v") == r).select("cid", "n", "v"), r, threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(F.col("vec_id").alias(id_column), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))

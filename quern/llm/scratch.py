@@ -40,12 +40,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables that nothing reads any more, and lets Spark remove the shuffle files of finished steps."""
+    """Deletes tables that nothing reads any more."""
     for df in tables:
         jvm, path = df.sparkSession._jvm, df._quern_path
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-    release(tables[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:

@@ -53,12 +53,14 @@ def lookup(shards: tuple[str, ...], slots: int | None = None) -> np.ndarray:
 def place(docs: DataFrame, shards: int | tuple[str, ...] = 64, key: str = "doc_id") -> DataFrame:
     """All rows and columns of ``docs`` with slot and shard: the hash of ``key`` picks a slot of the table.
 
-    Equal keys share a shard; null keys share one too. Columns of these names are replaced. The broadcast
-    table has a fixed size (``LEAST_SLOTS`` rows, or a hundred a shard), whatever the data; no row moves.
+    Equal keys share a shard, so repeated rows do; null keys share one too. Columns of these names are replaced, all
+    others stay; an empty table gives no rows. The broadcast table has a fixed size (``LEAST_SLOTS`` rows, or a hundred a shard), whatever the data; no row moves.
     """
     names = tuple(f"shard-{k:05d}" for k in range(shards)) if isinstance(shards, int) else tuple(shards)
     table = lookup(names)
     spark = docs.sparkSession
     slots = spark.createDataFrame(pd.DataFrame({"slot": np.arange(len(table), dtype=np.int64), "shard": table.astype(np.int64)}), "slot long, shard long")
-    keyed = docs.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(F.col(key)), F.lit(len(table))))
-    return keyed.join(F.broadcast(slots), "slot").select(*[c for c in keyed.columns if c != "slot"], "slot", "shard")
+    keyed = docs.drop("slot", "shard")
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in keyed.columns]
+    keyed = keyed.withColumn("slot", F.pmod(F.xxhash64(F.col(key)), F.lit(len(table))))
+    return keyed.join(F.broadcast(slots), "slot").select(*columns, "slot", "shard")
