@@ -17,10 +17,11 @@ segments, from the counts of all documents in the band.
 A task combines equal keys before they are shuffled: of three sets or more it sends the one with the smallest id, and
 the others as finished links to it. Candidates are stars: the smallest id of a bucket against the others, so a group of many copies gives as
 many rows as it has members. Where a bucket still spans several components after that, its other pairs
-across components matter too. Passages that many documents share fill such buckets, so the pairs aren't
-listed as they meet: of each such set the shingles rarest among these sets, one more than it may lack in a
-partner, are joined instead. Every similar pair shares one of them, early enough in both orders. The order is
-by the magnitude of counts over all these sets in a table of fixed size; collisions there cost time, never a pair. Sets
+across components matter too. Passages that many documents share fill such buckets. Here the spare segments count
+again: a set with ``e`` empty segments shares ``k + 1 - e`` filled ones with each partner, so sets in fewer mixed buckets
+than that are done. Of the others the pairs aren't listed as they meet: of each such set the shingles rarest among these
+sets, one more than it may lack in a partner, are joined instead. Every similar pair shares one of them, early enough in both orders. The order is
+by counts over all these sets in a table of fixed size; collisions there cost time, never a pair. Sets
 are 64-bit shingle hashes; checks compare whole sets.
 """
 
@@ -45,9 +46,11 @@ PER_TASK = 1_500_000
 #: Kinds of signatures, the ones that lead a bucket first: a whole subset (LED: that of others too, which a task has
 #: linked to it), one less a shingle, an empty segment of a set with many, or with some; and a finished link.
 FULL, LED, LESS, FEW, NONE, LINK = range(6)
+#: Of so many segments one at least is spare, so that sets which share a passage only are told apart by counts.
+SPARE = 3
 #: Bits of the table that says which texts to fetch for checks (2 MB, whatever the data).
 ID_BITS = 1 << 24
-#: Cells of the table of magnitudes of counts that ranks shingles by rarity (4 MB, whatever the data).
+#: Cells of the table of shingle counts that ranks shingles by rarity (16 MB, whatever the data).
 CELLS = 1 << 22
 
 
@@ -80,7 +83,8 @@ class Schemes:
             return best
         at = np.arange(1, 4097)
         logs = np.concatenate([[0.0], np.cumsum(np.log(at))])
-        for spare in range(0, least + 1, max(1, least // 64)):
+        floor = -(-least // SPARE)
+        for spare in range(floor, floor + least + 1, max(1, least // 64)):
             m = least + spare
             each = low / m
             mean = max(m * math.exp(-each), 1e-12)
@@ -97,8 +101,9 @@ class Schemes:
         return np.searchsorted(self.high, sizes)
 
 
-def _segments(sets: list[np.ndarray], docs: np.ndarray, scheme: np.ndarray, s: Schemes) -> Iterator[tuple[np.ndarray, int | np.ndarray, np.ndarray]]:
-    """(keys, kind, docs) of all sets, each under the scheme given for it."""
+def _segments(sets: list[np.ndarray], docs: np.ndarray, scheme: np.ndarray, s: Schemes) -> Iterator[tuple[np.ndarray, int | np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, kind, docs, needs) of all sets, each under the scheme given for it. ``needs``: how many whole subsets of a
+    set's own every partner has too, at least, and 1 where that says nothing."""
     m, r = s.m[scheme], s.r[scheme]
     base = np.concatenate([[0], np.cumsum(m)])
     which = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -113,14 +118,15 @@ def _segments(sets: list[np.ndarray], docs: np.ndarray, scheme: np.ndarray, s: S
         owner = np.repeat(np.arange(len(sets)), m)
         salt = mix((scheme[owner].astype(U) << U(32)) + (np.arange(base[-1]) - base[owner]).astype(U), 0x14057B7EF767814F)
         filled = count > 0
-        yield mix(total[filled] ^ salt[filled]), FULL, docs[owner[filled]]
         empty = m - np.bincount(owner[filled], minlength=len(sets))
+        need = np.clip(s.spare[scheme] + 1 - empty, 1, 32_767).astype(np.int32)
+        yield mix(total[filled] ^ salt[filled]), FULL, docs[owner[filled]], need[owner[filled]]
         more = empty > s.spare[scheme]
         if more.any():
             near = more[which] & (seg < r[which]) & (count[at] > 1)
-            yield mix((total[at[near]] - g[near]) ^ salt[at[near]]), LESS, docs[which[near]]
+            yield mix((total[at[near]] - g[near]) ^ salt[at[near]]), LESS, docs[which[near]], need[which[near]]
             rare, gone = empty > (s.spare[scheme] + r) // 2, ~filled & more[owner]
-            yield mix(~salt[gone], 1), np.where(rare[owner[gone]], FEW, NONE).astype(np.int8), docs[owner[gone]]
+            yield mix(~salt[gone], 1), np.where(rare[owner[gone]], FEW, NONE).astype(np.int8), docs[owner[gone]], need[owner[gone]]
 
 
 def _profile(n: int):
@@ -244,9 +250,9 @@ def _across(nodes: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFram
     near = texts.mapInArrow(_near(_bits(nodes.select(F.col("doc").alias("id")))), "doc_id long, text string")
     near = near.join(nodes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
     near = scratch.table(near.select("doc_id", "text"), "near")
-    cells = near.mapInArrow(_cell_counts(n), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 3")
-    cells = cells.select("cell", F.floor(F.log2("n")).cast("byte").alias("n")).toArrow()  # at most CELLS rows of 5 bytes
-    counts = np.zeros(CELLS, np.int8)
+    cells = near.mapInArrow(_cell_counts(n), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+    cells = cells.select("cell", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # at most CELLS rows of 8 bytes
+    counts = np.ones(CELLS, np.int32)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     rare = near.mapInArrow(_rarest(n, t, spark.sparkContext.broadcast(counts)), "shingle long, place int, size long, doc long")
     rare = scratch.table(rare.join(nodes, "doc"), "rare")
@@ -262,24 +268,26 @@ def _across(nodes: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFram
     return pairs
 
 
-_SIGNED = "key long, kind byte, doc long, first long"
+_SIGNED = "key long, kind byte, doc long, need int, first long"
 
 
-def _combined(key: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Full signatures of a piece: where three or more sets meet, the smallest id stays and the rest are links to it."""
+def _combined(key: np.ndarray, doc: np.ndarray, need: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Full signatures of a piece: where three or more sets meet, the smallest id stays and the rest are links to it,
+    with its need in the upper half of theirs."""
     order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
+    key, doc, need = key[order], doc[order], need[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
     head, many = np.repeat(first, size), np.repeat(size > 2, size)
     link = many & (np.arange(len(key)) != head)
-    yield from _batches(key, np.where(link, LINK, np.where(many, LED, FULL)).astype(np.int8), doc, doc[head], link)
+    kind = np.where(link, LINK, np.where(many, LED, FULL)).astype(np.int8)
+    yield from _batches(key, kind, doc, np.where(link, need | need[head] << 16, need), doc[head], link)
 
 
-def _batches(key: np.ndarray, kind: np.ndarray, doc: np.ndarray, first: np.ndarray, link: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _batches(key: np.ndarray, kind: np.ndarray, doc: np.ndarray, need: np.ndarray, first: np.ndarray, link: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(key), 200_000):
         j = slice(k, k + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(key[j]), pa.array(kind[j]), pa.array(doc[j]), pa.array(first[j], mask=~link[j])], ["key", "kind", "doc", "first"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[j]), pa.array(kind[j]), pa.array(doc[j]), pa.array(need[j]), pa.array(first[j], mask=~link[j])], ["key", "kind", "doc", "need", "first"])
 
 
 def _sign(n: int, s: Schemes):
@@ -300,17 +308,17 @@ def _sign(n: int, s: Schemes):
                 lower = np.flatnonzero(band > 0)
                 for some, scheme in ((range(len(sets)), band), (lower.tolist(), band[lower] - 1)):
                     if len(scheme):
-                        for key, kind, doc in _segments([sets[i] for i in some], docs[some], scheme, s):
+                        for key, kind, doc, need in _segments([sets[i] for i in some], docs[some], scheme, s):
                             key = key.view(np.int64)
                             if kind is FULL:
-                                yield from _combined(key, doc)
+                                yield from _combined(key, doc, need)
                             else:
-                                yield from _batches(key, np.broadcast_to(np.asarray(kind, np.int8), len(key)), doc, doc, np.zeros(len(key), bool))
+                                yield from _batches(key, np.broadcast_to(np.asarray(kind, np.int8), len(key)), doc, need, doc, np.zeros(len(key), bool))
 
     return run
 
 
-_MET = ["key", "first_kind", "first", "kind", "doc"]
+_MET = ["key", "first", "first_need", "doc", "need"]
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,32 +331,30 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         link = batch.column("kind").to_numpy() == LINK
         if link.any():
             done = batch.filter(pa.array(link))
-            full = pa.array(np.full(done.num_rows, FULL, np.int8))
-            yield pa.RecordBatch.from_arrays([done.column("key"), full, done.column("first"), full, done.column("doc")], _MET)
+            both = done.column("need").to_numpy()
+            yield pa.RecordBatch.from_arrays([done.column("key"), done.column("first"), pa.array(both >> 16), done.column("doc"), pa.array(both & 0xFFFF)], _MET)
             batch = batch.filter(pa.array(~link))
         if not batch.num_rows:
             continue
-        row = [batch.column(c).to_numpy() for c in ("key", "kind", "doc")]
+        row = [batch.column(c).to_numpy() for c in ("key", "kind", "doc", "need")]
         if last is not None:
             row = [np.concatenate([np.array([x], c.dtype), c]) for x, c in zip(last, row, strict=True)]
-        key, kind, doc = row
+        key, kind, doc, need = row
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         open_ = np.logical_or.reduceat(kind == LED, first)
         open_[[0, -1]] = True
         head = np.repeat(first, size)
-        last = (key[first[-1]], kind[first[-1]], doc[first[-1]])
+        last = tuple(c[first[-1]] for c in row)
         use = (np.isin(kind[head], (FULL, LED, FEW))) & (np.arange(len(key)) != head) & (doc != doc[head])
         more = np.repeat((size > 2) | open_, size)
         pair = np.unique(np.stack([doc[head[use & ~more]], doc[use & ~more]]), axis=1)
         many = use & more
         k = np.concatenate([key[many], np.zeros(pair.shape[1], np.int64)])
         if len(k):
-            none = np.zeros(pair.shape[1], np.int8)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k, mask=np.arange(len(k)) >= many.sum()), pa.array(np.concatenate([kind[head[many]], none])), pa.array(np.concatenate([doc[head[many]], pair[0]])), pa.array(np.concatenate([kind[many], none])), pa.array(np.concatenate([doc[many], pair[1]]))],
-                _MET,
-            )
+            none = np.zeros(pair.shape[1], np.int32)
+            columns = [(doc[head[many]], pair[0]), (need[head[many]], none), (doc[many], pair[1]), (need[many], none)]
+            yield pa.RecordBatch.from_arrays([pa.array(k, mask=np.arange(len(k)) >= many.sum()), *(pa.array(np.concatenate(c)) for c in columns)], _MET)
 
 
 def _check(n: int, t: Fraction):
@@ -424,7 +430,7 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: Fraction | str =
         deal = F.when(F.col("kind") == LINK, F.xxhash64("key", "doc")).otherwise(F.col("key"))
         sorted_ = signed.repartition(parts, deal).sortWithinPartitions((F.col("kind") == LINK), "key", "kind", "doc")
         del signed
-        met = scratch.table(sorted_.mapInArrow(_stars, "key long, first_kind byte, first long, kind byte, doc long"), "met")
+        met = scratch.table(sorted_.mapInArrow(_stars, "key long, first long, first_need int, doc long, need int"), "met")
         del sorted_
         scratch.release(spark)
 
@@ -440,12 +446,12 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: Fraction | str =
         label = components(links)
 
         full = met.where("key is not null")
-        members = full.select("key", F.col("first_kind").alias("kind"), F.col("first").alias("doc")).unionByName(full.select("key", "kind", "doc")).distinct()
+        members = full.select("key", F.col("first").alias("doc"), F.col("first_need").alias("need")).unionByName(full.select("key", "doc", "need")).distinct()
         members = members.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         members = scratch.table(members, "members")
         scratch.drop(met)
         mixed = members.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-        crossing = members.join(mixed, "key").select("doc", "label").distinct()
+        crossing = members.join(mixed, "key").groupBy("doc", "label", "need").agg(F.count("*").alias("n")).where("n >= need").select("doc", "label").distinct()
         crossing = crossing.join(copies.withColumnRenamed("id", "doc"), "doc", "left").select(F.coalesce("rep", "doc").alias("doc"), "label").distinct()
         crossing = scratch.table(crossing, "crossing")
         across = _across(crossing, docs, words, t)
