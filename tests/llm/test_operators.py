@@ -102,10 +102,12 @@ def test_no_size_misses_a_partner(t):
 
     def keys(x, s, scheme):
         out = {}
-        for key, kind, _ in jaccard._segments([x], np.array([0]), np.array([scheme]), s):
+        for key, kind, _, need in jaccard._segments([x], np.array([0]), np.array([scheme]), s):
             for k, what in zip(key.tolist(), np.broadcast_to(kind, len(key)).tolist(), strict=True):
                 out.setdefault(k, set()).add(what)
-        return out
+            if kind is jaccard.FULL:
+                least = int(need.max(initial=1))
+        return out, least
 
     few = dict.fromkeys(range(200), 1)
     for counts in (few, dict.fromkeys(range(200), 10**7)):
@@ -120,7 +122,9 @@ def test_no_size_misses_a_partner(t):
             x, y = np.concatenate([common, new(one)]), np.concatenate([common, new(apart - one)])
             small = min(len(x), len(y))
             scheme = int(s.band(np.array([small]))[0])
-            a, b = keys(x, s, scheme), keys(y, s, scheme)
+            (a, need_a), (b, need_b) = keys(x, s, scheme), keys(y, s, scheme)
+            whole = sum(jaccard.FULL in a[k] and jaccard.FULL in b[k] for k in a.keys() & b.keys())
+            assert all(whole >= need for need in (need_a, need_b) if need > 1)
             met = [(k, a[k] | b[k]) for k in a.keys() & b.keys()]
             assert int(s.band(np.array([max(len(x), len(y))]))[0]) <= scheme + 1
             assert any(kinds & {jaccard.FULL, jaccard.FEW} for _, kinds in met) or any(kinds == {jaccard.LESS} for _, kinds in met)
