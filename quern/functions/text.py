@@ -19,6 +19,9 @@ NO_CONTEXT = "Insufficient context!"
 TABLE_FAILURE = "[table detected but text extraction failed]"
 PATTERNS = ("Missing context statement", "Grounding/RAG exposure", "Refusal", "Faultless")
 
+#: A code point that is no character and stands in no text.
+MARK = "\ufdd0"
+
 
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
@@ -39,6 +42,12 @@ def clean_line(c: Column) -> Column:
     return strip(F.regexp_replace(F.replace(c, F.lit("\u200b"), F.lit("")), "[ \\t]+", " "))
 
 
+def clean_lines(c: Column) -> Column:
+    """``clean_line`` for every line of a text at once."""
+    c = F.regexp_replace(F.replace(c, F.lit("\u200b"), F.lit("")), "[ \\t]+", " ")
+    return F.regexp_replace(c, "(?dmU)^[\\s&&[^\\n]]+|[\\s&&[^\\n]]+$", "")
+
+
 def is_missing(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
@@ -63,22 +72,17 @@ def is_image_marker(c: Column) -> Column:
     return strip(c).rlike("^<img\\s+\\d+>$")
 
 
-def _later(lines: Column) -> Column:
-    """The lines from the second on."""
-    return F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-
-
 def repair_bullets(c: Column) -> Column:
     """A bullet alone on a line takes the lines after it, up to an empty line or the next bullet.
 
     A text of blank lines only is a single newline. Lines grow in one pass over the text: a line break goes where it
     follows such a bullet or a line that has joined one.
     """
-    lines = F.transform(F.split(newlines(c), "\n", -1), clean_line)
-    text = F.regexp_replace(F.array_join(lines, "\n"), "(?m)^([●•▪▫◦])(?=\n[●•▪▫◦](?:\n|\\z))", "$1 ")
+    lines = clean_lines(newlines(c))
+    text = F.regexp_replace(lines, "(?m)^([●•▪▫◦])(?=\n[●•▪▫◦](?:\n|\\z))", "$1 ")
     text = F.regexp_replace(text, "((?:\\A|(?<=\n))[●•▪▫◦]|(?!\\A)\\G[^\n]+)\n(?=[^\n])(?![●•▪▫◦] ?(?:\n|\\z))", "$1 ")
     text = F.regexp_replace(F.regexp_replace(text, "\\n{3,}", "\n\n"), "^\\n+|\\n+$", "")
-    return F.when(F.forall(lines, lambda x: x == ""), F.lit("\n")).otherwise(text)
+    return F.when(~lines.rlike("[^\n]"), F.lit("\n")).otherwise(text)
 
 
 def protect_markers(c: Column) -> Column:
@@ -90,14 +94,14 @@ def protect_markers(c: Column) -> Column:
 def merge_paragraph(c: Column) -> Column:
     """Wrapped lines join by spaces; bullet items, lines before one, and image markers stay lines.
 
-    A line joins the one before it where neither has to stay, so each is looked at once.
+    A line break goes where neither of its lines has to stay. Lines that have to are wrapped in marks first, so a text is
+    gone over a few times whatever the number of its lines.
     """
-    lines = F.filter(F.transform(F.split(c, "\n", -1), clean_line), lambda x: x != "")
-    item = lambda x: F.coalesce(x.rlike(BULLET_ITEM), F.lit(False))
-    seen = F.zip_with(lines, _later(lines), lambda x, y: F.struct(x.alias("line"), (item(x) | item(y) | is_image_marker(x)).alias("hard")))
-    before = F.concat(F.array(F.lit(True)), F.transform(seen, lambda x: x["hard"]))
-    pieces = F.zip_with(seen, F.slice(before, F.lit(1), F.size(lines)), lambda x, hard: F.concat(F.when(x["hard"] | hard, "\n").otherwise(" "), x["line"]))
-    merged = F.substring(F.array_join(pieces, ""), F.lit(2), F.length(c) + 1)
+    text = F.regexp_replace(F.regexp_replace(clean_lines(c), "\\n+", "\n"), "^\\n|\\n$", "")
+    wrapped = f"{MARK}$1{MARK}"
+    text = F.regexp_replace(text, "(?dm)^([●•▪▫◦][\\s&&[^\\n]].*|<img[\\s&&[^\\n]]+\\d+>)$", wrapped)
+    text = F.regexp_replace(text, f"(?dm)^([^{MARK}\\n].*)(?=\\n{MARK}[●•▪▫◦])", wrapped)
+    merged = F.replace(F.regexp_replace(text, f"(?<!{MARK})\\n(?!{MARK})", " "), F.lit(MARK), F.lit(""))
     return F.when(strip(c) == "", F.lit("")).when(is_image_marker(c) | is_table_block(c), strip(c)).otherwise(merged)
 
 
