@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -23,9 +22,9 @@ def norm(a: Column) -> Column:
 
 
 def normalize(a: Column) -> Column:
-    """Unit length; a zero vector becomes null."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    """Unit length; a zero vector becomes null. The length is computed once, not for each component."""
+    known = F.array(F.struct(a.alias("v"), norm(a).alias("n")))
+    return F.get(F.transform(known, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x.cast("double") / s["n"]))), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -38,13 +37,25 @@ def mean_available(*values: Column) -> Column:
     return F.try_divide(F.aggregate(kept, F.lit(0.0), lambda s, x: s + x), F.size(kept))
 
 
-def _encode(texts, dim: int):
+class _Hashes(dict):
+    """CRC-32 of words met of late."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = zlib.crc32(word.encode())
+        return h
+
+
+_hashes = _Hashes()
+
+
+def _encode(texts, dim: int) -> np.ndarray:
     """Signed counts of word hashes, unit length; no words give zeros."""
-    out = np.zeros((len(texts), dim))
-    for row, x in zip(out, texts, strict=True):
-        for w, n in Counter(_WORD.findall((x or "").lower())).items():
-            h = zlib.crc32(w.encode())
-            row[(h >> 1) % dim] += n if h & 1 else -n
+    words = [_WORD.findall((x or "").lower()) for x in texts]
+    h = np.array([_hashes[w] for some in words for w in some], np.int64)
+    row = np.repeat(np.arange(len(words)), [len(some) for some in words])
+    out = np.bincount(row * dim + (h >> 1) % dim, np.where(h & 1, 1.0, -1.0), len(words) * dim).astype(float).reshape(len(words), dim)
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, size, out=out, where=size > 0)
 
@@ -54,18 +65,22 @@ def hashed(text: Column, dim: int = 64) -> Column:
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        v = _encode(s.tolist(), dim)
-        return pd.Series([None if x is None else list(r) for x, r in zip(s, v, strict=True)])
+        v = _encode(s.tolist(), dim).tolist()
+        return pd.Series([None if x is None else r for x, r in zip(s, v, strict=True)])
 
     return run(text)
 
 
 def hashed_all(texts: Column, dim: int = 64) -> Column:
-    """The same for every element of an array of texts."""
+    """The same for every element of an array of texts; all arrays of a batch go through together."""
 
     @F.pandas_udf("array<array<double>>")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else [list(r) for r in _encode(list(x), dim)] for x in s])
+        v, out, at = _encode([x for some in s if some is not None for x in some], dim).tolist(), [], 0
+        for some in s:
+            out.append(None if some is None else v[at : at + len(some)])
+            at += 0 if some is None else len(some)
+        return pd.Series(out)
 
     return run(texts)
 

@@ -144,18 +144,18 @@ def semantic_split(passages_: DataFrame, encode_all, percentile: float = 0.95, b
     to the next exceeds the given percentile of the passage's distances (linear interpolation). One sentence is one chunk.
     A passage stays in its row throughout, so nothing is shuffled.
     """
-    from quern.functions.vectors import dot, normalize
+    from quern.functions.vectors import dot, norm
 
     s = passages_.select("key", F.filter(F.split(F.regexp_replace("passage", "(?<=[.!?])\\s+", "\u0001"), "\u0001"), lambda x: text.strip(x) != "").alias("_s")).where(F.size("_s") > 0)
     around = F.transform("_s", lambda x, i: F.array_join(F.slice("_s", F.greatest(i - buffer, F.lit(0)) + 1, F.least(i, F.lit(buffer)) + 1 + buffer), " "))
-    s = s.withColumn("_e", encode_all(around)).withColumn("_v", F.transform("_e", normalize))
+    s = s.withColumn("_e", encode_all(around)).withColumn("_v", F.transform("_e", lambda v: F.struct(v.alias("v"), norm(v).alias("n"))))
     later = F.slice("_v", F.lit(2), F.greatest(F.size("_v") - 1, F.lit(0)))
-    s = s.withColumn("_gap", F.slice(F.zip_with("_v", later, lambda a, b: F.lit(1.0) - dot(a, b)), F.lit(1), F.size("_v") - 1))
+    s = s.withColumn("_gap", F.slice(F.zip_with("_v", later, lambda a, b: F.lit(1.0) - F.try_divide(dot(a["v"], b["v"]), a["n"] * b["n"])), F.lit(1), F.size("_v") - 1))
     known = F.array_sort(F.filter("_gap", lambda g: g.isNotNull()))
     s = s.withColumn("_known", known).withColumn("_at", (F.size("_known") - 1) * F.lit(percentile))
     low, high = F.get("_known", F.floor("_at").cast("int")), F.get("_known", F.ceil("_at").cast("int"))
     s = s.withColumn("_edge", low + (F.col("_at") - F.floor("_at")) * (high - low))
     cuts = F.filter(F.transform("_gap", lambda g, i: F.when(g > F.col("_edge"), i + 1)), lambda x: x.isNotNull())
-    s = s.withColumn("_from", F.concat(F.array(F.lit(0)), cuts)).withColumn("_to", F.concat(cuts, F.array(F.size("_s"))))
+    s = s.withColumn("_cuts", cuts).withColumn("_from", F.concat(F.array(F.lit(0)), "_cuts")).withColumn("_to", F.concat("_cuts", F.array(F.size("_s"))))
     chunks = F.transform(F.arrays_zip("_from", "_to"), lambda x: F.array_join(F.slice("_s", x["_from"] + 1, x["_to"] - x["_from"]), " "))
     return s.select("key", F.posexplode(chunks).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
