@@ -18,9 +18,10 @@ A task combines equal keys before they are shuffled: of three sets or more it se
 the others as finished links to it. Candidates are stars: the smallest id of a bucket against the others, so a group of many copies gives as
 many rows as it has members. Where a bucket still spans several components after that, its other pairs
 across components matter too. Passages that many documents share fill such buckets. Here the spare segments count
-again: a set with ``e`` empty segments shares ``k + 1 - e`` filled ones with each partner, so sets in fewer mixed buckets
-than that are done. Of the others the pairs aren't listed as they meet: of each such set the shingles rarest among these
-sets, one more than it may lack in a partner, are joined instead. Every similar pair shares one of them, early enough in both orders. The order is
+again: a set with ``e`` empty segments shares ``k + 1 - e`` filled ones with each partner, so sets with company in fewer
+buckets than that have no partner and are left out, as are, later on, those in fewer mixed buckets. Of the others the
+pairs aren't listed as they meet: of each such set the shingles rarest among these sets, one more than it may lack in a
+partner, are joined instead. Every similar pair shares one of them, early enough in both orders. The order is
 by counts over all these sets in a table of fixed size; collisions there cost time, never a pair. Sets
 are 64-bit shingle hashes; checks compare whole sets.
 """
@@ -318,13 +319,14 @@ def _sign(n: int, s: Schemes):
     return run
 
 
-_MET = ["key", "first", "first_need", "doc", "need"]
+_MET = ["key", "first", "first_need", "doc", "need", "n"]
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key, kind, doc, links after all: (bucket, its first document, each other). Holds one batch and one row.
 
-    Links pass. Buckets of two that no task has combined carry no key, since no pair is left to check in them.
+    Links pass. Buckets of two that no task has combined carry no key, since no pair is left to check in them; ``n`` says
+    how many of them two sets share.
     """
     last: tuple | None = None
     for batch in batches:
@@ -332,7 +334,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if link.any():
             done = batch.filter(pa.array(link))
             both = done.column("need").to_numpy()
-            yield pa.RecordBatch.from_arrays([done.column("key"), done.column("first"), pa.array(both >> 16), done.column("doc"), pa.array(both & 0xFFFF)], _MET)
+            yield pa.RecordBatch.from_arrays([done.column("key"), done.column("first"), pa.array(both >> 16), done.column("doc"), pa.array(both & 0xFFFF), pa.array(np.ones(len(both), np.int32))], _MET)
             batch = batch.filter(pa.array(~link))
         if not batch.num_rows:
             continue
@@ -348,12 +350,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = tuple(c[first[-1]] for c in row)
         use = (np.isin(kind[head], (FULL, LED, FEW))) & (np.arange(len(key)) != head) & (doc != doc[head])
         more = np.repeat((size > 2) | open_, size)
-        pair = np.unique(np.stack([doc[head[use & ~more]], doc[use & ~more]]), axis=1)
+        few, lead = use & ~more, head[use & ~more]
+        pair, times = np.unique(np.stack([doc[lead], need[lead].astype(np.int64), doc[few], need[few].astype(np.int64)]), axis=1, return_counts=True)
         many = use & more
         k = np.concatenate([key[many], np.zeros(pair.shape[1], np.int64)])
         if len(k):
-            none = np.zeros(pair.shape[1], np.int32)
-            columns = [(doc[head[many]], pair[0]), (need[head[many]], none), (doc[many], pair[1]), (need[many], none)]
+            columns = [(doc[head[many]], pair[0]), (need[head[many]], pair[1].astype(np.int32)), (doc[many], pair[2]), (need[many], pair[3].astype(np.int32)), (np.ones(many.sum(), np.int32), times.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(k, mask=np.arange(len(k)) >= many.sum()), *(pa.array(np.concatenate(c)) for c in columns)], _MET)
 
 
@@ -430,7 +432,7 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: Fraction | str =
         deal = F.when(F.col("kind") == LINK, F.xxhash64("key", "doc")).otherwise(F.col("key"))
         sorted_ = signed.repartition(parts, deal).sortWithinPartitions((F.col("kind") == LINK), "key", "kind", "doc")
         del signed
-        met = scratch.table(sorted_.mapInArrow(_stars, "key long, first long, first_need int, doc long, need int"), "met")
+        met = scratch.table(sorted_.mapInArrow(_stars, "key long, first long, first_need int, doc long, need int, n int"), "met")
         del sorted_
         scratch.release(spark)
 
@@ -439,17 +441,26 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: Fraction | str =
                 pairs = pairs.join(copies.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
             return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-        pairs = scratch.table(of_copies(met.select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()), "pairs")
+        full, two = met.where("key is not null"), met.where("key is null")
+        members = full.select("key", F.col("first").alias("doc"), F.col("first_need").alias("need")).unionByName(full.select("key", "doc", "need")).distinct()
+        members = scratch.table(members, "members")
+        company = members.select("doc", "need", F.lit(1).alias("n")).unionByName(two.select(F.col("first").alias("doc"), F.col("first_need").alias("need"), "n")).unionByName(two.select("doc", "need", "n"))
+        able = company.groupBy("doc", "need").agg(F.sum("n").alias("n")).where("n >= need").select("doc").distinct()
+        able = scratch.table(able, "able")
+        starred = met.select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
+        for end in ("a", "b"):
+            starred = starred.join(able.withColumnRenamed("doc", end), end, "left_semi")
+        pairs = scratch.table(of_copies(starred), "pairs")
         equal = copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))
         links = scratch.table(_verified(pairs, sized, docs, words, t).unionByName(equal), "links")
         scratch.release(spark)
         label = components(links)
 
-        full = met.where("key is not null")
-        members = full.select("key", F.col("first").alias("doc"), F.col("first_need").alias("need")).unionByName(full.select("key", "doc", "need")).distinct()
+        scratch.drop(met)
+        bare, members = members, members.join(able, "doc", "left_semi")
         members = members.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         members = scratch.table(members, "members")
-        scratch.drop(met)
+        scratch.drop(bare, able)
         mixed = members.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
         crossing = members.join(mixed, "key").groupBy("doc", "label", "need").agg(F.count("*").alias("n")).where("n >= need").select("doc", "label").distinct()
         crossing = crossing.join(copies.withColumnRenamed("id", "doc"), "doc", "left").select(F.coalesce("rep", "doc").alias("doc"), "label").distinct()
