@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from quern.functions import text, vectors
 from quern.operators.retrieval import places
+from quern.sources.shared import unused
 
 # The key of every evaluation table, and configurations in their order.
 KEYS = ["id", "model_name", "architecture_config"]
@@ -51,8 +52,9 @@ def enum_order(c: Column, values: list[str]) -> Column:
 
 def split_work(df: DataFrame, by: list[str], order: list[Column], workers: int) -> DataFrame:
     """worker_id 1..workers: each group in order, cut into runs of equal length. No group is gathered in one task."""
-    out = places(df, by, order, "_place", "_n")
-    return out.withColumn("worker_id", F.floor(F.col("_place") / F.ceil(F.col("_n") / workers)).cast("int") + 1).drop("_place", "_n")
+    place, n = unused(df, "_place", "_n")
+    out = places(df, by, order, place, n)
+    return out.withColumn("worker_id", F.floor(F.col(place) / F.ceil(F.col(n) / workers)).cast("int") + 1).drop(place, n)
 
 
 def cover(expected: DataFrame, observed: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.vectors import cosine
+from quern.sources.shared import stored, unused
 
 #: Query vectors scored together, corpus vectors scored together, and corpus vectors that a task holds, about.
 QUERIES, STRIP, GROUP = 512, 8192, 65_536
@@ -137,34 +138,52 @@ def strict_lookup(rows: DataFrame, table: DataFrame, key: str, value: str) -> Da
     return found.withColumn(value, F.when(F.col("_found").isNotNull(), F.col("_found")[value]).otherwise(missing)).drop("_found")
 
 
-def _ranged(df: DataFrame, order: list) -> DataFrame:
-    """Sorted by ranges, with the place of each row: partition ``_p`` and number ``_r`` in it. The number of partitions is
-    given, so it stands however the result is used."""
+def _name(c: str) -> Column:
+    return F.col(f"`{c.replace('`', '``')}`")
+
+
+def _ranged(df: DataFrame, order: list) -> tuple[DataFrame, str, str]:
+    """``df`` sorted by ranges and stored, with the place of each row: its partition, and its number in that.
+
+    Ranges come from samples, which another plan over the same rows would draw anew; hence all that goes by these places
+    reads one stored table.
+    """
+    part, row, at = unused(df, "_p", "_r", "_m")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    return rows.withColumns({"_p": F.shiftright("_m", 33), "_r": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_m")
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    rows = rows.withColumns({part: F.shiftright(at, 33), row: F.col(at).bitwiseAND(F.lit((1 << 33) - 1))}).drop(at)
+    return stored(rows, "ranged"), part, row
 
 
 def number(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
-    """Dense global numbers in order without a one-task window: rows a partition, then offsets."""
-    ranged = _ranged(df, order)
-    counts = ranged.groupBy("_p").count()
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))  # a row a partition
-    out = ranged.join(F.broadcast(offsets), "_p")
-    return out.withColumn(name, F.col("_o") + F.col("_r") + start).drop("_p", "_r", "_o")
+    """Dense global numbers in order without a one-task window: rows a partition, then offsets.
+
+    The sorted rows are stored once in the shared folder. Rows equal in ``order`` get numbers next to each other; a column
+    called ``name`` is replaced, all others stay, whatever their names.
+    """
+    keep = [c for c in df.columns if c.lower() != name.lower()]
+    ranged, part, row = _ranged(df, [_name(c) for c in order])
+    its, offset = unused(ranged, "_q", "_o")
+    counts = ranged.groupBy(F.col(part).alias(its)).count()
+    before = Window.orderBy(its).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(its, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(offset))  # a row a partition
+    out = ranged.join(F.broadcast(offsets), F.col(part) == F.col(its))
+    return out.select(*map(_name, keep), (F.col(offset) + F.col(row) + start).alias(name))
 
 
 def places(df: DataFrame, by: list[str], order: list[Column], name: str, size: str) -> DataFrame:
     """Each row's number from 0 within its group, and the size of the group, however few and large the groups are.
 
-    Groups and order together are cut into ranges; what a group has in earlier ranges comes from one row for each group in each range.
+    Groups and order together are cut into ranges and stored once; what a group has in earlier ranges comes from one row for
+    each group in each range. Columns called ``name`` or ``size`` are replaced, all others stay, whatever their names.
     """
-    ranged = _ranged(df, [*map(F.col, by), *order])
-    runs = ranged.groupBy(*by, "_p").agg(F.count("*").alias("_n"), F.min("_r").alias("_least"))
-    w = Window.partitionBy(*by).orderBy("_p")
-    runs = runs.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_p").alias("_q"), "_least", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias(size))
-    same = F.col("_p") == F.col("_q")
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return ranged.join(runs, same).withColumn(name, F.col("_before") + F.col("_r") - F.col("_least")).drop("_p", "_r", "_q", "_least", "_before", *[f"_{c}" for c in by])
+    keep = [c for c in df.columns if c.lower() not in (name.lower(), size.lower())]
+    ranged, part, row = _ranged(df, [*map(_name, by), *order])
+    its, least, n, before, total, *keys = unused(ranged, "_q", "_least", "_n", "_before", "_total", *[f"_k{i}" for i in range(len(by))])
+    runs = ranged.groupBy(*[_name(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(part).alias(its)).agg(F.count("*").alias(n), F.min(row).alias(least))
+    w = Window.partitionBy(*keys).orderBy(its).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*keys, its, least, F.coalesce(F.sum(n).over(w), F.lit(0)).alias(before), F.sum(n).over(Window.partitionBy(*keys)).alias(total))
+    same = F.col(part) == F.col(its)
+    for c, k in zip(by, keys, strict=True):
+        same &= _name(c).eqNullSafe(F.col(k))
+    return ranged.join(runs, same).select(*map(_name, keep), (F.col(before) + F.col(row) - F.col(least)).alias(name), F.col(total).alias(size))
