@@ -77,6 +77,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.merkle import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.piecewise import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_token_ids, op4_token_counts, op5_line_templates, op6_near_vectors, op2_mix, op7_shard, op8_decontaminate, op9_jaccard_join, op10_language, pipeline)}
+    return {f.__name__: f for f in (op1_warc, op3_token_ids, op4_token_counts, op5_line_templates, op6_near_vectors, op2_mix, op7_shard, op8_decontaminate, op9_jaccard_join, op10_language, op11_merkle_manifest, op12_fingerprints, op13_whitening, pipeline)}
 
 
 ORACLES: dict[str, str] = {
