@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.operators.scan import fill
+from quern.sources.shared import unused
 
 
 def ordered_join(order: list[Column], value: Column, sep: str) -> Column:
@@ -21,13 +23,14 @@ def outline(entries: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, carry: list[str], tie: list[str]) -> DataFrame:
-    """Each left row with the last right row at or before it: union, then the last non-null per key. No range join."""
-    r = right.select(*by, on, *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)], F.struct(*carry).alias("_c"), F.lit(0).alias("_side"))
-    left_ = left.select("*", F.lit(None).cast(r.schema["_c"].dataType).alias("_c"), F.lit(1).alias("_side"))
+    """Each left row with the last right row at or before it: union, then the last right row so far. No range join, and no
+    window for each key: keys of any size, or none at all, are spread over ranges."""
+    side, found, *ties = unused(left, "_side", "_c", *[f"_t{i}" for i in range(len(tie))])
+    r = right.select(*by, on, *[F.col(c).alias(t) for c, t in zip(tie, ties, strict=True)], F.struct(*carry).alias(found), F.lit(0).alias(side))
+    left_ = left.select("*", F.lit(None).cast(r.schema[found].dataType).alias(found), F.lit(1).alias(side))
     both = left_.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(on, "_side", *[f"_t{i}" for i in range(len(tie))]).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_m", F.last("_c", ignorenulls=True).over(w)).where("_side = 1")
-    return out.select(*left.columns, *[F.col("_m")[c].alias(c) for c in carry])
+    out = fill(both, by, [F.col(c) for c in (on, side, *ties)], F.col(found), found).where(F.col(side) == 1)
+    return out.select(*left.columns, *[F.col(found)[c].alias(c) for c in carry])
 
 
 def subsections(headers: DataFrame, blocks: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -101,16 +104,16 @@ def emit_once(df: DataFrame, by: list[str], order: list[str], flag: str = "emit"
 
 
 def fill_section(df: DataFrame, by: list[str], order: list[str], is_section: Column, title: Column, name: str) -> DataFrame:
-    """The latest section title so far; before any, the first row's own title."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.coalesce(F.last(F.when(is_section, title), ignorenulls=True).over(w), F.first(title).over(w)))
+    """The latest section title so far; before any, the first row's own title. Groups of any size are spread over ranges."""
+    return fill(df, by, [F.col(c) for c in order], F.when(is_section, title), name, seed=title)
 
 
 def neighbours(df: DataFrame, by: list[str], order: list[str], usable: Column, value: Column) -> DataFrame:
-    """Nearest usable value before and after each row."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    v = F.when(usable, value)
-    return df.withColumns({"antecedent": F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "subsequent": F.first(v, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    """Nearest usable value before and after each row: a fill along the order, and one against it."""
+    (v,) = unused(df, "_usable")
+    rows = df.withColumn(v, F.when(usable, value))
+    rows = fill(rows, by, [F.col(c) for c in order], F.col(v), "antecedent", inclusive=False)
+    return fill(rows, by, [F.col(c).desc() for c in order], F.col(v), "subsequent", inclusive=False).drop(v)
 
 
 def image_contexts(passages_: DataFrame) -> DataFrame:
