@@ -155,6 +155,45 @@ SELECT page_id, payload_bytes, refers_to,
        CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
        list_aggregate(list_transform(five, lambda v: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(v >> 15)::INT + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> 10) & 31)::INT + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> 5) & 31)::INT + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(v & 31)::INT + 1]), 'string_agg', '') AS payload_digest
 FROM d
+""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head, text,
+         CASE WHEN list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(1, 9)), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))) % 2 = 1 THEN replace(text, chr(10), '') ELSE text END AS changed
+  FROM documents
+), e AS (
+  SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(head || coalesce(octet_length(encode(changed)) || ':' || changed, '-')) AS changed FROM d
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER () AS r FROM e
+), t(tree, level, k, h, n) AS (
+  SELECT tree, 0, k, leaf, count(*) OVER (PARTITION BY tree) FROM f
+  UNION ALL
+  SELECT tree, level + 1, k // 3, sha256(string_agg(h, '' ORDER BY k)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY tree, level, k // 3, n
+), s AS (
+  SELECT tree, h, level AS levels FROM t WHERE n = 1
+), u(level, k, h, n) AS (
+  SELECT 0, tree, h, count(*) OVER () FROM s
+  UNION ALL
+  SELECT level + 1, k // 3, sha256(string_agg(h, '' ORDER BY k)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY level, k // 3, n
+), nodes AS (
+  SELECT tree, level, k, h, n FROM t UNION ALL SELECT -1, level, k, h, n FROM u
+), runs AS (
+  SELECT tree, level, k // 3 AS run, list(h ORDER BY k) AS hs FROM nodes WHERE n > 1 GROUP BY 1, 2, 3
+), p(r, tree, level, k, node, proof) AS (
+  SELECT r, tree, 0, k, changed, '' FROM f
+  UNION ALL
+  SELECT p.r, CASE WHEN g.hs IS NULL THEN -1 ELSE p.tree END, CASE WHEN g.hs IS NULL THEN 0 ELSE p.level + 1 END, CASE WHEN g.hs IS NULL THEN p.tree ELSE p.k // 3 END,
+         CASE WHEN g.hs IS NULL THEN p.node ELSE sha256(array_to_string(hs[1 : p.k % 3], '') || p.node || array_to_string(hs[p.k % 3 + 2 :], '')) END,
+         CASE WHEN g.hs IS NULL THEN p.proof ELSE p.proof || array_to_string(hs[1 : p.k % 3], '') || array_to_string(hs[p.k % 3 + 2 :], '') END
+  FROM p LEFT JOIN runs g ON g.tree = p.tree AND g.level = p.level AND g.run = p.k // 3 WHERE NOT (p.tree = -1 AND g.hs IS NULL)
+), z AS (
+  SELECT r, arg_max(node, level) AS node, arg_max(proof, level) AS proof FROM p WHERE tree = -1 GROUP BY r
+), w AS (
+  SELECT h AS root FROM u WHERE n = 1
+)
+SELECT f.doc_id, f.leaf, s.h AS subroot, w.root, sha256(z.proof) AS proof_sha256, z.node AS folded_root, z.node = w.root AS verified
+FROM f JOIN s ON s.tree = f.tree JOIN z ON z.r = f.r CROSS JOIN w
 """,
 }
 
