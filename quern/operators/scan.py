@@ -99,7 +99,9 @@ def fill(df: DataFrame, by: list[str], order: list[Column], value: Column, name:
     w = Window.partitionBy(*own).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     sure = F.last(F.when(~F.col("open"), F.struct("filled")), ignorenulls=True).over(w)
     carry = F.when(sure.isNotNull(), sure["filled"]).otherwise(F.first("filled").over(w))
-    carried = ends.select(*own, F.struct(carry.alias("value")).alias("carry"), F.lead("part").over(Window.orderBy("part")).alias("to"))
+    filled_ranges = sorted(r.part for r in ends.select("part").collect())  # numbers of ranges
+    after = df.sparkSession.createDataFrame(list(zip(filled_ranges, filled_ranges[1:], strict=False)), "part int, to int")
+    carried = ends.select(*own, F.struct(carry.alias("value")).alias("carry"), "part").join(F.broadcast(after), "part").drop("part")
     same = F.col("open") & (F.col("part") == F.col("to"))
     for g, b in zip(groups, own, strict=True):
         same &= F.col(g).eqNullSafe(F.col(b))
