@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    from quern.plans import digest_queries, evaluation_queries, retrieval_queries
+    from quern.plans import digest_queries, document_queries, evaluation_queries, retrieval_queries
 
-    return digest_queries.QUERIES | retrieval_queries.QUERIES | evaluation_queries.QUERIES
+    return digest_queries.QUERIES | document_queries.QUERIES | retrieval_queries.QUERIES | evaluation_queries.QUERIES
 
 
 def queries() -> dict[str, Query]:

@@ -73,19 +73,20 @@ def image_records(images: DataFrame, stem: Column, folder: str) -> DataFrame:
     return rows.select("image_id", "page_index", "bbox", F.when(good, path).alias("image_path"), F.when(~good, F.lit("the image has no bytes")).alias("error"), "image")
 
 
-def page_text(blocks: DataFrame, records: DataFrame | None = None) -> DataFrame:
-    """(page_index, block_no, text) of text blocks (page_index, block_no, lines): spans run together within a line, lines
-    are joined, lone bullets repaired; a blank block is a newline. A block within a table (``table_id`` not null) gives the table
-    once a page, at its first block, from ``records``."""
+def page_text(blocks: DataFrame, records: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """(page_index, block_no, text) of text blocks (page_index, block_no, lines), in each document (``by``): spans run together
+    within a line, lines are joined, lone bullets repaired; a blank block is a newline. A block within a table (``table_id`` not
+    null) gives the table once a page, at its first block, from ``records``."""
+    by = by or []
     raw = F.array_join(F.transform("lines", lambda spans: F.array_join(spans, "")), "\n")
     body = text.repair_bullets(raw)
     own = blocks.withColumn("_text", F.when(text.strip(body) == "", F.lit("\n")).otherwise(body))
     if records is None:
-        return own.select("page_index", "block_no", F.col("_text").alias("text"))
-    first = emit_once(own, ["page_index", "table_id"], ["block_no"], "_first").join(records.select("table_id", F.col("text").alias("_table")), "table_id", "left")
+        return own.select(*by, "page_index", "block_no", F.col("_text").alias("text"))
+    first = emit_once(own, [*by, "page_index", "table_id"], ["block_no"], "_first").join(records.select(*by, "table_id", F.col("text").alias("_table")), [*by, "table_id"], "left")
     markup = F.concat(F.lit("\n\n<t "), F.col("table_id"), F.lit(">\n"), F.col("_table"), F.lit("\n</t>\n\n"))
     shown = F.when(F.col("_table").isNull(), F.col("_text")).when(F.col("_first"), markup)
-    return first.select("page_index", "block_no", shown.alias("text")).where("text is not null")
+    return first.select(*by, "page_index", "block_no", shown.alias("text")).where("text is not null")
 
 
 def first_containing(points: DataFrame, boxes: DataFrame, on: str, x: Column, y: Column, margin: float = 1.0) -> DataFrame:
