@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from quern.llm import scratch
 from quern.llm.wordhash import pieces
@@ -31,33 +32,43 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def _columns(rows: pa.Table | list[tuple], names: list[str]) -> pa.Table:
+    """Rows as columns, strings but for the numbers at the end."""
+    if isinstance(rows, pa.Table):
+        return rows.select(names).combine_chunks()
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.table([pa.array(c, pa.int64() if n in ("size", "n") else pa.string()) for n, c in zip(names, columns, strict=True)], names)
+
+
 class Model:
     """Log frequencies per language of known words and of character n-grams.
 
     An entry holds only the languages it was seen in; in all others its log is that of its table's zero count.
     """
 
-    def __init__(self, words: list[tuple[str, str, int]], counts: list[tuple[str, str, int, int]] | None = None):
+    def __init__(self, words: pa.Table | list[tuple[str, str, int]], counts: pa.Table | list[tuple[str, str, int, int]] | None = None):
         """``words``: (lang, word, n). ``counts``: (lang, n-gram, its size, n), by default of these words."""
+        words = _columns(words, ["lang", "word", "n"])
         if counts is None:
-            counts = [(lang, g, size, n) for lang, word, n in words for size in range(1, _LONGEST + 1) for g in grams(word, size)]
-        self.langs = sorted({x[0] for x in words} | {x[0] for x in counts})
-        at = {lang: i for i, lang in enumerate(self.langs)}
+            counts = [(lang, g, size, n) for lang, word, n in zip(*(c.to_pylist() for c in words.columns), strict=True) for size in range(1, _LONGEST + 1) for g in grams(word, size)]
+        counts = _columns(counts, ["lang", "gram", "size", "n"])
+        self.langs = sorted({*words["lang"].unique().to_pylist(), *counts["lang"].unique().to_pylist()})
+        at = pa.array(self.langs, pa.string())
         #: Known words and their places; sorted n-grams by n, whose places follow on from those of the words.
-        self.known: dict[str, int] = {}
-        entry = [self.known.setdefault(w, len(self.known)) for _, w, _ in words]
+        self.known: dict[str, int] = {w: k for k, w in enumerate(words["word"].unique().to_pylist())}
+        entry = pc.index_in(words["word"], words["word"].unique())
         self.grams, self.first = [np.zeros(0, "U1")], [0]
-        parts, langs, ns, first = [np.array(entry, np.int64)], [at[x[0]] for x in words], [x[2] for x in words], len(self.known)
+        parts, langs, ns, first = [entry.to_numpy().astype(np.int64)], [pc.index_in(words["lang"], at).to_numpy()], [words["n"].to_numpy()], len(self.known)
         for size in range(1, _LONGEST + 1):
-            some = [x for x in counts if x[2] == size]
-            table, place = np.unique(np.array([x[1] for x in some], f"U{size}"), return_inverse=True)
+            some = counts.filter(pc.equal(counts["size"], size))
+            table, place = np.unique(np.array(some["gram"].to_pylist(), f"U{size}"), return_inverse=True)
             self.grams.append(table)
             self.first.append(first)
             parts.append(place + first)
-            langs += [at[x[0]] for x in some]
-            ns += [x[3] for x in some]
+            langs.append(pc.index_in(some["lang"], at).to_numpy())
+            ns.append(some["n"].to_numpy())
             first += len(table)
-        self._fill(np.concatenate(parts), np.array(langs, np.int64), np.array(ns, float))
+        self._fill(np.concatenate(parts).astype(np.int64), np.concatenate(langs).astype(np.int64), np.concatenate(ns).astype(float))
 
     def _fill(self, entry: np.ndarray, lang: np.ndarray, n: np.ndarray) -> None:
         """Smoothed by a half per table: ``base`` has the logs of zero counts, ``more`` what seen entries add to them."""
@@ -143,12 +154,13 @@ class Scorer:
             sums[-1] += n @ self.words[rows]
         return sums
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score, and the number of words of which anything is known."""
         sums = self.total(text) if text and self.model.langs else np.zeros(1)
-        if not sums[-1]:
-            return UNKNOWN, 0.0
+        if not sums[-1] and not (self.model.langs and text and any(map(str.isalpha, text))):
+            return UNKNOWN, 0.0, 0
         best = int(np.argmax(sums[:-1]))
-        return self.model.langs[best], 1.0 / float(np.exp(np.maximum(sums[:-1] - sums[best], -700)).sum())
+        return self.model.langs[best], 1.0 / float(np.exp(np.maximum(sums[:-1] - sums[best], -700)).sum()), round(sums[-1])
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -190,30 +202,39 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _rows(df: DataFrame) -> list[tuple]:
-    return list(zip(*(c.to_pylist() for c in df.toArrow().columns), strict=True))
+def _most(counts: DataFrame, by: list[str], what: str, most: int) -> DataFrame:
+    """The ``most`` frequent rows of ``counts`` for each ``by``, ties by ``what``."""
+    order = Window.partitionBy(*by).orderBy(F.col("n").desc(), what)
+    return counts.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most).drop("_place")
 
 
-def train(docs: DataFrame, docs_per_language: int = 2_000) -> Model:
+def train(docs: DataFrame, docs_per_language: int = 2_000, words_per_language: int = 100_000, grams_per_language: int = 100_000) -> Model:
     """Fits on rows with text and lang that aren't held out.
 
-    A sample of about ``docs_per_language`` rows of each language, chosen by a hash of the id. All languages
+    A sample of ``docs_per_language`` rows of each language at most, chosen by a hash of id and text. All languages
     and all words of the sample count: those seen twice or more in a language are known words, and all make up
-    its n-grams.
+    its n-grams. The model holds the ``words_per_language`` most frequent known words of each language, and of its
+    n-grams of each size the ``grams_per_language`` most frequent; so much and no more reaches the driver for a language.
     """
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    part = rows.groupBy("lang").agg(F.least(F.lit(1_000_000), F.ceil(1_000_000 * docs_per_language / F.count("*"))).alias("part"))
-    some = rows.join(F.broadcast(part), "lang").where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) < F.col("part")).select("lang", "text")
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    first = lambda df: df.withColumn("place", place).where(F.col("place") <= docs_per_language)  # noqa: E731  tasks keep as many at most
+    edge = first(rows.select("lang", "draw")).groupBy("lang").agg(F.max("draw").alias("edge"))
+    some = first(rows.join(F.broadcast(edge), "lang").where(F.col("draw") <= F.col("edge"))).select("lang", "text", "place")
+    some = some.repartition("lang", F.col("place") % 16).select("lang", "text")
     words = scratch.table(some.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     counts = words.mapInArrow(_grams, "lang string, gram string, size int, n long").groupBy("lang", "gram", "size").agg(F.sum("n").alias("n"))
-    return Model(_rows(words.where("n > 1")), _rows(counts))
+    return Model(_most(words.where("n > 1"), ["lang"], "word", words_per_language).toArrow(), _most(counts, ["lang", "size"], "gram", grams_per_language).toArrow())
 
 
-def identify(docs: DataFrame, model: Model | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """All rows and columns of ``docs`` with lang_pred and score (under these ``names``), from whole texts alone.
+def identify(docs: DataFrame, model: Model | None = None, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """All rows and columns of ``docs`` with language and score under these ``names``, from whole texts alone; a third name is for the
+    number of words of which anything is known.
 
-    A text that is null, has no letter, or has no word of which the model knows as much as a single character
-    is ``und`` with score 0, as is every text if nothing could be learned. Ties go to the first language by code point.
+    A text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be learned. Every other text
+    gets a learned language, the first by code point among the best; one of which the model knows nothing, not so much as a single
+    character, has no known word and equal chances for all.
     The score is the posterior of the language under equal priors. Columns of these names are replaced, others stay
     whatever their names and types; repeated rows and rows with a null id get their results like any other; an empty
     table gives no rows.
@@ -221,18 +242,20 @@ def identify(docs: DataFrame, model: Model | None = None, names: tuple[str, str]
     scratch.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)
     docs = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
-    columns = [f"c{k}" for k in range(len(docs.columns) + 2)]
+    own = len(docs.columns)
+    columns = [f"c{k}" for k in range(own + len(names))]
     text = columns[docs.columns.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             for part in pieces(batch, text):
-                lang, score = zip(*(scorer.predict(t.as_py()) for t in part.column(text)), strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], columns)
+                found = zip(*(scorer.predict(t.as_py()) for t in part.column(text)), strict=True)
+                more = [pa.array(c, kind) for c, kind in zip(found, (pa.string(), pa.float64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more[: len(names)]], columns)
 
-    plain = docs.toDF(*columns[:-2])
-    schema = StructType([*plain.schema.fields, StructField(columns[-2], StringType()), StructField(columns[-1], DoubleType())])
+    plain = docs.toDF(*columns[:own])
+    schema = StructType([*plain.schema.fields, *map(StructField, columns[own:], (StringType(), DoubleType(), LongType()))])
     return plain.mapInArrow(run, schema).toDF(*docs.columns, *names)
 
 

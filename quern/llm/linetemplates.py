@@ -13,12 +13,15 @@ tokens at all: its line is its template. Tokens travel only for leaves where dif
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quern.llm import scratch
 from quern.llm.wordhash import U, buffers, hashes, mix, pieces, spans
@@ -173,27 +176,43 @@ def _split(depth: int, least: int, table):
     return run
 
 
+@F.pandas_udf(StringType())
+def _kept(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines of the given numbers; null where no numbers are given."""
+    out = []
+    for text, numbers in zip(texts, gone, strict=True):
+        if numbers is None:
+            out.append(None)
+            continue
+        lines = text.split("\n")
+        keep = np.ones(len(lines), bool)
+        keep[np.asarray(numbers, np.int64)] = False
+        out.append("\n".join(compress(lines, keep.tolist())))
+    return pd.Series(out, dtype=object)
+
+
 def drop_lines(docs: DataFrame, min_documents: int = 3, depth: int = 3, min_tokens: int = 4, similarity: float = 0.75) -> DataFrame:
     """All rows and columns of ``docs``, texts without the lines of recurring templates, with n_lines and n_dropped.
 
     See ``recurring`` for the options; lines of fewer than ``min_tokens`` tokens are kept however often they recur.
     A null text stays null with no lines; a text of which nothing is left is empty. Rows equal in id and text, null ids
-    included, get equal results. An empty table gives no rows. Columns named n_lines or n_dropped are replaced; those of
-    any other name stay.
+    included, get equal results. An empty table gives no rows. Texts may be of any length and hold any number of lines: work grows with
+    their lines. Columns named n_lines or n_dropped are replaced; those of any other name stay.
     """
     bad = scratch.table(recurring(docs, min_documents, depth, min_tokens, similarity).select(F.col("line").alias("_line")).distinct(), "bad")
-    cells = [c for name in ("doc_id", "text") for c in (F.col(name), F.col(name).isNull())]
-    keyed = docs.drop("n_lines", "n_dropped").withColumns({c: F.xxhash64(F.lit(i), *cells) for i, c in enumerate(ROW)})
-    texts = keyed.select(*ROW, F.col("text").cast("string").alias("text")).where("text is not null")
+    docs = docs.drop("n_lines", "n_dropped")
+    plain, (doc, text) = scratch.numbered(docs, "doc_id", "text")
+    cells = [c for name in (doc, text) for c in (F.col(name), F.col(name).isNull())]
+    keyed = plain.withColumns({c: F.xxhash64(F.lit(i), *cells) for i, c in enumerate(ROW)})
+    texts = keyed.select(*ROW, F.col(text).cast("string").alias("text")).where("text is not null")
     where = texts.mapInArrow(_split(depth, min_tokens, _filter(bad, "_line")), "_row long, _row2 long, _at long, _line long")
     gone = where.join(bad, "_line").groupBy(*ROW).agg(F.collect_set("_at").alias("_gone"))
-    lines = F.split(F.col("text"), "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i.cast("long")), x)), lambda x: x.isNotNull())
     out = keyed.join(gone, ROW, "left")
-    n = F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias("text") if c == "text" else F.col(f"`{c.replace('`', '``')}`") for c in keyed.columns if c not in ROW]
-    return out.select(*columns, F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n).alias("n_lines"), F.coalesce(F.size("_gone").cast("long"), F.lit(0).cast("long")).alias("n_dropped"))
+    shown = F.col(text).cast("string")
+    n = F.when(shown.isNull(), F.lit(0)).otherwise(F.length(shown) - F.length(F.replace(shown, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    less = _kept(F.when(F.col("_gone").isNotNull(), shown), F.col("_gone"))
+    columns = [F.coalesce(less, shown).alias(c) if c == text else F.col(c) for c in plain.columns]
+    return out.select(*columns, n.alias("n_lines"), F.coalesce(F.size("_gone").cast("long"), F.lit(0).cast("long")).alias("n_dropped")).toDF(*docs.columns, "n_lines", "n_dropped")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -158,7 +158,7 @@ def plan(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, m
     are taken once more than others, so that together they come to n times their share, rounded. Rows with equal ids
     that differ in anything else are rows of their own. A null source is a source. Empty tables and sources without
     words take nothing. Reruns with the same ``seed`` agree, however rows are partitioned. Of other columns only the
-    fact that rows differ in them counts.
+    fact that rows differ in them counts. Texts of any length count whole; only their sizes are shuffled.
     """
     rows = scratch.repeat(_classes(docs, seed, weights, most), F.col("n"), "_mix_k", KEY)
     copies = F.floor(F.col("total") / F.col("n")) + (F.col("_mix_k") < F.pmod("total", "n")).cast("long")
@@ -168,8 +168,10 @@ def plan(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, m
 def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` mixed: each row as often as ``plan`` takes it, with its own columns, whatever their names.
 
-    Equal rows collapse before they are shuffled and are spelled out again in blocks.
+    Equal rows collapse before they are shuffled and are spelled out again in blocks. Nulls, ties and empty tables are as in
+    ``plan``; texts of any length stay whole.
     """
     taken = _classes(docs, seed, weights, most).where("total > 0").select(*KEY, F.col("total").alias("_mix_total"))
-    rows = _keyed(docs).dropDuplicates(KEY).join(taken, KEY)
-    return scratch.repeat(rows, F.col("_mix_total"), "_mix_k", KEY).select(*[f"`{c.replace('`', '``')}`" for c in docs.columns])
+    plain, _ = scratch.numbered(docs)
+    rows = _keyed(plain).dropDuplicates(KEY).join(taken, KEY)
+    return scratch.repeat(rows, F.col("_mix_total"), "_mix_k", KEY).select(*plain.columns).toDF(*docs.columns)

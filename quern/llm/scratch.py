@@ -39,6 +39,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns called c0, c1 and so on, and what ``names`` are called there: nothing that an operator adds
+    can clash. ``toDF(*df.columns)`` gives the names back."""
+    place = {c.lower(): f"c{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*place.values()), [place[n.lower()] for n in names]
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that nothing reads any more."""
     for df in tables:

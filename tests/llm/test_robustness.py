@@ -223,7 +223,8 @@ def test_language_by_plain_scores(spark):
             if len(entries):
                 n += 1
                 found += model.sums(entries, np.full(len(entries), 1 / len(entries)), np.zeros(len(entries), int), 1)[0]
-        return (model.langs[int(np.argmax(found))], 1 / np.exp(found - found.max()).sum()) if n else ("und", 0.0)
+        letters = any(map(str.isalpha, text or ""))  # a lettered text has a learned language, known or not
+        return (model.langs[int(np.argmax(found))], 1 / np.exp(found - found.max()).sum()) if n or letters else ("und", 0.0)
 
     texts = ["the cat", "les chats", "katzen", "cats les", "кот", None, "", "7 !", "the cat", "chat " * 50_000 + "the", "zzz"]
     docs = spark.createDataFrame([(k, t, "old", {"c d": 1}) for k, t in enumerate(texts)], "doc_id long, text string, lang_pred string, `a b` struct<`c d`: int>").withColumns({"_0": F.lit(1)})
@@ -300,3 +301,66 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         nothing = stage(spark, nothing, at)
     assert nothing.count() == 0
     assert corpus_pipeline.run(spark, at).count() == out.count()
+
+
+def test_unseen_scripts_and_bounded_samples(spark):
+    """A text in letters of which nothing is known has a learned language; rows without an id don't widen the sample."""
+    model = langid.Model([("en", "the", 5), ("de", "der", 5)])
+    docs = spark.createDataFrame([(1, "\u4e2d\u6587"), (2, "\u0e44\u0e17\u0e22 7"), (3, "the"), (4, "7"), (5, None)], "doc_id long, text string")
+    got = [(r.lang_pred, r.score, r.k) for r in langid.identify(docs, model, ("lang_pred", "score", "k")).orderBy("doc_id").collect()]
+    assert got[0] == got[1] == ("de", 0.5, 0) and got[2][0] == "en" and got[2][2] == 1 and got[3:] == [("und", 0.0, 0)] * 2
+    rows = [(None, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}w{chr(97 + k // 676)}", "en") for k in range(3000)]
+    rows += [(None, "same", "xx")] * 500 + [(1, "one", "one")]
+    learned = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs_per_language=40)
+    assert learned.langs == ["en", "one", "xx"]
+    assert len(learned.grams[3]) <= 3 * 40 * 6 and learned.known == {"same": 0}
+    few = langid.train(spark.createDataFrame([(0, "aa bb cc aa bb aa", "x"), (1, "dd dd", "y")], "doc_id long, text string, lang string"), words_per_language=2, grams_per_language=1)
+    assert sorted(few.known) == ["aa", "bb", "dd"] and few.langs == ["x", "y"]
+
+
+CLASHING = ["_doc", "_tag", "_mix_a", "_mix_b", "_mix_k", "_mix_total", "_gone", "_row", "_row2", "_line", "_at", "_language", "_score", "_known", "c0", "c1", "hash", "item_id", "text_b"]
+
+
+def test_columns_with_private_names_stay(spark):
+    rng = random.Random(2)
+    item = words(rng, 30)
+    rows = [(k, words(rng, 30) + "\nthe very same long line here", "en", rng.choice("st")) for k in range(9)] + [(50, item, "en", "s"), (None, None, None, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = plain.withColumns({c: F.lit(k) for k, c in enumerate(CLASHING)})
+    values = tuple(range(len(CLASHING)))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for out in (decontam.decontaminate(docs, bench), mixing.mix(docs), corpus_pipeline.language(spark, docs, "")):
+        assert out.columns == docs.columns and {tuple(r)[4:] for r in out.collect()} == {values}
+    lines = linetemplates.drop_lines(docs)
+    assert lines.columns == [*docs.columns, "n_lines", "n_dropped"]
+    got = lines.collect()
+    assert len(got) == 11 and {tuple(r)[4:-2] for r in got} == {values}
+    assert {r.doc_id: (r.n_lines, r.n_dropped) for r in got if r.doc_id in (3, 50, None)} == {3: (2, 1), 50: (1, 0), None: (0, 0)}
+
+
+def test_very_many_lines_of_a_text(spark):
+    """200,000 recurring lines in one text go in time that grows with the lines."""
+    lines = [f"recurring line alpha beta w{k % 5}x" for k in range(200_000)]
+    own = ["this line stands here alone today", "", "so does this other line here"]
+    rows = [(0, "\n".join([own[0], *lines, own[1], own[2]]))] + [(k, "\n".join([*lines[:5], " ".join(f"{'abcdefg'[k]}{j}".replace(str(j), "xyzuvw"[j]) for j in range(6))])) for k in range(1, 5)]
+    out = {r.doc_id: r for r in linetemplates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == "\n".join(own) and (out[0].n_lines, out[0].n_dropped) == (200_003, 200_000)
+    assert all(out[k].n_dropped == 5 for k in range(1, 5))
+
+
+@pytest.mark.parametrize("shortest, loose", [(1, 3), (3, 6), (5, 9)])
+def test_short_items_by_the_options(spark, shortest, loose):
+    """Items of 1 to 12 words: whole from ``shortest`` words on, but for one word from ``loose`` words on."""
+    rng = random.Random(21)
+    items = {n: words(rng, n, 10**6) for n in range(1, 13)}
+    cases = []
+    for n, item in items.items():
+        for places in [(), *((p,) for p in range(n)), (0, n - 1)]:
+            w = item.split()
+            for p in places:
+                w[p] = "other"
+            cases.append((len(cases), f"{words(rng, 20, 10**6)} {' '.join(w)} {words(rng, 20, 10**6)}", [n] if n >= shortest and len(set(places)) <= (n >= loose) else []))
+    docs = spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontam.report(docs, bench, shortest=shortest, one_different=loose).collect()}
+    assert got == {i: wanted for i, _, wanted in cases}
