@@ -1,4 +1,5 @@
-"""A corpus pipeline of five stages over ``documents``; every stage reads what the one before wrote."""
+"""A corpus pipeline of five stages over ``documents``; every stage reads what the one before wrote. Texts of any length are
+worked on whole in each of them."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontam, jaccard, langid, mixing, scratch, sharding
+from quern.sources.shared import unused
 
 #: Stages learn, draw and compare, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
@@ -18,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    names = ("_language", "_score")
-    return langid.identify(docs, model, names).where(F.col(names[0]) != langid.UNKNOWN).drop(*names)
+    names = unused(docs, "_language", "_score", "_known")
+    return langid.identify(docs, model, names).where(F.col(names[2]) > 0).drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
