@@ -2,81 +2,38 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.vectors import cosine
+from quern.operators import vectorindex
 from quern.sources.shared import stored, unused
 
-#: Query vectors scored together, corpus vectors scored together, and corpus vectors that a task holds, about.
-QUERIES, STRIP, GROUP = 512, 8192, 65_536
+#: Corpus vectors, and bytes of them, that go to all tasks as they are; beyond either the corpus is indexed.
+GROUP, BYTES = 65_536, 32 << 20
 
 
-def _packed(side: int, size: int, id_column: str):
-    """Blocks of up to ``size`` rows as bytes: ids, and unit vectors in double precision; zero vectors are left out."""
+def _answered(corpus, k: int):
+    """All of a small corpus against each batch of questions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        own, v = corpus.value
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                some = batch.slice(at, size)
-                v = some.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(some.num_rows, -1)
-                length = np.linalg.norm(v, axis=1)
-                fine = np.isfinite(length) & (length > 0)
-                ids, v = some.column(id_column).to_numpy()[fine].astype("<i8"), v[fine] / length[fine, None]
-                yield pa.RecordBatch.from_arrays([pa.array([side], pa.int32()), pa.array([part << 24 | seq]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["side", "block", "ids", "v"])
-                seq += 1
-
-    return run
-
-
-_PACKED = "side int, block long, ids binary, v binary"
-
-
-def _best(q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, id, score) of the best ``k`` of ``v`` for every row of ``q``, ties by id."""
-    s = q @ v.T
-    if s.shape[1] > k:  # all that may tie with the k-th
-        edge = np.partition(s, -k, axis=1)[:, -k]
-        r, c = np.nonzero(s >= edge[:, None] - 2e-12)
-    else:
-        r, c = (x.ravel() for x in np.indices(s.shape))
-    score, ids = s[r, c], own[c]
-    order = np.lexsort((ids, -score.round(12), r))
-    r, ids, score = r[order], ids[order], score[order]
-    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-    return r[keep], ids[keep], score[keep]
-
-
-def _scored(k: int):
-    """Rows by group: blocks of the corpus first, which are held, then blocks of queries, which pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, vectors = None, [], []
-        for batch in batches:
-            for n in range(batch.num_rows):
-                g, side, raw, v = (batch.column(c)[n].as_py() for c in ("group", "side", "ids", "v"))
-                if g != group:
-                    group, ids, vectors = g, [], []
-                own = np.frombuffer(raw, "<i8")
-                v = np.frombuffer(v).reshape(len(own), -1)
-                if side == 0:
-                    ids.append(own)
-                    vectors.append(v)
-                elif ids and len(own):
-                    found = [_best(v, a, b, k) for a, b in zip(ids, vectors, strict=True) if len(a)]
-                    r, i, s = (np.concatenate(x) for x in zip(*found, strict=True))
-                    order = np.lexsort((i, -s.round(12), r))
-                    r, i, s = r[order], i[order], s[order]
-                    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-                    yield pa.RecordBatch.from_arrays([pa.array(own[r[keep]]), pa.array(i[keep]), pa.array(s[keep])], ["qid", "vec_id", "score"])
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                kept, q = vectorindex.units(some.column("v"))
+                if not len(kept):
+                    continue
+                if q.shape[1] != v.shape[1]:
+                    raise ValueError("vectors differ in length")
+                r, i, s = vectorindex.best(q, own, v, k)
+                place = np.arange(len(r)) - np.searchsorted(r, r) + 1
+                yield pa.RecordBatch.from_arrays([some.column("qid").take(pa.array(kept[r])), pa.array(i), pa.array(s), pa.array(place.astype(np.int32))], ["qid", "vec_id", "score", "rank"])
 
     return run
 
@@ -84,20 +41,22 @@ def _scored(k: int):
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
     """(qid, vec_id, score, rank): the ``k`` nearest by cosine, ties by vec_id.
 
-    Queries (qid, v) and corpus (vec_id, v) are packed in blocks. Each block of the corpus goes to one group of about
-    ``GROUP`` vectors, each block of queries to all groups, and a group gives k rows a query at most. Nothing passes
-    through the driver. Null and zero vectors find nothing and are never found.
+    Queries (qid, v) and corpus (vec_id, v). Vectors that are null, empty, zero or hold null or non-finite components find
+    nothing and are never found, nor do rows without an id; vectors of different lengths are an error. A corpus of ``GROUP``
+    vectors and ``BYTES`` at most, which is counted first, goes to all tasks whole, and nothing is shuffled; a
+    larger one is indexed and searched by bounds (see ``vectorindex``), as is one that is kept as an index.
     """
-    n = corpus.count()
-    groups = max(1, math.ceil(n / GROUP))
-    c = corpus.where("v is not null").select("vec_id", "v").mapInArrow(_packed(0, STRIP, "vec_id"), _PACKED)
-    c = c.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    q = queries.where("v is not null").select("qid", "v").mapInArrow(_packed(1, QUERIES, "qid"), _PACKED)
-    q = q.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    met = c.unionByName(q).repartition(groups, "group").sortWithinPartitions("group", "side")
-    found = met.select("group", "side", "ids", "v").mapInArrow(_scored(k), "qid long, vec_id long, score double")
-    order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = vectorindex.usable(corpus, "vec_id")
+    n, dim = vectorindex.extent(rows)
+    if n > GROUP or n * dim * 8 > BYTES:
+        return vectorindex.search(queries, vectorindex.build(corpus), k)
+    table = rows.select("vec_id", "v").toArrow().combine_chunks()  # bounded as above
+    kept, v = vectorindex.units(table["v"].chunk(0)) if table.num_rows else (np.zeros(0, int), np.zeros((0, 0)))
+    asked, schema = vectorindex.usable(queries, "qid"), "qid long, vec_id long, score double, rank int"
+    if not len(kept):
+        return asked.where("false").select("qid", F.col("qid").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    own = table["vec_id"].to_numpy()[kept]
+    return asked.mapInArrow(_answered(corpus.sparkSession.sparkContext.broadcast((own, v)), k), schema)
 
 
 def alignment(vectors: DataFrame, id_column: str = "vec_id") -> DataFrame:
