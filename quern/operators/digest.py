@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,13 +91,31 @@ def page_text(blocks: DataFrame, records: DataFrame | None = None, by: list[str]
     return first.select(*by, "page_index", "block_no", shown.alias("text")).where("text is not null")
 
 
+#: Levels of the grid: the side of a cell is two to its level; what fits none of them is in the one cell of level ``WHOLE``.
+LEVELS, WHOLE = (-40, 60), 1000
+
+
 def first_containing(points: DataFrame, boxes: DataFrame, on: str, x: Column, y: Column, margin: float = 1.0) -> DataFrame:
     """Every point with the lowest box_id of its ``on`` group that holds it, edges widened by ``margin``, else null.
 
-    The containment test runs within an equi-join on the group; the best box is a minimum that combines early.
+    A box lies on the level of a grid whose cells are as large as it is, so in four cells at most; a point looks into one cell of
+    each level that any box is on. Hence points meet the boxes around them, however many a group has; the best box is a
+    minimum that combines early. Boxes with a null, NaN or reversed side hold nothing; infinite sides hold all beyond.
     """
-    p = points.withColumns({"_x": x, "_y": y})
-    hit = p.join(boxes, on).where((F.col("_x") >= F.col("x0") - margin) & (F.col("_x") <= F.col("x1") + margin) & (F.col("_y") >= F.col("y0") - margin) & (F.col("_y") <= F.col("y1") + margin))
+    px, py, x0, y0, x1, y1, level, cx, cy = unused(points.join(boxes.drop(*[c for c in boxes.columns if c in points.columns]).limit(0)), "_x", "_y", "_x0", "_y0", "_x1", "_y1", "_level", "_cx", "_cy")
+    edges = {x0: F.col("x0") - margin, y0: F.col("y0") - margin, x1: F.col("x1") + margin, y1: F.col("y1") + margin}
+    b = boxes.select(on, "box_id", *[c.cast("double").alias(n) for n, c in edges.items()]).where((F.col(x0) <= F.col(x1)) & (F.col(y0) <= F.col(y1)) & ~F.isnan(x1) & ~F.isnan(y1))
+    side = F.greatest(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0), F.lit(2.0 ** LEVELS[0]))
+    far = F.greatest(*map(F.abs, map(F.col, (x0, y0, x1, y1))))
+    fits = (side <= 2.0 ** LEVELS[1]) & (far <= side * 2.0**50)
+    b = b.withColumn(level, F.when(fits, F.ceil(F.log2(side))).otherwise(F.lit(WHOLE)).cast("int"))
+    cell = lambda c: F.when(F.col(level) == WHOLE, F.lit(0)).otherwise(F.floor(c / F.pow(F.lit(2.0), F.col(level)))).cast("long")
+    for name, low, high in ((cx, x0, x1), (cy, y0, y1)):
+        b = b.withColumn(name, F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
+    levels = sorted(r[0] for r in b.select(level).distinct().collect())  # LEVELS at most
+    p = points.select("point_id", on, x.cast("double").alias(px), y.cast("double").alias(py), F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias(level))
+    p = p.withColumns({cx: cell(F.col(px)), cy: cell(F.col(py))})
+    hit = p.join(b, [on, level, cx, cy]).where((F.col(px) >= F.col(x0)) & (F.col(px) <= F.col(x1)) & (F.col(py) >= F.col(y0)) & (F.col(py) <= F.col(y1)))
     best = hit.groupBy("point_id").agg(F.min("box_id").alias("box_id"))
     return points.join(best, "point_id", "left")
 
@@ -131,9 +151,10 @@ def image_contexts(passages_: DataFrame) -> DataFrame:
     return row.select("subsection_key", "figure_id", text.caption(F.col("_after")).alias("caption"), F.get(F.reverse(good(F.col("_before"))), F.lit(0)).alias("antecedent"), F.get(good(text.after_caption(F.col("_after"))), F.lit(0)).alias("subsequent"))
 
 
-def chunk_audit(chunks: DataFrame, limit: int = 512) -> DataFrame:
+def chunk_audit(chunks: DataFrame, limit: int = 512, count: Callable[[Column], Column] = text.token_count) -> DataFrame:
+    """Tokens, as ``count`` counts them (for a vocabulary file see ``wordpieces.counter``), and characters of each chunk."""
     c = F.col("chunk_passage")
-    return chunks.withColumns({"token_count": text.token_count(c), "char_count": F.char_length(c)}).withColumns({"max_seq_length": F.lit(limit), "exceeds_encoder_limit": F.col("token_count") > limit})
+    return chunks.withColumns({"token_count": count(c), "char_count": F.char_length(c)}).withColumns({"max_seq_length": F.lit(limit), "exceeds_encoder_limit": F.col("token_count") > limit})
 
 
 def truncation(audit: DataFrame) -> DataFrame:

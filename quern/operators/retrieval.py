@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from quern.functions import text
 from quern.functions.vectors import cosine
@@ -74,6 +75,40 @@ def contexts(questions: DataFrame, hits: DataFrame, lookup: DataFrame, default:
     return out.select("qid", F.coalesce(F.array_join("passages", "\n\n"), F.lit(default)).alias("rag_context"), F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"))
 
 
+def best_passage(questions: DataFrame, passages: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
+    """(qid, best, n_passages): the largest cosine of each question (qid, v) to the passages (qid, passages) of its context.
+
+    A passage that is null or blank has no say; each distinct passage is encoded once, whatever the number of contexts it is in.
+    ``best`` is null without a passage, or where all cosines are undefined. Questions without a row of passages stay.
+    """
+    each = passages.select("qid", F.explode("passages").alias("passage")).where(text.strip(F.col("passage")) != "")
+    known = each.select("passage").distinct().withColumn("p", encode(F.col("passage")))
+    met = each.join(known, "passage").join(questions.select("qid", "v"), "qid")
+    found = met.groupBy("qid").agg(F.max(cosine(F.col("v"), F.col("p"))).alias("best"), F.count("*").alias("n_passages"))
+    return questions.select("qid").join(found, "qid", "left").select("qid", "best", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))
+
+
+def remembered(texts: DataFrame, column: str, path: str, encode: Callable[[Column], Column], name: str = "embedding") -> DataFrame:
+    """``texts`` with the vector of ``column``, from a store of vectors by content at ``path`` that lasts across runs.
+
+    Only texts that the store lacks are encoded, each once, and appended before anything is read; texts count as equal if
+    they are so once stripped. A null text has a null vector. Of vectors that two runs have stored at the same time one counts.
+    """
+    spark = texts.sparkSession
+    key, t = unused(texts, "_key", "_t")
+    rows = texts.withColumn(t, text.strip(F.col(column))).withColumn(key, F.sha2(F.col(t), 256))
+    wanted = rows.where(F.col(t).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.any_value(t).alias("text"))
+    try:
+        wanted = wanted.join(spark.read.parquet(path).select("key"), "key", "left_anti")
+    except AnalysisException:
+        pass  # there is no store yet
+    wanted.select("key", encode(F.col("text")).alias("vector")).write.mode("append").parquet(path)
+    store = spark.read.parquet(path).groupBy("key").agg(F.any_value("vector").alias(name))
+    if name in texts.columns:
+        rows = rows.drop(name)
+    return rows.join(store.withColumnRenamed("key", key), key, "left").drop(key, t)
+
+
 def combine(text_context, image_context, default: str = text.NO_CONTEXT):
     """Text route first, then images; blanks skipped; the default if nothing is left."""
     parts = F.filter(F.array(text_context, image_context), lambda x: x.isNotNull() & (text.strip(x) != ""))

@@ -120,6 +120,23 @@ def embed_distinct(conversations):
     return stripped.join(encoded, "t").select("conv_id", "turn", "embedding")
 
 
+@query(None)
+def best_passage(conversations):
+    """Every conversation's first turn against all its turns as passages."""
+    first = conversations.groupBy(_c("conv_id").alias("qid")).agg(F.min_by("text", "turn").alias("t"), F.collect_list("text").alias("passages"))
+    return retrieval.best_passage(first.select("qid", vectors.hashed(_c("t")).alias("v")), first, vectors.hashed)
+
+
+@query(None)
+def embed_remembered(spark, conversations):
+    """All turns by a store of vectors; the second pass over it encodes nothing."""
+    from quern.sources import shared
+
+    path, rows = shared.folder(spark, "vectors"), conversations.select("conv_id", "turn", "text")
+    retrieval.remembered(rows, "text", path, vectors.hashed)
+    return retrieval.remembered(rows, "text", path, vectors.hashed).drop("text")
+
+
 @query(f"{_TOP} SELECT qid, round(max(score), 5) AS best FROM t WHERE rank <= 4 AND vec_id <> qid GROUP BY qid")
 def max_passage_sim(embeddings):
     """The largest similarity of each question to its passages, which are its hits but for itself."""

@@ -30,10 +30,17 @@ def materialize(spark: SparkSession, path: str, make: Callable[[], DataFrame], m
 
 
 def append_cell(df: DataFrame, path: str, by: list[str]) -> None:
-    """Adds finished rows to a report, one folder per cell, instead of rewriting it."""
+    """Adds finished rows to a report, one folder per cell, instead of rewriting it. For cells that are made whole and may be
+    made again see ``replace_cells``."""
     df.write.mode("append").partitionBy(*by).parquet(path)
 
 
+def replace_cells(df: DataFrame, path: str, by: list[str]) -> None:
+    """Writes whole cells of a report: each cell of ``df`` takes the place of what the report had for it, other cells stay. A job
+    that died after its write and runs again leaves every row once."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
     """CSV with a header; ``mark`` puts a byte order mark at the start of every file, before the first column's name."""
     if mark and df.columns:
