@@ -94,15 +94,23 @@ def generate(df: DataFrame, answer: Callable[[list[str]], list[str]], prompt: st
     return df.mapInPandas(run, StructType([*(f for f in df.schema if f.name != name)]).add(name, "string"))
 
 
-def generate_pieces(df: DataFrame, stream: Callable[[str], Iterator[str]], key: str, prompt: str = "prompt") -> DataFrame:
-    """(key, piece_no, piece) of generators that give an answer piece by piece; a piece is a row as soon as it's there."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, asked in zip(batch[key], batch[prompt], strict=True):
-                for n, piece in enumerate(stream(asked) if asked is not None else ()):
-                    yield pd.DataFrame({key: [k], "piece_no": [n], "piece": [piece]})
-
+def _gathered(batches: Iterator[pd.DataFrame], stream: Callable[[str], Iterator[str]], key: str, prompt: str, most: int, seconds: float, clock: Callable[[], float] = time.monotonic) -> Iterator[pd.DataFrame]:
+    rows, began = [], clock()
+    for batch in batches:
+        for k, asked in zip(batch[key], batch[prompt], strict=True):
+            for n, piece in enumerate(stream(asked) if asked is not None else ()):
+                rows.append((k, n, piece))
+                if len(rows) >= most or clock() - began >= seconds:
+                    yield pd.DataFrame(rows, columns=[key, "piece_no", "piece"])
+                    rows, began = [], clock()
+    if rows:
+        yield pd.DataFrame(rows, columns=[key, "piece_no", "piece"])
+
+
+def generate_pieces(df: DataFrame, stream: Callable[[str], Iterator[str]], key: str, prompt: str = "prompt", most: int = 512, seconds: float = 0.5) -> DataFrame:
+    """(key, piece_no, piece) of generators that give an answer piece by piece. Pieces are handed on ``most`` at a time, or what
+    there is with the first piece after ``seconds``."""
+    run = lambda batches: _gathered(batches, stream, key, prompt, most, seconds)
     return df.select(key, prompt).mapInPandas(run, StructType([df.schema[key]]).add("piece_no", "integer").add("piece", "string"))
 
 

@@ -70,7 +70,11 @@ def messages(system: Column, history: Column, user: Column) -> Column:
     return F.when(user.isNotNull(), F.concat(turn("system", system), history, turn("user", user)))
 
 
-def history(turns: DataFrame, conversation: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Every turn with all turns before it."""
-    w = Window.partitionBy(conversation).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def history(turns: DataFrame, conversation: str = "conv_id", order: str = "turn", most: int | None = None) -> DataFrame:
+    """Every turn with all turns before it, or the ``most`` latest of them.
+
+    Each row holds its own history, so n turns of a conversation take some n * n / 2 turns, or n * ``most``: give a bound where
+    conversations outgrow a prompt, or keep them as state (``streaming.chat``).
+    """
+    w = Window.partitionBy(conversation).orderBy(order).rowsBetween(Window.unboundedPreceding if most is None else -most, -1)
     return turns.withColumn("history", F.collect_list(F.struct(F.col("role").alias("role"), F.col("text").alias("content"))).over(w))

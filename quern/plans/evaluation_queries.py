@@ -265,12 +265,10 @@ def semantic_metrics(conversations):
 
 @query("SELECT p_partkey, p_name, p_size FROM part")
 def csv_roundtrip(part):
-    """Written as CSV to the warehouse folder and read back with its schema."""
-    import uuid
-
-    from quern.sources import files, sinks
+    """Written as CSV to the shared folder and read back with its schema."""
+    from quern.sources import files, shared, sinks
 
     spark = part.sparkSession
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = shared.folder(spark, "csv")
     sinks.write_csv(part.select("p_partkey", "p_name", "p_size"), path, mark=True)
     return files.read_csv(spark, path, "p_partkey long, p_name string, p_size int")
