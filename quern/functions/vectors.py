@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -60,6 +61,11 @@ def _encode(texts, dim: int) -> np.ndarray:
     return np.divide(out, size, out=out, where=size > 0)
 
 
+def encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """The stand-in for a text encoder as a function of lists, a row a text."""
+    return lambda texts: _encode(texts, dim)
+
+
 def hashed(text: Column, dim: int = 64) -> Column:
     """A deterministic stand-in for a text encoder, in Arrow batches; null stays null."""
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quern.functions import text
 from quern.operators.scan import fill
@@ -184,3 +188,46 @@ def semantic_split(passages_: DataFrame, encode_all, percentile: float = 0.95, b
     s = s.withColumn("_cuts", cuts).withColumn("_from", F.concat(F.array(F.lit(0)), "_cuts")).withColumn("_to", F.concat("_cuts", F.array(F.size("_s"))))
     chunks = F.transform(F.arrays_zip("_from", "_to"), lambda x: F.array_join(F.slice("_s", x["_from"] + 1, x["_to"] - x["_from"]), " "))
     return s.select("key", F.posexplode(chunks).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
+def _cuts(v: np.ndarray, percentile: float) -> np.ndarray:
+    """After which sentences (from 1) a passage is cut: where the distance of neighbouring vectors, to 12 decimals, exceeds the
+    percentile. Equal sentences are thus never told apart by rounding."""
+    size = np.linalg.norm(v, axis=1)
+    both = size[:-1] * size[1:]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        gaps = np.where(both > 0, 1.0 - (v[:-1] * v[1:]).sum(axis=1) / both, np.nan)
+    gaps = gaps.round(12)
+    known = np.sort(gaps[~np.isnan(gaps)])
+    if not len(known):
+        return np.zeros(0, int)
+    at = (len(known) - 1) * percentile
+    low, high = known[math.floor(at)], known[math.ceil(at)]
+    return np.flatnonzero(gaps > round(low + (at - math.floor(at)) * (high - low), 12)) + 1
+
+
+def split_batches(passages_: DataFrame, encode: Callable[[list[str]], np.ndarray], percentile: float = 0.95, buffer: int = 1, most: int = 20_000) -> DataFrame:
+    """As ``semantic_split``, for an encoder of lists of texts: sentences, vectors and cuts in one Arrow pass, so that no vector
+    ever becomes a row. Passages go through it together, some ``most`` sentences at a time, at least one whole passage."""
+    sentences = F.filter(F.split(F.regexp_replace("passage", "(?<=[.!?])\\s+", "\u0001"), "\u0001"), lambda x: text.strip(x) != "")
+    rows = passages_.select("key", sentences.alias("s")).where(F.size("s") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, lo = np.cumsum(batch.column("s").value_lengths().to_numpy()), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+                some = batch.column("s").slice(lo, hi - lo).to_pylist()
+                v = encode([" ".join(s[max(0, i - buffer) : i + 1 + buffer]) for s in some for i in range(len(s))])
+                at, owner, place, chunks = 0, [], [], []
+                for k, s in enumerate(some):
+                    edges = [0, *_cuts(v[at : at + len(s)], percentile).tolist(), len(s)]
+                    at += len(s)
+                    chunks += [" ".join(s[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+                    owner += [lo + k] * (len(edges) - 1)
+                    place += range(len(edges) - 1)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owner)), pa.array(place, pa.int64()), pa.array(chunks, pa.string())], ["key", "chunk_no", "chunk"])
+                lo = hi
+
+    schema = StructType([StructField("key", rows.schema["key"].dataType), StructField("chunk_no", LongType()), StructField("chunk", StringType())])
+    return rows.mapInArrow(run, schema)

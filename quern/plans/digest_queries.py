@@ -267,9 +267,9 @@ def build_manifest(documents, pages, embeddings):
 
 @query(None)
 def semantic_split(documents):
-    from quern.functions.vectors import hashed_all
+    from quern.functions.vectors import encoder
 
-    return digest.semantic_split(documents.select(_c("doc_id").alias("key"), _c("text").alias("passage")), lambda c: hashed_all(c, 16))
+    return digest.split_batches(documents.select(_c("doc_id").alias("key"), _c("text").alias("passage")), encoder(16))
 
 
 @query("SELECT event_id, (props->>'k')::INT AS k, coalesce((props->>'absent')::INT, -1) AS absent FROM events")

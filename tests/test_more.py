@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -106,3 +107,28 @@ def test_json_as_written(spark, tmp_path):
     sinks.write_object(spark, {"é": [1, None], "when": np.float64(2)}, path)
     (name,) = [f for f in os.listdir(path) if f.startswith("part-")]
     assert open(f"{path}/{name}", encoding="utf-8").read() == '{\n  "é": [\n    1,\n    null\n  ],\n  "when": 2.0\n}\n'
+
+
+def test_split_in_one_pass_equals_plain_loops(spark):
+    rng = random.Random(9)
+    said = lambda: " ".join("".join(rng.choices("abcdef ", k=rng.randrange(1, 40))) + rng.choice(".!? ") for _ in range(rng.randrange(1, 30)))
+    rows = [(k, said()) for k in range(150)] + [(900, None), (901, ""), (902, " . "), (903, "one"), (904, "Same. " * 2000)]
+    df = spark.createDataFrame(rows, "key long, passage string").repartition(3)
+    wanted = []
+    for key, passage in rows:
+        some = [x for x in re.split(r"(?<=[.!?])\s+", passage or "") if x.strip()]
+        if not some:
+            continue
+        v = vectors._encode([" ".join(some[max(0, i - 1) : i + 2]) for i in range(len(some))], 16)
+        gaps = []
+        for x, y in zip(v, v[1:], strict=False):
+            size = math.sqrt(sum(x * x)) * math.sqrt(sum(y * y))
+            gaps.append(round(1 - sum(a * b for a, b in zip(x, y, strict=True)) / size, 12) if size else None)
+        known = sorted(g for g in gaps if g is not None)
+        at = (len(known) - 1) * 0.95
+        edge = round(known[math.floor(at)] + (at - math.floor(at)) * (known[math.ceil(at)] - known[math.floor(at)]), 12) if known else 9
+        cuts = [0, *(i + 1 for i, g in enumerate(gaps) if g is not None and g > edge), len(some)]
+        wanted += [(key, n, " ".join(some[a:b])) for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    for most in (1, 20_000):
+        assert sorted(map(tuple, digest.split_batches(df, vectors.encoder(16), most=most).collect())) == sorted(wanted)
+    assert digest.split_batches(df.where("false"), vectors.encoder(16)).count() == 0
