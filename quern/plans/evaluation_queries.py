@@ -272,3 +272,10 @@ def csv_roundtrip(part):
     path = shared.folder(spark, "csv")
     sinks.write_csv(part.select("p_partkey", "p_name", "p_size"), path, mark=True)
     return files.read_csv(spark, path, "p_partkey long, p_name string, p_size int")
+
+
+@query("WITH u AS (SELECT doc_id // 10 AS g, quality AS q, row_number() OVER w AS r, sum(quality) OVER w AS s FROM labels WHERE quality IS NOT NULL WINDOW w AS (PARTITION BY doc_id // 10 ORDER BY doc_id)) SELECT g, round(sum(CASE WHEN q = 1 THEN s / r::DOUBLE ELSE 0 END) / nullif(sum(q), 0), 6) AS context_precision, round(sum(q)::DOUBLE / count(*), 6) AS supported_share FROM u GROUP BY g")
+def judge_formulas(labels):
+    """Ten neighbouring documents as the ordered verdicts on an answer's contexts, or on its claims."""
+    rows = labels.where("quality is not null").groupBy(F.floor(_c("doc_id") / 10).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "quality"))), lambda x: x["quality"].cast("int")).alias("v"))
+    return rows.select("g", F.round(evaluation.context_precision(_c("v")), 6).alias("context_precision"), F.round(evaluation.supported_share(_c("v")), 6).alias("supported_share"))
