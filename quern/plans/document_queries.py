@@ -85,3 +85,14 @@ def image_sink(spark, part):
     records = digest.image_records(found, F.lit("doc"), path).where("error is null")
     records.select(F.substring_index("image_path", "/", -1).alias("name"), _c("image").alias("content")).write.format("images").option("path", path).mode("append").save()
     return read_binary(spark, path).select(F.substring_index("path", "/", -1).alias("name"), _c("length").alias("n_bytes"), F.md5("content").alias("content_md5"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN 2 END::INT AS width, CASE WHEN p_size % 5 > 0 THEN 1 END::INT AS height, CASE WHEN p_size % 5 > 0 THEN lpad(to_hex(p_partkey), 6, '0') || lpad(to_hex(p_size), 6, '0') END AS pixels, p_size % 5 = 0 AS failed FROM part")
+def image_rgb(part):
+    """Image files of two pixels for each part, some of them cut short, to RGB."""
+    from quern.functions.pixels import rgb
+
+    colour = lambda c: F.lpad(F.hex(c), 6, "0")
+    body = F.unhex(F.concat(colour(_c("p_partkey")), F.when(_c("p_size") % 5 > 0, colour(_c("p_size"))).otherwise(F.lit(""))))
+    p = part.select("p_partkey", rgb(F.concat(F.lit("P6 2 1 255\n").cast("binary"), body)).alias("p"))
+    return p.select("p_partkey", "p.width", "p.height", F.hex("p.pixels").alias("pixels"), _c("p.error").isNotNull().alias("failed"))
