@@ -135,7 +135,7 @@ def build(corpus: DataFrame, path: str | None = None, cells: int | None = None)
     wanted = min(CELLS, cells or max(1, math.isqrt(n) // 2))
     drawn = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(4 * wanted).select("v").toArrow().combine_chunks()  # bounded
     kept, p = units(drawn["v"].chunk(0)) if drawn.num_rows else ([], np.zeros((0, 0)))
-    p = np.unique(p, axis=0)[:wanted] if len(kept) else np.zeros((1, 1))
+    p = p[np.sort(np.unique(p, axis=0, return_index=True)[1])[:wanted]] if len(kept) else np.zeros((1, 1))
     pivots = spark.sparkContext.broadcast(p)
     if len(kept):
         dealt = rows.mapInArrow(_dealt(pivots), "cell int, vec_id long, v binary, far double")
