@@ -64,3 +64,11 @@ def test_precision_and_support(spark):
     got = [r[0] for r in v.select(evaluation.context_precision(F.col("v"))).collect()]
     assert got[0] == pytest.approx((1 + 2 / 3) / 2) and got[1:] == [None, None]
     assert [r[0] for r in v.select(evaluation.supported_share(F.col("v"))).collect()][1:] == [0.0, None]
+
+
+def test_upper_case_is_that_of_sql():
+    import duckdb
+
+    every = [chr(k) for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000]
+    wanted = duckdb.execute("SELECT list_transform(?, lambda c: upper(c))", [every]).fetchone()[0]
+    assert [text.upper(c) for c in every] == wanted and text.upper("erßie") == "ERẞIE"
