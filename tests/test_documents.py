@@ -130,3 +130,10 @@ def test_lost_and_doubled_tasks_leave_one_file(tmp_path):
     again.write(iter([batch]))
     again.abort([])
     assert written(path) == {"a": b"1", "b": b""}
+
+
+def test_references_need_their_semicolon():
+    found = documents.html(b"<h1>a&amp</h1><p>&ampx; &#65 &#65; &lt;b&am &amp;amp; &copy;</p><a>&amp</a>")
+    assert found.outline == [(0, 1, "a&amp", 1)]
+    assert ["".join(x) for x in found.blocks[1][3]] == ["&ampx; &#65 A <b&am &amp; \u00a9"]
+    assert documents.html(b"<table>x<tr><td>1</table>").tables[0][3] == [["1"]]  # text before any row
