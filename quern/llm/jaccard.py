@@ -43,7 +43,7 @@ from quern.llm.graph import components
 from quern.llm.wordhash import U, mix, pieces, shingle_sets
 
 #: Signatures in one shuffle partition, about.
-PER_TASK = 1_500_000
+PER_TASK = 500_000
 #: Kinds of signatures, the ones that lead a bucket first: a whole subset (LED: that of others too, which a task has
 #: linked to it), one less a shingle, an empty segment of a set with many, or with some; and a finished link.
 FULL, LED, LESS, FEW, NONE, LINK = range(6)
@@ -53,6 +53,8 @@ SPARE = 3
 ID_BITS = 1 << 24
 #: Cells of the table of shingle counts that ranks shingles by rarity (16 MB, whatever the data).
 CELLS = 1 << 22
+#: Words of 64 parities that go with a set into the join on rare shingles.
+PARITIES = 4
 
 
 class Schemes:
@@ -201,6 +203,12 @@ def _near(ids):
     return run
 
 
+def _parities(x: np.ndarray) -> np.ndarray:
+    """Parities of the shingles in each of 64 * ``PARITIES`` cells, as 64-bit words."""
+    odd = np.bincount((x & U(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _cell(x: np.ndarray) -> np.ndarray:
     return (mix(x, 0x3C6EF372FE94F82B) & U(CELLS - 1)).astype(np.int64)
 
@@ -222,6 +230,9 @@ def _cell_counts(n: int):
     return run
 
 
+_ODD = [f"odd{k}" for k in range(PARITIES)]
+
+
 def _rarest(n: int, t: Fraction, counts):
     """The shingles of each set, rarest first, that a partner can't all lack, with their places in that order."""
     up, down = t.numerator, t.denominator
@@ -235,12 +246,12 @@ def _rarest(n: int, t: Fraction, counts):
                     if len(x):
                         most = len(x) - -(-up * len(x) // down) + 1
                         first = x[np.lexsort((x, table[_cell(x)]))[:most]]
-                        out.append((first, np.arange(len(first), dtype=np.int32), np.full(len(first), len(x), np.int64), np.full(len(first), doc, np.int64)))
+                        out.append((first, np.arange(len(first), dtype=np.int32), *(np.full(len(first), v, np.int64) for v in (len(x), doc, *_parities(x)))))
                 if out:
-                    shingle, place, size, doc = (np.concatenate(c) for c in zip(*out, strict=True))
-                    for k in range(0, len(doc), 200_000):
+                    shingle, *others = (np.concatenate(c) for c in zip(*out, strict=True))
+                    for k in range(0, len(shingle), 200_000):
                         j = slice(k, k + 200_000)
-                        yield pa.RecordBatch.from_arrays([pa.array(shingle[j].view(np.int64)), pa.array(place[j]), pa.array(size[j]), pa.array(doc[j])], ["shingle", "place", "size", "doc"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c[j]) for c in (shingle.view(np.int64), *others)], ["shingle", "place", "size", "doc", *_ODD])
 
     return run
 
@@ -255,14 +266,16 @@ def _across(nodes: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFram
     cells = cells.select("cell", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # at most CELLS rows of 8 bytes
     counts = np.ones(CELLS, np.int32)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    rare = near.mapInArrow(_rarest(n, t, spark.sparkContext.broadcast(counts)), "shingle long, place int, size long, doc long")
+    rare = near.mapInArrow(_rarest(n, t, spark.sparkContext.broadcast(counts)), "shingle long, place int, size long, doc long, " + ", ".join(f"{c} long" for c in _ODD))
     rare = scratch.table(rare.join(nodes, "doc"), "rare")
     shared = rare.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("shingle")
     both = rare.join(shared, "shingle")
     x, y = both.alias("x"), both.alias("y")
     up, down = t.numerator, t.denominator
     left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))  # bounds what the two share
-    fits = (F.col("x.label") < F.col("y.label")) & (left * (up + down) >= (F.col("x.size") + F.col("y.size")) * up)
+    both_sizes = F.col("x.size") + F.col("y.size")
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _ODD), F.lit(0))  # at most what they differ in
+    fits = (F.col("x.label") < F.col("y.label")) & (left * (up + down) >= both_sizes * up) & (apart * (up + down) <= both_sizes * (down - up))
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & fits)
     pairs = scratch.table(met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct(), "across")
     scratch.drop(near, rare)

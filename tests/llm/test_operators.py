@@ -414,3 +414,17 @@ def test_lookup_table(spark, docs):
     assert (a[a < 7] == b[a < 7]).mean() > 0.85
     got = sharding.place(docs, 8).collect()
     assert len(got) == docs.count() and all(r.shard == sharding.lookup(tuple(f"shard-{k:05d}" for k in range(8)))[r.slot] for r in got)
+
+
+def test_parities_never_exceed_what_sets_differ_in():
+    import numpy as np
+
+    from quern.llm import jaccard
+
+    rng = np.random.default_rng(5)
+    for n, other in ((3, 1), (100, 4), (100, 60), (2000, 90)):
+        every = np.unique(rng.integers(0, 2**63, n + other, dtype=np.uint64))
+        x, y = every[: len(every) - other], every[other // 2 :]
+        apart = int(np.bitwise_count(jaccard._parities(x) ^ jaccard._parities(y)).sum())
+        assert apart <= len(np.setxor1d(x, y)) and (apart > 10 or other < 60)
+    assert len(jaccard._parities(x)) == len(jaccard._ODD)
