@@ -132,6 +132,26 @@ def test_lost_and_doubled_tasks_leave_one_file(tmp_path):
     assert written(path) == {"a": b"1", "b": b""}
 
 
+def test_names_of_two_tasks_and_files_by_name(spark, tmp_path, folder):
+    import pyarrow as pa
+
+    from quern.sources.files import read_named
+
+    path, batch = str(tmp_path / "img"), lambda *names: pa.RecordBatch.from_pydict({"name": list(names), "content": [b"x"] * len(names)})
+    w = images._Writer(path, False)
+    for parts in ([batch("a", "b"), batch("b", "c")], [batch("a", "b", "a")]):
+        with pytest.raises(ValueError, match="several images are called [ab]"):
+            w.commit([w.write(iter([b])) for b in parts])
+        assert written(path) == {}
+    message = w.write(iter([batch(*(f"n{k}" for k in range(1000)))]))
+    assert len(message.keys) == 8000  # what the driver gets for each file
+    w.commit([message])
+    files = read_named(spark.range(0, 1000, 1, 7).select(F.concat(F.lit("n"), "id").alias("name")), path)
+    assert files.rdd.getNumPartitions() == 7 and {tuple(r) for r in files.collect()} == {(f"n{k}", 1, b"x") for k in range(1000)}
+    with pytest.raises(Exception, match="none"):
+        read_named(spark.createDataFrame([("none",)], "name string"), path).collect()
+
+
 def test_references_need_their_semicolon():
     found = documents.html(b"<h1>a&amp</h1><p>&ampx; &#65 &#65; &lt;b&am &amp;amp; &copy;</p><a>&amp</a>")
     assert found.outline == [(0, 1, "a&amp", 1)]
