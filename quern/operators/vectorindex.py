@@ -3,7 +3,8 @@
 Every vector goes to the nearest of a bounded number of pivots, which are drawn from the corpus. A cell knows how far its
 furthest vector is from its pivot, so the angle between a question and a pivot bounds every cosine in the cell. A
 search visits the nearest cell first, which fixes the score that others must beat, and then only the cells whose bound reaches
-that score. The pivots alone go to all tasks; vectors and questions meet by block, as many times as they must.
+that score. The pivots alone go to all tasks. Vectors and questions meet by group of cells: a question goes once to each group,
+with the names of the cells that it visits there, and a group's answer is its best few, so that neither grows with the cells.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from quern.sources.shared import folder, stored
 
-#: Cells at most; vectors of a block at most; vectors dealt by one more salt; questions that meet a copy of a block, about.
+#: Cells at most; vectors of a block at most; vectors dealt by one more salt; questions that meet a copy of a group, about.
 CELLS, BLOCK, SALTED, VISITS = 1024, 4096, 1 << 22, 50_000
+#: Vectors of a group, about, and bytes of them.
+HELD, BYTES = 32_768, 16 << 20
 #: Room for errors of double precision in bounds (radians, cosines).
 SLACK = 1e-7
 #: Decimals by which scores are told apart; equal ones go by id.
@@ -55,12 +58,21 @@ def best(q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndar
     else:
         r, c = (x.ravel() for x in np.indices(s.shape))
     score, ids = s[r, c], own[c]
+    return _least(r, ids, score, k)
+
+
+def _least(r: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((ids, -score.round(PLACES), r))
     r, ids, score = r[order], ids[order], score[order]
     keep = np.arange(len(r)) - np.searchsorted(r, r) < k
     return r[keep], ids[keep], score[keep]
 
 
+def best_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of every row of what ``best`` has found in several blocks."""
+    return _least(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+
+
 def _angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1.0, 1.0))
 
@@ -155,21 +167,42 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 class _Cells:
-    """Pivots, reach and sizes of the cells that hold vectors."""
+    """Pivots, reach and sizes of the cells that hold vectors, and their groups.
+
+    A group is a run of cells, or a part of a cell that is larger than a group, whose blocks are dealt out then.
+    """
 
     def __init__(self, index: DataFrame):
-        rows = index.groupBy("cell").agg(F.any_value("pivot").alias("pivot"), F.max("far").alias("far"), F.sum("n").alias("n")).collect()  # CELLS at most
+        rows = index.groupBy("cell").agg(F.any_value("pivot").alias("pivot"), F.max("far").alias("far"), F.sum("n").alias("n"), F.count("*").alias("blocks")).collect()  # CELLS at most
         rows = sorted(rows, key=lambda r: r.cell)
         self.cell = np.array([r.cell for r in rows], np.int32)
         self.pivots = np.stack([np.frombuffer(r.pivot) for r in rows]) if rows else np.zeros((0, 0))
         self.far, self.n = np.array([r.far for r in rows]), np.array([r.n for r in rows])
+        most = max(1, min(HELD, BYTES // (8 * max(1, self.pivots.shape[1])), -(-int(self.n.sum()) // (2 * index.sparkSession.sparkContext.defaultParallelism))))
+        self.group, self.parts, self.groups, held = np.zeros(len(rows), np.int32), np.ones(len(rows), np.int32), 0, 0
+        for at, r in enumerate(rows):
+            if not held or held + r.n > most:
+                self.groups, held = self.groups + 1, 0
+            held += r.n
+            self.group[at] = self.groups - 1
+            if r.n > most:
+                self.parts[at] = min(-(-r.n // most), r.blocks)
+                self.groups, held = self.groups + int(self.parts[at]) - 1, 0
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """The largest cosine that any vector of each cell can have with each question."""
         return np.cos(np.maximum(_angle(q @ self.pivots.T) - self.far - SLACK, 0.0))
 
 
-_VISIT = "cell int, qid long, q binary, least double"
+#: The groups from ``group`` on, ``parts`` of them, and the cells that the question visits there, as 32-bit integers.
+_VISIT = "group int, parts int, qid long, q binary, least double, cells binary"
+
+
+def _visits(c: _Cells, at: np.ndarray, counts: np.ndarray, qid: pa.Array, q: pa.Array, least: pa.Array) -> pa.RecordBatch:
+    """Rows that visit the cells ``at``, the first of ``counts`` in the first row and so on; all of a row's are of one group."""
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    cells = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(c.cell[at].astype("<i4").tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(c.group[at[ends[:-1]]]), pa.array(c.parts[at[ends[:-1]]]), qid, q, least, cells], ["group", "parts", "qid", "q", "least", "cells"])
 
 
 def _first(cells, k: int):
@@ -187,13 +220,13 @@ def _first(cells, k: int):
                 if q.shape[1] != c.pivots.shape[1]:
                     raise ValueError("vectors differ in length")
                 near = np.where(enough, q @ c.pivots.T, -2.0).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(c.cell[near]), some.column("qid").take(pa.array(kept)), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(np.full(len(q), -2.0))], ["cell", "qid", "q", "least"])
+                yield _visits(c, near, np.ones(len(near), int), some.column("qid").take(pa.array(kept)), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(np.full(len(q), -2.0)))
 
     return run
 
 
 def _further(cells):
-    """A row for each other cell whose bound reaches the question's score."""
+    """A row for each group with other cells whose bound reaches the question's score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = cells.value
@@ -202,57 +235,75 @@ def _further(cells):
                 some = batch.slice(lo, 1024)
                 q = np.stack([np.frombuffer(x) for x in some.column("q").to_pylist()])
                 least = some.column("least").to_numpy()
+                first = np.frombuffer(b"".join(some.column("cells").to_pylist()), "<i4")
                 open_ = c.bounds(q) >= least[:, None] - SLACK
-                open_[np.arange(len(q)), np.searchsorted(c.cell, some.column("cell").to_numpy())] = False
+                open_[np.arange(len(q)), np.searchsorted(c.cell, first)] = False
                 for at in range(0, len(q), 64):
-                    r, cell = np.nonzero(open_[at : at + 64])
+                    r, cell = np.nonzero(open_[at : at + 64])  # groups are runs of cells
                     if len(r):
-                        take = some.take(pa.array(r + at))
-                        yield pa.RecordBatch.from_arrays([pa.array(c.cell[cell]), take.column("qid"), take.column("q"), take.column("least")], ["cell", "qid", "q", "least"])
+                        starts = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c.group[cell[1:]] != c.group[cell[:-1]])]))
+                        take = some.take(pa.array(r[starts] + at))
+                        yield _visits(c, cell, np.diff(np.concatenate([starts, [len(r)]])), take.column("qid"), take.column("q"), take.column("least"))
 
     return run
 
 
 def _scored(k: int):
-    """Rows by block: the block first, which is held, then its questions, a batch of them at a time."""
+    """Rows by group: its blocks first, which are held, then its questions, a batch of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, v = None, None
+        held, of = [], None
         for batch in batches:
-            side, key = batch.column("side").to_numpy(), batch.column("block").to_numpy()
-            ends = np.flatnonzero(np.concatenate([(side[1:] != side[:-1]) | (side[1:] == 0) | (key[1:] != key[:-1]), [True]])) + 1
+            side, group, copy = (batch.column(x).to_numpy() for x in ("side", "group", "copy"))
+            ends = np.flatnonzero(np.concatenate([(side[1:] != side[:-1]) | (side[1:] == 0) | (group[1:] != group[:-1]) | (copy[1:] != copy[:-1]), [True]])) + 1
             for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                if (group[lo], copy[lo]) != of:
+                    held, of = [], (group[lo], copy[lo])
                 if side[lo] == 0:
                     own = np.frombuffer(batch.column("ids")[lo].as_py(), "<i8")
-                    v = np.frombuffer(batch.column("q")[lo].as_py()).reshape(len(own), -1)
+                    held.append((batch.column("cell")[lo].as_py(), own, np.frombuffer(batch.column("q")[lo].as_py()).reshape(len(own), -1)))
                     continue
                 for at in range(lo, hi, 512):
-                    n = min(512, hi - at)
-                    q = np.stack([np.frombuffer(x) for x in batch.column("q").slice(at, n).to_pylist()])
-                    r, i, s = best(q, own, v, k)
-                    keep = s >= batch.column("least").slice(at, n).to_numpy()[r] - SLACK
-                    yield pa.RecordBatch.from_arrays([batch.column("qid").slice(at, n).take(pa.array(r[keep])), pa.array(i[keep]), pa.array(s[keep])], ["qid", "vec_id", "score"])
+                    some = batch.slice(at, min(512, hi - at))
+                    q = np.stack([np.frombuffer(x) for x in some.column("q").to_pylist()])
+                    visited = some.column("cells").to_pylist()
+                    row, cell = np.repeat(np.arange(len(q)), [len(x) // 4 for x in visited]), np.frombuffer(b"".join(visited), "<i4")
+                    order = np.argsort(cell, kind="stable")
+                    row, cell = row[order], cell[order]
+                    found = []
+                    for of_cell, own, v in held:
+                        rows = row[np.searchsorted(cell, of_cell) : np.searchsorted(cell, of_cell, "right")]
+                        if len(rows):
+                            r, i, s = best(q[rows], own, v, k)
+                            found.append((rows[r], i, s))
+                    if not found:
+                        continue
+                    r, i, s = best_of(found, k)
+                    keep = s >= some.column("least").to_numpy()[r] - SLACK
+                    yield pa.RecordBatch.from_arrays([some.column("qid").take(pa.array(r[keep])), pa.array(i[keep]), pa.array(s[keep])], ["qid", "vec_id", "score"])
 
     return run
 
 
-def _met(visits: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(qid, vec_id, score) of stored visits: the best ``k`` of every block that a question visits.
+def _met(visits: DataFrame, index: DataFrame, found: _Cells, k: int) -> DataFrame:
+    """(qid, vec_id, score) of stored visits: the best ``k`` of every group that a question visits.
 
-    Blocks with very many questions come in copies, each for some of them.
+    Groups with very many questions come in copies, each for some of them.
     """
     spark = visits.sparkSession
-    counts = visits.groupBy("cell").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("copies"))
-    counts = stored(counts, "copies")  # a row a cell
-    blocks = index.join(F.broadcast(counts), "cell")
-    held = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    held = held.select("block", "copy", F.lit(0).alias("side"), F.lit(None).cast("long").alias("qid"), F.lit(None).cast("double").alias("least"), "ids", F.col("v").alias("q"))
-    own = blocks.select("cell", "block", "copies")
-    asked = visits.join(own, "cell").withColumn("copy", F.pmod(F.xxhash64("qid"), F.col("copies")).cast("int"))
-    asked = asked.select("block", "copy", F.lit(1).alias("side"), "qid", "least", F.lit(None).cast("binary").alias("ids"), "q")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = held.unionByName(asked).repartition(parts, "block", "copy").sortWithinPartitions("block", "copy", "side")
-    return both.select("block", "side", "qid", "least", "ids", "q").mapInArrow(_scored(k), "qid long, vec_id long, score double")
+    asked = visits.withColumn("group", F.explode(F.sequence(F.col("group"), F.col("group") + F.col("parts") - 1)))
+    counts = asked.groupBy("group").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("copies"))
+    counts = F.broadcast(stored(counts, "copies"))  # a row a group
+    groups = spark.createDataFrame(list(zip(found.cell.tolist(), found.group.tolist(), found.parts.tolist(), strict=True)), "cell int, first int, parts int")  # CELLS at most
+    blocks = index.join(F.broadcast(groups), "cell").withColumn("group", (F.col("first") + F.pmod(F.xxhash64("block"), F.col("parts"))).cast("int"))
+    held = blocks.join(counts, "group").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    null = lambda kind: F.lit(None).cast(kind)
+    held = held.select("group", "copy", F.lit(0).alias("side"), "cell", null("long").alias("qid"), null("double").alias("least"), null("binary").alias("cells"), "ids", F.col("v").alias("q"))
+    asked = asked.join(counts, "group").withColumn("copy", F.pmod(F.xxhash64("qid"), F.col("copies")).cast("int"))
+    asked = asked.select("group", "copy", F.lit(1).alias("side"), null("int").alias("cell"), "qid", "least", "cells", null("binary").alias("ids"), "q")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * found.groups)  # so that few groups fall together
+    both = held.unionByName(asked).repartition(parts, "group", "copy").sortWithinPartitions("group", "copy", "side")
+    return both.mapInArrow(_scored(k), "qid long, vec_id long, score double")
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -264,7 +315,8 @@ def search(questions: DataFrame, index: DataFrame, k: int = 3, report: dict | No
     """(qid, vec_id, score, rank): exactly the ``k`` nearest by cosine of each question (qid, v), ties by vec_id.
 
     Questions that are null, empty, zero, hold null or non-finite components or have no id find nothing. ``report`` receives the pairs of
-    questions and cells (``pairs``) and those that were visited (``visited``).
+    questions and cells (``pairs``), those that were visited (``visited``), the number of groups (``groups``) and the rows by
+    which questions were sent to them (``sent``).
     """
     spark = questions.sparkSession
     found = _Cells(index)
@@ -272,11 +324,11 @@ def search(questions: DataFrame, index: DataFrame, k: int = 3, report: dict | No
         return questions.where("false").select(F.col("qid").cast("long").alias("qid"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     cells = spark.sparkContext.broadcast(found)
     first = stored(usable(questions, "qid").mapInArrow(_first(cells, k), _VISIT), "first")
-    near = stored(_met(first, index, k), "near")
+    near = stored(_met(first, index, found, k), "near")
     edge = ranked(near, k).where(F.col("rank") == k).select("qid", F.col("score").alias("edge"))
-    scored = first.join(edge, "qid", "left").select("cell", "qid", "q", F.coalesce("edge", "least").alias("least"))
+    scored = first.join(edge, "qid", "left").select("cells", "qid", "q", F.coalesce("edge", "least").alias("least"))
     more = stored(scored.mapInArrow(_further(cells), _VISIT), "visits")
     if report is not None:
-        n = first.count()
-        report.update(pairs=n * len(found.cell), visited=n + more.count())
-    return ranked(near.unionByName(_met(more, index, k)), k)
+        n, r = first.count(), more.agg(F.sum(F.length("cells") / 4).cast("long").alias("cells"), F.count("*").alias("rows")).first()
+        report.update(pairs=n * len(found.cell), visited=n + (r.cells or 0), groups=found.groups, sent=n + r.rows)
+    return ranked(near.unionByName(_met(more, index, found, k)), k)

@@ -75,3 +75,48 @@ def test_top_k_of_odd_vectors(spark, monkeypatch):
             retrieval.top_k(questions, one([(1, [1.0], 0.0), (2, [1.0, 2.0], 0.0)], CORPUS), 3)
         with pytest.raises(Exception, match="differ in length"):
             retrieval.top_k(questions, one([(1, [1.0, 1.0, 1.0], 0.0)], CORPUS), 3).collect()
+
+
+def test_questions_go_to_groups_not_cells(spark, rows, tmp_path, monkeypatch):
+    """Vectors that spread evenly are all visited, but a question travels once a group; a cell beyond a group comes in parts."""
+    monkeypatch.setattr(vectorindex, "HELD", 600)
+    monkeypatch.setattr(vectorindex, "VISITS", 40)
+    rng = np.random.default_rng(8)
+    even = [(k, x) for k, x in enumerate(rng.normal(size=(3000, 16)).tolist())]
+    for data, path in ((even, "even"), (rows, "hot")):
+        corpus = spark.createDataFrame([(i, x, 0.5) for i, x in data], CORPUS).repartition(6)
+        questions = spark.createDataFrame(data[:120], ASKED)
+        index, report = vectorindex.build(corpus, str(tmp_path / path)), {}
+        assert answers(vectorindex.search(questions, index, 3, report)) == brute(data, data[:120], 3)
+        assert 1 < report["groups"] < index.select("cell").distinct().count()
+        assert report["sent"] <= 120 * (report["groups"] + 1) and report["sent"] <= report["visited"]
+        if path == "even":
+            assert report["visited"] > 0.9 * report["pairs"] > 2 * report["sent"]
+
+
+def test_parts_of_a_large_cell(spark, monkeypatch):
+    """One cell of many blocks: its parts are groups of their own and all are searched."""
+    monkeypatch.setattr(vectorindex, "HELD", 3000)
+    rng = np.random.default_rng(9)
+    data = [(k, x) for k, x in enumerate(rng.normal(size=(9000, 4)).round(2).tolist()) if any(x)]
+    index, report = vectorindex.build(spark.createDataFrame([(i, x, 0.5) for i, x in data], CORPUS), cells=1), {}
+    questions = spark.createDataFrame(data[:30], ASKED)
+    assert answers(vectorindex.search(questions, index, 5, report)) == brute(data, data[:30], 5)
+    assert report["groups"] == 3 and index.count() == 3 and report["sent"] == 30
+
+
+def test_a_small_corpus_is_met_by_block():
+    """Memory for a batch of questions stays far below the products with all vectors, also where all tie."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    v = np.repeat([[0.6, 0.8]], 40_000, axis=0)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(256)), pa.array([[3.0, 4.0]] * 256)], ["qid", "v"])
+    tracemalloc.start()
+    out = next(retrieval._answered(SimpleNamespace(value=(np.arange(40_000)[::-1], v)), 3)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 768 and out.column("vec_id").to_pylist()[:6] == [0, 1, 2, 0, 1, 2]
+    assert peak < 256 * 40_000 * 8 * 2
